@@ -63,3 +63,23 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict | pa.R
 def bernoulli(key: F.Column, share: float, seed: str) -> F.Column:
     """True for about `share` of all keys, always the same ones."""
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+
+
+def remainder(doc_id: F.Column, n: int) -> F.Column:
+    """crc32 of the id as text, modulo n; that of the empty text for a null id."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, seed: str, usable: Callable[[F.Column], F.Column] | None = None) -> DataFrame:
+    """doc_id, text and label (0 or 1) of about `most` labelled documents, chosen by a hash of the id.
+
+    The ids in question number `most` at any size of the tables, so they are broadcast. A document
+    that has several labels takes the largest.
+    """
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
+    if usable is not None:
+        known = known.filter(usable(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    share = min(1.0, most / max(1, known.count()))
+    chosen = known.filter(bernoulli(F.col("doc_id"), share, seed)) if share < 1 else known
+    return docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing
+from . import bpe, html, langid, packing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,15 +17,34 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op5_byte_bpe, op8_best_fit_packing)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, usable=lambda doc_id: ~langid.is_held_out(doc_id))
+    return langid.identify_documents(docs, model, held_out=langid.is_held_out)
+
+
+QUERIES = {f.__name__: f for f in (op2_html_extraction, op4_warc_transactions, op5_byte_bpe, op6_quality_rules, op8_best_fit_packing, op9_language_id)}
 
 #: DuckDB SQL for the queries that it can express.
 ORACLES: dict[str, str] = {}
