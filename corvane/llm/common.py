@@ -70,16 +70,21 @@ def remainder(doc_id: F.Column, n: int) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, seed: str, usable: Callable[[F.Column], F.Column] | None = None) -> DataFrame:
-    """doc_id, text and label (0 or 1) of about `most` labelled documents, chosen by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int] | int, seed: str, usable: Callable[[F.Column], F.Column] | None = None) -> tuple[DataFrame, dict[int, int]]:
+    """doc_id, text and label (0 or 1) of about `most` labelled documents (in all or by label), chosen by a hash
+    of the id, and how many there are of each label.
 
-    The ids in question number `most` at any size of the tables, so they are broadcast. A document
+    The chosen ids number about `most` at any size of the tables, so they are broadcast. A document
     that has several labels takes the largest.
     """
-    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     if usable is not None:
         known = known.filter(usable(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
-    share = min(1.0, most / max(1, known.count()))
-    chosen = known.filter(bernoulli(F.col("doc_id"), share, seed)) if share < 1 else known
-    return docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    chosen = F.lit(False)
+    for k, n in totals.items():
+        share = min(1.0, (most[k] / n if isinstance(most, dict) else most / sum(totals.values())))
+        chosen = chosen | ((F.col("label") == k) & bernoulli(F.col("doc_id"), share, seed))
+    sample = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(known.filter(chosen)), "doc_id")
+    return sample, totals
