@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, langid, packing, quality, warc
+from . import bpe, html, langid, packing, pii, quality, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +17,20 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search_table(table(spark, sf_dir, "embeddings"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=lambda doc_id: ~toxicity.is_held_out(doc_id))
+    return toxicity.score_documents(docs, model, held_out=toxicity.is_held_out)
+
+
 def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -44,7 +54,22 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_documents(docs, model, held_out=langid.is_held_out)
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extraction, op4_warc_transactions, op5_byte_bpe, op6_quality_rules, op8_best_fit_packing, op9_language_id)}
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_in_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+
+
+_ALL = (
+    op1_exact_top_k,
+    op2_html_extraction,
+    op3_toxicity,
+    op4_warc_transactions,
+    op5_byte_bpe,
+    op6_quality_rules,
+    op8_best_fit_packing,
+    op9_language_id,
+    op10_pii_surrogates,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL for the queries that it can express.
 ORACLES: dict[str, str] = {}
