@@ -160,6 +160,9 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         one = lambda k, s=s: F.concat(_pick(FAMILY_HEADS[s], stream, k), _pick(FAMILY_TAILS[s], stream, k + 1))
         whole = F.concat_ws("-", one(2), F.when(attempt > 0, one(4)), F.when(attempt > 2, one(6)))
         family = F.when(script == s, whole).otherwise(family)
+    # Russian family names follow the gender.
+    feminine = F.regexp_replace(F.regexp_replace(family, "(ов|ев|ин|ын)(?=-|$)", "$1а"), "ий(?=-|$)", "ая")
+    family = F.when((gender == "F") & (script == "Cyrl"), feminine).otherwise(family)
     person = F.when(words > 1, F.concat_ws(" ", given, family)).otherwise(family)
 
     return (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, langid, packing, pii, quality, topk, toxicity, warc
+from . import bpe, html, langid, ngram_join, packing, pii, quality, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.component_table(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -65,6 +69,7 @@ _ALL = (
     op4_warc_transactions,
     op5_byte_bpe,
     op6_quality_rules,
+    op7_ngram_jaccard_join,
     op8_best_fit_packing,
     op9_language_id,
     op10_pii_surrogates,
