@@ -11,14 +11,17 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+ROWS = T.ArrayType(T.ArrayType(T.StringType()))
 
-@F.pandas_udf("string")
+
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else re.sub(r"\s+", " ", unicodedata.normalize("NFKC", x)).strip())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json_sha1(s: pd.Series) -> pd.Series:
     """sha1 of JSON with sorted keys and no spaces, other scripts kept."""
 
@@ -31,7 +34,7 @@ def canonical_json_sha1(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def asset_digest(meta: pd.Series, source: pd.Series) -> pd.Series:
     """sha256 of sorted JSON and, where there is one, the source's bytes."""
 
@@ -61,7 +64,7 @@ def front_matter_of(text: str | None) -> tuple[dict[str, str], str]:
     return {k: " ".join(p for p in v if p) for k, v in out.items()}, m[2].strip()
 
 
-@F.udf("struct<fields:map<string,string>,body:string>", useArrow=True)
+@F.udf(T.StructType([T.StructField("fields", T.MapType(T.StringType(), T.StringType())), T.StructField("body", T.StringType())]), useArrow=True)
 def front_matter(text):
     fields, body = front_matter_of(text)
     return {"fields": fields, "body": body}
@@ -77,13 +80,13 @@ def decoded(content: bytes) -> tuple[str, str]:
     return content.decode("utf-8", "ignore"), "utf-8-ignore"
 
 
-@F.udf("struct<encoding:string,rows:array<array<string>>>", useArrow=True)
+@F.udf(T.StructType([T.StructField("encoding", T.StringType()), T.StructField("rows", ROWS)]), useArrow=True)
 def csv_rows(content):
     text, encoding = decoded(bytes(content or b""))
     return {"encoding": encoding, "rows": [list(r) for r in csv.reader(io.StringIO(text, newline=""))]}
 
 
-@F.udf("array<array<string>>", useArrow=True)
+@F.udf(ROWS, useArrow=True)
 def html_table_rows(source):
     """Rows of cell texts, padded to one width."""
     if source is None:
@@ -97,7 +100,7 @@ def html_table_rows(source):
     return [r + [""] * (width - len(r)) for r in rows]
 
 
-@F.udf("array<array<string>>", useArrow=True)
+@F.udf(ROWS, useArrow=True)
 def gfm_table_rows(source):
     """Rows of a pipe table without its rule row."""
     if source is None:
@@ -143,7 +146,7 @@ def pack_paragraphs(text: str, most: int = 5000, overlap: int = 200, lossy: bool
     return out
 
 
-@F.udf("array<string>", useArrow=True)
+@F.udf(T.ArrayType(T.StringType()), useArrow=True)
 def paragraph_blocks(text):
     return [] if text is None else pack_paragraphs(text)
 
@@ -172,6 +175,6 @@ def adaptive_chunks(text: str) -> list[str]:
     return chunks
 
 
-@F.udf("array<string>", useArrow=True)
+@F.udf(T.ArrayType(T.StringType()), useArrow=True)
 def qa_chunks(text):
     return [] if not text else adaptive_chunks(text)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import governance, knowledge
+
 
 def queries() -> dict:
-    return {}
+    return knowledge.QUERIES | governance.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return knowledge.ORACLES | governance.ORACLES
