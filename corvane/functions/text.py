@@ -82,7 +82,7 @@ def normal_ref(ref: Column) -> Column:
 def normal_path(path: Column) -> Column:
     """Forward slashes, no empty or `.` parts."""
     parts = F.filter(F.split(F.regexp_replace(path, r"\\", "/"), "/"), lambda p: ~p.isin("", "."))
-    return F.array_join(F.transform(parts, F.trim), "/")
+    return F.array_join(F.transform(parts, lambda p: F.trim(p)), "/")
 
 
 def relative_path(path: Column, base: str) -> Column:
@@ -93,7 +93,7 @@ def relative_path(path: Column, base: str) -> Column:
 
 def doc_refs(content: Column) -> Column:
     """Distinct non-empty reference names in order."""
-    names = F.transform(F.regexp_extract_all(content, F.lit(DOC_REF), F.lit(1)), F.trim)
+    names = F.transform(F.regexp_extract_all(content, F.lit(DOC_REF), F.lit(1)), lambda x: F.trim(x))
     return F.array_distinct(F.filter(names, lambda x: x != ""))
 
 
@@ -136,7 +136,7 @@ def truncated(s: Column, most: int = 160) -> Column:
 def table_summary(name: Column, headers: Column, rows: Column, n_rows: Column, n_columns: Column) -> Column:
     """A sentence on a table's shape, its first eight headers and 3 x 4 sample cells."""
     heads = F.array_join(F.slice(F.filter(headers, lambda h: h != ""), 1, 8), "、")
-    sample = F.transform(F.slice(rows, 1, 3), lambda r: F.array_join(F.filter(F.transform(F.slice(r, 1, 4), truncated), lambda c: c != ""), " / "))
+    sample = F.transform(F.slice(rows, 1, 3), lambda r: F.array_join(F.filter(F.transform(F.slice(r, 1, 4), lambda c: truncated(c)), lambda c: c != ""), " / "))
     sample = F.array_join(F.filter(sample, lambda x: x != ""), "；")
     filled = lambda c, other: F.when(c == "", other).otherwise(c)
     return F.format_string("表格 %s 包含 %d 行、%d 列的结构化数据，主要字段包括：%s。示例值：%s。", name, n_rows, n_columns, filled(heads, "无明确表头"), filled(sample, "无示例值"))
