@@ -115,13 +115,15 @@ def _table(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for t in texts:
         seq = symbol[t]
         move = suffix_automaton(seq[seq < 63].tolist(), width)
-        root = move[0].copy()
-        fresh = np.where(root >= 0, (root + base) * width, base * width)  # a symbol that never occurs is a phrase alone
-        step = np.where(move >= 0, ((move.astype(np.int64) + base) * width) << 1, (fresh.astype(np.int64) << 1 | 1)[None, :])
-        step[0, root < 0] |= 1
+        dead = len(move)  # after a symbol that the sample lacks, which is a phrase alone
+        fresh = np.where(move[0] >= 0, move[0], dead).astype(np.int64)  # where a new phrase goes with each symbol
+        step = np.empty((dead + 1, width), np.int64)
+        step[:dead] = np.where(move >= 0, ((move.astype(np.int64) + base) * width) << 1, (((fresh + base) * width) << 1 | 1)[None, :])
+        step[0] = ((fresh + base) * width) << 1  # a block's first phrase is counted at its beginning
+        step[dead] = ((fresh + base) * width) << 1 | 1
         parts.append(step.astype(np.uint32))
         roots.append(base * width)
-        base += len(move)
+        base += dead + 1
     _built.clear()
     _built[model.key] = (np.concatenate(parts).ravel(), np.array(roots, np.uint32), symbol)
     return _built[model.key]

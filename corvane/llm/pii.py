@@ -213,25 +213,33 @@ def surrogate_table(distinct: DataFrame, key: str, *, most_attempts: int = 40) -
 
 def replace_in_documents(docs: DataFrame, *, key: str = "corvane", report: bool = False) -> DataFrame:
     """The documents, all their columns, with surrogates in text; with report, n_entities and entity_types too."""
+    columns = docs.columns
+
+    def own(name: str) -> str:
+        """A column name that the documents don't have."""
+        while name.lower() in {c.lower() for c in columns}:
+            name = f"_{name}"
+        return name
+
+    h, m, types, salt = own("pii_h"), own("pii_m"), own("pii_types"), own("pii_salt")
     found = F.col("text").rlike(MAYBE) & F.col("text").rlike(PATTERN)
-    mentions = docs.filter(found).select(F.md5("text").alias("pii_h"), entities(F.col("text")).alias("pii_e")).distinct()
+    mentions = docs.filter(found).select(F.md5("text").alias("h"), entities(F.col("text")).alias("e")).distinct()
     mentions = written(mentions, "mentions")
-    one = mentions.select("pii_h", F.explode(F.array_distinct("pii_e")).alias("e"))
+    one = mentions.select("h", F.explode(F.array_distinct("e")).alias("e"))
     one = one.withColumn("kind", entity_type(F.col("e"))).withColumn("canon", canonical(F.col("kind"), F.col("e")))
     table = surrogate_table(one.select("kind", "canon").distinct(), key)
     # An entity may be in a third of all documents: its mentions are dealt over SALTS copies of its row.
     salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    one = one.withColumn("salt", F.pmod(F.xxhash64("pii_h"), F.lit(SALTS)).cast("int"))
-    resolved = one.join(salted, ["kind", "canon", "salt"]).select("pii_h", F.struct("e", rendered(F.col("kind"), F.col("e"), F.col("sur")).alias("s"), "kind").alias("x"))
-    by_text = resolved.groupBy("pii_h").agg(F.map_from_entries(F.collect_list(F.struct("x.e", "x.s"))).alias("pii_m"), F.sort_array(F.collect_set("x.kind")).alias("pii_types"))
+    one = one.withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(SALTS)).cast("int"))
+    resolved = one.join(salted, ["kind", "canon", "salt"]).select("h", F.struct("e", rendered(F.col("kind"), F.col("e"), F.col("sur")).alias("s"), "kind").alias("x"))
+    by_text = resolved.groupBy(F.col("h").alias(h)).agg(F.map_from_entries(F.collect_list(F.struct("x.e", "x.s"))).alias(m), F.sort_array(F.collect_set("x.kind")).alias(types))
     # So may a text: copies are dealt alike.
-    by_text = by_text.withColumn("pii_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    columns = docs.columns
-    with_some = docs.filter(found).withColumn("pii_h", F.md5("text"))
-    with_some = with_some.withColumn("pii_salt", F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")).join(by_text, ["pii_h", "pii_salt"])
+    by_text = by_text.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    with_some = docs.filter(found).withColumn(h, F.md5("text"))
+    with_some = with_some.withColumn(salt, F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")).join(by_text, [h, salt])
     between, inner = F.split(F.col("text"), PATTERN, -1), entities(F.col("text"))
-    joined = F.array_join(F.zip_with(between, inner, lambda a, e: F.concat(a, F.coalesce(F.element_at(F.col("pii_m"), e), F.lit("")))), "")
-    extra = [F.size(inner).cast("bigint").alias("n_entities"), F.col("pii_types").alias("entity_types")] if report else []
+    joined = F.array_join(F.zip_with(between, inner, lambda a, e: F.concat(a, F.coalesce(F.element_at(F.col(m), e), F.lit("")))), "")
+    extra = [F.size(inner).cast("bigint").alias("n_entities"), F.col(types).alias("entity_types")] if report else []
     changed = with_some.select(*(joined.alias(c) if c == "text" else F.col(c) for c in columns), *extra)
     extra = [F.lit(0).cast("bigint").alias("n_entities"), F.array().cast("array<string>").alias("entity_types")] if report else []
     return docs.filter(F.coalesce(~found, F.lit(True))).select(*columns, *extra).unionByName(changed)

@@ -178,7 +178,7 @@ def assemble(records: DataFrame) -> DataFrame:
     """
     kind = F.col("record_type")
     answer = kind.isin("response", "revisit")
-    core = ["record_id", "record_type", "date", "target_uri", "refers_to", "header_digest", "content_type", "fields", "payload", "payload_bytes", "payload_digest"]
+    core = ["record_id", "record_type", "date", "target_uri", "concurrent_to", "refers_to", "header_digest", "content_type", "fields", "payload", "payload_bytes", "payload_digest"]
     whole = F.struct(*core)
     grouped = records.groupBy(F.when(answer, F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id")).alias("capture_id")).agg(
         F.first(F.when(answer, whole), ignorenulls=True).alias("response"),
