@@ -147,3 +147,20 @@ def image_chunks(chunks: DataFrame, images: DataFrame) -> DataFrame:
     both = by_path.unionByName(by_name)
     best = both.withColumn("best", F.min("by").over(W.partitionBy("path"))).filter("by = best")
     return best.groupBy("path").agg(F.array_join(F.sort_array(F.collect_set("chunk_id")), ",").alias("chunk_ids"))
+
+
+def listing(df: DataFrame, equal: dict, at: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Rows that meet those of the conditions that are given; None doesn't restrict."""
+    for column, value in equal.items():
+        if value is not None:
+            df = df.filter(F.col(column) == value)
+    if since is not None:
+        df = df.filter(F.col(at) >= F.lit(since).cast("timestamp_ntz"))
+    if until is not None:
+        df = df.filter(F.col(at) <= F.lit(until).cast("timestamp_ntz"))
+    return df
+
+
+def with_tags(df: DataFrame, tags: str, required: list[str]) -> DataFrame:
+    """Rows that have all required tags."""
+    return df.filter(F.size(F.array_except(F.array(*(F.lit(t) for t in required)), F.col(tags))) == 0)

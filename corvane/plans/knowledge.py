@@ -305,3 +305,121 @@ def rule_recurring_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = e.agg(F.max("ts").alias("end"))
     x = e.join(F.broadcast(end), F.col("ts") >= F.col("end") - F.expr("interval 30 days"))
     return x.groupBy("user_id", "event_type").agg(F.count("*").alias("n")).filter("n >= 3")
+
+
+@query("""SELECT user_id, event_id AS line_no, 'mod' || user_id AS module, event_type AS level, CAST(event_id AS VARCHAR) AS tid, 'value ' || value AS message FROM events""")
+def prj01_log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as log lines, one file per user, and parsed again."""
+    e = table(spark, sf_dir, "events")
+    line = F.format_string("1#:2:[%s]: mod%d :%s:3:tid:%d:value %s ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "user_id", F.upper("event_type"), "event_id", F.col("value").cast("string"))
+    r = L.parse_logs(e.select(F.col("user_id").cast("string").alias("source_path"), F.col("event_id").alias("line_no"), line.alias("line")))
+    return r.select(F.col("source_path").cast("bigint").alias("user_id"), "line_no", "module", "level", "tid", "message")
+
+
+@query("""SELECT user_id, count(*) AS n_records, CAST(sum(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_heads FROM (SELECT user_id, event_id, sum(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS rid FROM events) WHERE event_id % 3 = 0 OR rid = 0 GROUP BY 1""")
+def prj02_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three lines are indented: they continue the record before them, or stand alone before the first."""
+    e = table(spark, sf_dir, "events")
+    head = F.format_string("1#:2:[2024-01-01 00:00:00]:m:info:3:tid:%d:x", "event_id")
+    line = F.when(F.col("event_id") % 3 == 0, head).otherwise(F.concat(F.lit("  more "), F.col("event_id").cast("string")))
+    r = L.parse_logs(e.select(F.col("user_id").cast("string").alias("source_path"), F.col("event_id").alias("line_no"), line.alias("line")))
+    return r.groupBy(F.col("source_path").cast("bigint").alias("user_id")).agg(F.count("*").alias("n_records"), F.count("module").alias("n_heads"))
+
+
+@query("SELECT p_partkey, 'Case' || p_size AS case_key, CASE WHEN p_size % 2 = 0 THEN 'EVSHWT-' || p_size ELSE '' END AS case_id FROM part")
+def prj06_case_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = F.col("p_size").cast("string")
+    stem = F.concat(F.lit(" Case"), z, F.lit(" __"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("evshwt-"), z)).otherwise("x"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.case_key(stem).alias("case_key"), X.case_id(stem).alias("case_id"))
+
+
+@query("SELECT page_id, replace(regexp_replace(url, '^https?://', ''), '//', '/') AS rel, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages")
+def prj12_relative_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bare = F.regexp_replace("url", "^https?://", "")
+    return table(spark, sf_dir, "pages").select("page_id", X.relative_path(F.concat(F.lit("/base/"), F.regexp_replace(bare, "//", "/")), "/base").alias("rel"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"))
+
+
+@query("SELECT p_partkey, p_name AS doc, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size END AS nth FROM part")
+def prj21_table_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("p_size") % 3 == 0, F.concat("p_name", F.lit(".csv"))).otherwise(F.concat("p_name", F.lit("_table_"), F.col("p_size").cast("string"), F.lit(".csv")))
+    doc, nth = X.table_file(name)
+    return table(spark, sf_dir, "part").select("p_partkey", doc.alias("doc"), nth.alias("nth"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'own' ELSE 'svc:do_' || s_suppkey || '()' END AS endpoint FROM supplier")
+def prj27_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", X.endpoint_of(F.when(k % 2 == 0, "own").otherwise(""), F.lit("svc"), F.concat(F.lit("do-"), k.cast("string"))).alias("endpoint"))
+
+
+@query("SELECT p_partkey, p_name AS question, CAST(p_size AS VARCHAR) AS answer, 'general' AS category FROM part WHERE p_size % 4 <> 0")
+def prj28_model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies as fenced JSON, bare JSON, or no JSON at all; items without an answer are dropped."""
+    item = F.format_string('[{"question": " %s", "answer": "%d "}, {"question": "x", "answer": ""}]', "p_name", "p_size")
+    z = F.col("p_size") % 4
+    reply = F.when(z == 0, "sorry").when(z == 1, F.concat(F.lit("```json\n"), item, F.lit("\n```"))).when(z == 2, F.concat(F.lit("here: "), item)).otherwise(item)
+    q = table(spark, sf_dir, "part").select("p_partkey", F.explode(X.qa_items(reply)).alias("q"))
+    return q.select("p_partkey", "q.question", "q.answer", "q.category")
+
+
+@query("SELECT o_orderkey % 50 AS k, 'case_id' AS kind, count(DISTINCT o_orderkey) AS n FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1 UNION ALL SELECT o_orderkey % 70, 'device_sn', count(DISTINCT o_orderkey) FROM orders GROUP BY 1")
+def agg01_fault_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, s = F.col("o_orderkey"), lambda c: c.cast("string")
+    w = table(spark, sf_dir, "orders").select(s(k).alias("source_stem"), s(k).alias("fault_windows_file"), F.array(s(k)).alias("segments"), F.when(F.col("o_custkey") % 3 != 0, s(k % 50)).otherwise("").alias("case_id"), s(k % 70).alias("device_sn"))
+    return L.fault_index(w).select(F.col("key").cast("bigint").alias("k"), "kind", F.size("entries").cast("bigint").alias("n"))
+
+
+@query("SELECT DISTINCT l_suppkey AS src, l_partkey AS dst, l_returnflag AS rel FROM lineitem")
+def ded01_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("rel")).dropDuplicates(["src", "dst", "rel"])
+
+
+@query("SELECT c_custkey, n_name, CASE WHEN c_custkey % 2 = 0 THEN 'own' WHEN c_custkey % 3 = 0 THEN 'side' ELSE 'none' END AS layer FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def jn10_inherited_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", "n_name")
+    own = c.filter("c_custkey % 2 = 0").select("c_custkey", F.lit("own").alias("layer"))
+    side = c.filter("c_custkey % 3 = 0").select("c_custkey", F.lit("side").alias("layer"))
+    return M.inherited_metadata(c, [(own, "c_custkey"), (side, "c_custkey")], ["layer"], {"layer": "none"})
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '1997-01-01'")
+def qry03_optional_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.listing(table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey")), equal={"o_orderstatus": "F", "c_mktsegment": None}, at="o_orderdate", since="1997-01-01").select("c_custkey", "o_orderkey")
+
+
+@query("SELECT s_suppkey, rank FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS rank FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 3 = 0) WHERE rank <= 5")
+def qry05_tagged_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    t = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.array_compact(F.array(F.when(k % 2 == 0, "even"), F.when(k % 3 == 0, "three"))).alias("tags"))
+    best = D.with_tags(t, "tags", ["even", "three"]).orderBy("s_acctbal", "s_suppkey").limit(5)
+    return best.withColumn("rank", F.row_number().over(W.orderBy("s_acctbal", "s_suppkey")).cast("bigint")).select("s_suppkey", "rank")
+
+
+@query(f"WITH {_MERGED} SELECT user_id, win_start, win_end, n_anchors FROM wins")
+def str03_fault_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming form of fault windows, run over the whole table."""
+    from ..streaming.streams import fault_sessions
+
+    a = table(spark, sf_dir, "events").filter("event_type = 'error'").withColumn("ts", F.col("ts").cast("timestamp"))
+    s = fault_sessions(a, "user_id", "ts", 7200, 14400, 7200)
+    return s.select("user_id", F.unix_micros("win_start").alias("win_start"), F.unix_micros("win_end").alias("win_end"), "n_anchors")
+
+
+@query("SELECT conv_id, CAST(max(turn) AS BIGINT) AS turn, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY 1")
+def str04_keep_latest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns read as a stream of files; per conversation the number of turns and the last one, from the finished state."""
+    from ..sources.sinks import stream_result
+
+    schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
+    s = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_as_folder(spark, sf_dir, "conversations"))
+    return stream_result(s.groupBy("conv_id").agg(F.max("turn").alias("turn"), F.count("*").alias("n")))
+
+
+def _as_folder(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """The table in the shared folder as a folder of files, as a stream's source wants it."""
+    from ..sources.sinks import shared_path
+
+    path = shared_path(spark, name)
+    table(spark, sf_dir, name).write.parquet(path)
+    return path

@@ -56,3 +56,24 @@ def to_csv_text(rows, bom: bool = True):
     cell = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), '"', "'"), r"[\r\n]+", " "), F.lit('"'))
     body = F.array_join(F.transform(rows, lambda r: F.array_join(F.transform(r, cell), ",")), "\n")
     return F.concat(F.lit("﻿"), body) if bom else body
+
+
+def shared_path(spark, name: str) -> str:
+    """A new path in the folder the cluster names in spark.checkpoint.dir; only where that is unset a temporary one."""
+    import uuid
+
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corvane-")
+    return f"{root.rstrip('/')}/corvane/{name}-{uuid.uuid4().hex}"
+
+
+def stream_result(df: DataFrame) -> DataFrame:
+    """What a streaming aggregate has once its present input is read: the last complete table, written by foreachBatch."""
+    spark = df.sparkSession
+    path = shared_path(spark, "stream")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/table")
+
+    query = df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{path}/table")
