@@ -213,19 +213,19 @@ def gr09_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("k", F.bround("score", 6).alias("score"), F.size("missing").cast("bigint").alias("n_missing"), "retry")
 
 
-@query("""WITH e AS (SELECT l_suppkey AS s, l_partkey AS d, l_returnflag AS rel FROM lineitem WHERE l_partkey % 50 = 0),
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS d, l_returnflag AS rel FROM lineitem),
 g AS (SELECT a.s AS a, b.s AS b, count(DISTINCT a.d) AS shared, avg(CASE WHEN a.rel = b.rel THEN 1.0 ELSE 0.0 END) AS agreement FROM e a JOIN e b ON a.d = b.d AND a.s < b.s WHERE a.rel <> 'N' AND b.rel <> 'N' GROUP BY 1, 2)
 SELECT a, b, shared, round_even(0.5 / shared + 0.3 * agreement + 0.2, 4) AS score FROM g""")
 def gr10_portfolio_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "lineitem").filter("l_partkey % 50 = 0").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("rel"))
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("rel")).distinct()
     return G.portfolio_links(e, F.lit(1.0), membership="N").select("a", "b", "shared", "score")
 
 
-@query("""SELECT 'not_in_graph' AS gap, n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 40)
+@query("""SELECT 'not_in_graph' AS gap, n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 4000)
 UNION ALL SELECT 'single_member_theme', t FROM (SELECT 'r' || (n_nationkey // 3) AS t, count(*) AS c FROM nation GROUP BY 1) WHERE c = 1""")
 def gr12_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
-    used = table(spark, sf_dir, "supplier").filter("s_suppkey < 40").select(F.col("s_nationkey").alias("n_nationkey")).join(n, "n_nationkey").select(F.col("n_name").alias("id")).distinct()
+    used = table(spark, sf_dir, "supplier").filter("s_acctbal < 4000").select(F.col("s_nationkey").alias("n_nationkey")).join(n, "n_nationkey").select(F.col("n_name").alias("id")).distinct()
     return G.gaps(n.select(F.col("n_name").alias("ticker")), used, n.select(F.col("n_name").alias("ticker"), F.concat(F.lit("r"), F.floor(F.col("n_nationkey") / 3).cast("string")).alias("theme")))
 
 

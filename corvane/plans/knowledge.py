@@ -55,11 +55,11 @@ def jn09_window_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_MERGED}, m AS (SELECT user_id, window_id, us, CAST(value AS VARCHAR) AS v FROM w3)
-SELECT user_id, CAST(window_id AS INTEGER) AS window_id, count(DISTINCT v) AS n_distinct FROM m GROUP BY 1, 2 HAVING count(*) <= 5""")
+SELECT user_id, CAST(window_id AS INTEGER) AS window_id, least(5, count(DISTINCT v)) AS n_distinct FROM m GROUP BY 1, 2""")
 def agg18_window_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _events(spark, sf_dir).filter("event_type = 'error'").withColumn("message", F.col("value").cast("string"))
     w = L.fault_windows(a, "user_id", "us", "message", BEFORE, AFTER, GAP)
-    return w.filter("n_anchors <= 5").select("user_id", "window_id", F.size("samples").cast("bigint").alias("n_distinct"))
+    return w.select("user_id", "window_id", F.size("samples").cast("bigint").alias("n_distinct"))
 
 
 @query("""SELECT event_id, user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id) AS n FROM events) WHERE n = 1""")
@@ -233,18 +233,23 @@ def upd07_distinct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.distinct_names(p, "name", "p_partkey").select("p_partkey", "target")
 
 
-@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id < 5)
+def _label_queries(e: DataFrame) -> DataFrame:
+    return e.groupBy("label").agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("q")).select(F.col("q.vec_id").alias("query_id"), "q.embedding")
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label))
 SELECT query_id, CAST(rank AS INTEGER) AS rank, id FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, e.v) DESC, e.vec_id) AS rank FROM q, e) WHERE rank <= 10""")
 def vec01_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest to the first vector of each label."""
     e = table(spark, sf_dir, "embeddings")
-    return S.nearest(e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("id"), "embedding"), 10).select("query_id", "rank", "id")
+    return S.nearest(_label_queries(e), e.select(F.col("vec_id").alias("id"), "embedding"), 10).select("query_id", "rank", "id")
 
 
-@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id < 5), s AS (SELECT q.vec_id AS query_id, list_cosine_similarity(q.v, e.v) AS c, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, e.v) DESC, e.vec_id) AS r FROM q, e)
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)), s AS (SELECT q.vec_id AS query_id, list_cosine_similarity(q.v, e.v) AS c, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, e.v) DESC, e.vec_id) AS r FROM q, e)
 SELECT query_id, count(*) FILTER (WHERE r <= 10 AND c >= 0.6) > 0 AS evidence, count(*) FILTER (WHERE r <= 10 AND c >= 0.6) AS n_sources FROM s GROUP BY 1""")
 def gr13_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
+    q = _label_queries(e)
     a = S.answers(S.nearest(q, e.select(F.col("vec_id").alias("id"), "embedding"), 10), q, 0.6)
     return a.select("query_id", "evidence", F.coalesce(F.size("sources"), F.lit(0)).cast("bigint").alias("n_sources"))
 
