@@ -108,18 +108,52 @@ def distinct_documents(hashes: np.ndarray, count: np.ndarray, bands: int = 8, gr
     return np.array([find(k) == k for k in range(n)])
 
 
-def select_features(doc: np.ndarray, feats: dict[int, np.ndarray], toxic: np.ndarray, counted: np.ndarray, clean_weight: float, *, most: int = 400, precision: float = 0.8, evidence: float = 18.0) -> list[tuple[int, int]]:
+class Words:
+    """The distinct words of texts with their features, and each text's words in order as numbers; built slice by slice."""
+
+    def __init__(self, column) -> None:
+        index, docs, table = K.HashIndex(16), [], {k: [] for k in (0, *PREFIXES)}
+        self.count = np.zeros(len(column), np.int64)
+        at = 0
+        batch = pa.RecordBatch.from_arrays([column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column], names=["text"])
+        for part in K.slices(batch):
+            data, off, _ = K.utf8(part.column(0))
+            starts, ends, count, low = tokens(K.codepoints(data), K.char_offsets(data, off))
+            keys = K.span_hash(low, starts, ends)
+            got = index.find(keys)
+            new = np.flatnonzero(got < 0)
+            if len(new):
+                distinct, first = np.unique(keys[new], return_index=True)
+                first = new[first]
+                index.add(distinct)
+                for k, h in token_features(low, starts[first], ends[first]).items():
+                    table[k].append(h)
+                got[new] = index.find(keys[new])
+            docs.append(got.astype(np.int32))
+            self.count[at : at + len(count)] = count
+            at += len(count)
+        none = [np.zeros(0, np.uint64)]
+        self.table = {k: np.concatenate(v or none) for k, v in table.items()}
+        self.word = np.concatenate(docs or [np.zeros(0, np.int32)])
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (text, word)."""
+        doc = np.repeat(np.arange(len(self.count)), self.count)
+        return _unique_pairs(doc, self.word, len(self.table[0]) + 1)
+
+
+def select_features(words: Words, toxic: np.ndarray, counted: np.ndarray, clean_weight: float, *, most: int = 400, precision: float = 0.8, evidence: float = 18.0) -> list[tuple[int, int]]:
     """(kind, hash) of the features that mark toxic documents, the most telling first.
 
     counted: toxic documents that count (one of each group of near copies). A feature must have the
     precision, and `evidence` nats for its documents being toxic so often by chance. Each choice
-    takes the tokens that it covers out of the count.
+    takes the words that it covers out of the count.
     """
-    mine = (toxic & counted)[doc]
-    kinds = list(feats)
-    token = np.flatnonzero(mine)
-    flat = np.concatenate([feats[k][token] for k in kinds])
-    owner, kind_of = np.tile(token, len(kinds)), np.repeat(np.arange(len(kinds)), len(token))
+    kinds = list(words.table)
+    doc, word = words.pairs()
+    mine, others = np.flatnonzero((toxic & counted)[doc]), np.flatnonzero(~toxic[doc])
+    flat = np.concatenate([words.table[k][word[mine]] for k in kinds])
+    owner, kind_of = np.tile(mine, len(kinds)), np.repeat(np.arange(len(kinds), dtype=np.int8), len(mine))
     ok = flat != 0
     flat, owner, kind_of = flat[ok], owner[ok], kind_of[ok]
     names, first, index = np.unique(flat, return_index=True, return_inverse=True)
@@ -127,16 +161,14 @@ def select_features(doc: np.ndarray, feats: dict[int, np.ndarray], toxic: np.nda
         return []
     kind_of = kind_of[first]
     n_names = len(names)
-    _, t_feat = _unique_pairs(doc[owner], index, n_names)
-    support = np.bincount(t_feat, minlength=n_names)
+    support = np.bincount(_unique_pairs(doc[owner], index, n_names)[1], minlength=n_names)
     lookup = K.HashIndex(max(10, int(2 * n_names).bit_length()))
     lookup.add(names)
-    others, seen = ~toxic[doc], []
-    for k in kinds:
-        got = lookup.find(feats[k][others])
-        hit = got >= 0
-        seen.append(np.unique(doc[others][hit].astype(np.int64) * n_names + got[hit]))
-    clean = np.bincount(np.unique(np.concatenate(seen)) % n_names, minlength=n_names)
+    clean = np.zeros(n_names, np.int64)
+    for k in kinds:  # a name belongs to one kind
+        got = lookup.find(words.table[k])[word[others]]
+        hit = np.flatnonzero(got >= 0)
+        clean += np.bincount(_unique_pairs(doc[others[hit]], got[hit], n_names)[1], minlength=n_names)
     share = (toxic & counted).sum() / max(1, (toxic & counted).sum() + (~toxic).sum())
 
     def telling(n: np.ndarray) -> np.ndarray:
@@ -150,8 +182,7 @@ def select_features(doc: np.ndarray, feats: dict[int, np.ndarray], toxic: np.nda
     owner, index = owner[keep], index[keep]
     chosen: list[tuple[int, int]] = []
     while len(chosen) < most and len(index):
-        _, left_feat = _unique_pairs(doc[owner], index, n_names)
-        left = np.bincount(left_feat, minlength=n_names)
+        left = np.bincount(_unique_pairs(doc[owner], index, n_names)[1], minlength=n_names)
         usable = np.flatnonzero(telling(left))
         if not len(usable):
             break
@@ -254,10 +285,11 @@ class Model:
             self.sieve[k] = np.zeros(1 << 16, bool)
             self.sieve[k][(v >> np.uint64(48)).astype(np.int64)] = True
 
-    def slots(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(token, feature number) of all tokens that have a feature."""
+    def slots(self, features: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(token, feature number) of all tokens that have a feature, from the hashes of each kind."""
         at, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k, h in token_features(low, starts, ends, self.kinds).items():
+        for k in self.kinds:
+            h = features[k]
             maybe = np.flatnonzero(self.sieve[k][(h >> np.uint64(48)).astype(np.int64)])
             pos = np.minimum(np.searchsorted(self.by_kind[k], h[maybe]), len(self.by_kind[k]) - 1)
             hit = self.by_kind[k][pos] == h[maybe]
@@ -274,7 +306,7 @@ class Model:
         if self.chain is None or not len(starts):
             return z1, z2, (none, none, none, np.zeros(0))
         first = np.concatenate([[0], np.cumsum(count)])
-        token, which = self.slots(low, starts, ends)
+        token, which = self.slots(token_features(low, starts, ends, self.kinds))
         doc_of = np.searchsorted(first, token, "right") - 1
         flagged = np.zeros(n, bool)
         flagged[doc_of] = True
@@ -326,7 +358,7 @@ def _fit_curve(z1: np.ndarray, z2: np.ndarray, y: np.ndarray, weight: np.ndarray
     return b
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, usable=None, toxic_rows: int = 2500, clean_rows: int = 4000, seed: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, usable=None, toxic_rows: int = 1800, clean_rows: int = 2700, seed: int = 3) -> Model:
     """Learns from about toxic_rows toxic and clean_rows other labelled documents."""
     sample, totals = labelled_sample(docs, labels, "toxic", {1: toxic_rows, 0: clean_rows}, "toxicity", usable)
     share = totals.get(1, 0) / max(1, sum(totals.values()))
@@ -335,40 +367,44 @@ def fit(docs: DataFrame, labels: DataFrame, *, usable=None, toxic_rows: int = 25
     y = rows.column("label").to_numpy().astype(int)
     if not len(y) or y.all() or not y.any():
         return Model([], None, np.zeros(3), share)
-    data, off, _ = K.utf8(rows.column("text"))
-    codes, char_off = K.codepoints(data), K.char_offsets(data, off)
-    starts, ends, count, low = tokens(codes, char_off)
-    doc = np.repeat(np.arange(len(y)), count)
+    texts = rows.column("text").combine_chunks()
+    words = Words(texts)
     clean_weight = (totals[0] / max(1, (y == 0).sum())) / (totals[1] / max(1, (y == 1).sum()))
-    feats = token_features(low, starts, ends)
-    features = select_features(doc, feats, y == 1, distinct_documents(feats[0], count), clean_weight)
-    del feats
+    some = np.flatnonzero(y == 1)
+    distinct = np.zeros(len(y), bool)
+    in_toxic = np.repeat(y == 1, words.count)
+    distinct[some] = distinct_documents(words.table[0][words.word[in_toxic]], words.count[some])
+    features = select_features(words, y == 1, distinct, clean_weight)
     if not features:
         return Model([], None, np.zeros(3), share)
     model = Model(features, None, np.zeros(3), share)
-    token, which = model.slots(low, starts, ends)
+    word, which = model.slots(words.table)
     slots = 3
-    feature = np.zeros((len(starts), slots), np.int64)
-    order = np.lexsort((which, token))
-    token, which = token[order], which[order]
-    nth = np.arange(len(token)) - np.searchsorted(token, token)
-    feature[token[nth < slots], nth[nth < slots]] = which[nth < slots]
-    tag = ((feature[:, 0] > 0) & (y[doc] == 1)).astype(np.int64)
-    first = np.cumsum(count) - count
-    part = (np.arange(len(starts)) - first[doc]) // SEGMENT
-    seg_key = doc.astype(np.int64) * (1 << 32) + part
-    seg_start = np.flatnonzero(np.append(True, seg_key[1:] != seg_key[:-1]))
-    seg_size = np.diff(np.append(seg_start, len(starts)))
-    has = np.add.reduceat(feature[:, 0] > 0, seg_start) > 0
+    of_word = np.zeros((len(words.table[0]), slots), np.int16)
+    order = np.lexsort((which, word))
+    word, which = word[order], which[order]
+    nth = np.arange(len(word)) - np.searchsorted(word, word)
+    of_word[word[nth < slots], nth[nth < slots]] = which[nth < slots]
+    marked = of_word[words.word, 0] > 0
+    first = np.cumsum(words.count) - words.count
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), words.count)
+    fresh = (np.arange(len(doc)) - first[doc]) % SEGMENT == 0
+    seg_start = np.flatnonzero(fresh)
+    seg_size = np.diff(np.append(seg_start, len(doc)))
+    has = np.add.reduceat(marked, seg_start) > 0
     rng = np.random.default_rng(seed)
-    with_feature, without = np.flatnonzero(has), np.flatnonzero(~has)
-    pick = np.concatenate([rng.permutation(with_feature)[:4000], rng.permutation(without)[:2000]])
-    rows_at = seg_start[pick][:, None] + np.arange(SEGMENT)
+    pick = np.concatenate([rng.permutation(np.flatnonzero(has))[:3000], rng.permutation(np.flatnonzero(~has))[:1500]])
     real = np.arange(SEGMENT) < seg_size[pick][:, None]
-    rows_at = np.where(real, rows_at, 0)
-    chain = train_chain(feature[rows_at] * real[:, :, None], np.where(real, tag[rows_at], -1), len(features))
+    rows_at = np.where(real, seg_start[pick][:, None] + np.arange(SEGMENT), 0)
+    tag = (marked[rows_at] & (y[doc[rows_at]] == 1)).astype(np.int64)
+    chain = train_chain(of_word[words.word[rows_at]].astype(np.int64) * real[:, :, None], np.where(real, tag, -1), len(features))
     model = Model(features, chain, np.zeros(3), share)
-    z1, z2, _ = model.statistics(codes, char_off)
+    del words, marked, doc
+    z = []
+    for part in K.slices(pa.RecordBatch.from_arrays([texts], names=["text"])):
+        data, off, _ = K.utf8(part.column(0))
+        z.append(np.stack(model.statistics(K.codepoints(data), K.char_offsets(data, off))[:2]))
+    z1, z2 = np.concatenate(z, axis=1)
     model.curve = _fit_curve(z1, z2, y, np.where(y == 1, totals[1] / (y == 1).sum(), totals[0] / (y == 0).sum()))
     return model
 
@@ -383,7 +419,7 @@ def score_documents(docs: DataFrame, model: Model, *, threshold: float = 0.7, he
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])
 
     def run(batch):
-        for part in K.slices(batch, "text", 8 * K.SLICE_BYTES):
+        for part in K.slices(batch, "text", K.SLICE_BYTES):
             data, off, _ = K.utf8(part.column(2))
             char_off = K.char_offsets(data, off)
             z1, z2, (doc, start, end, p) = model.statistics(K.codepoints(data), char_off)
@@ -400,7 +436,7 @@ def keep_documents(docs: DataFrame, model: Model, *, threshold: float = 0.7) ->
     at = docs.columns.index("text")
 
     def run(batch):
-        for part in K.slices(batch, "text", 8 * K.SLICE_BYTES):
+        for part in K.slices(batch, "text", K.SLICE_BYTES):
             data, off, _ = K.utf8(part.column(at))
             z1, z2, _ = model.statistics(K.codepoints(data), K.char_offsets(data, off))
             yield part.filter(pa.array(model.score(z1, z2) < threshold))
