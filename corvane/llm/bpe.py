@@ -32,7 +32,7 @@ WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 #: Pieces that a worker remembers before it starts anew.
-CACHE_PIECES = 3 << 19
+CACHE_PIECES = 1 << 20
 
 
 @lru_cache(1)

@@ -39,7 +39,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
 from . import kernels as K
-from .common import map_arrow, written
+from .common import dropped, map_arrow, written
 
 #: Sets up to this size have a segment for each shingle.
 SMALL = 64
@@ -119,6 +119,25 @@ def set_digest(key: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.where(size > 0, np.maximum(d, np.uint64(1)), np.uint64(0)).view(np.int64)
 
 
+#: 64-bit words of a set's parity sketch. Each shingle flips one bit, so two sets' sketches differ in no more bits than the sets in shingles.
+WORDS = 12
+SKETCH = [f"s{k}" for k in range(WORDS)]
+
+
+def parity_sketch(key: np.ndarray, off: np.ndarray) -> np.ndarray:
+    n = len(off) - 1
+    doc = np.repeat(np.arange(n), np.diff(off))
+    bit = (K.mix64(key ^ np.uint64(0x3C3C3C3CC3C3C3C3)) % np.uint64(64 * WORDS)).astype(np.int64)
+    odd = np.bincount(doc * (64 * WORDS) + bit, minlength=n * 64 * WORDS).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n, 64 * WORDS), axis=1).view(np.int64).reshape(n, WORDS)
+
+
+def _may_link(percent: int):
+    """Whether the sketches of a and b leave room for a link; exact in that it never says no to one."""
+    apart = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in SKETCH[1:]), F.bit_count(F.col(f"a_{SKETCH[0]}").bitwiseXOR(F.col(f"b_{SKETCH[0]}"))))
+    return apart <= F.floor((F.col("size_a") + F.col("size_b")) * (100 - percent) / (100 + percent))
+
+
 def _segments(key: np.ndarray, off: np.ndarray, docs: np.ndarray, m: np.ndarray, b: np.ndarray, deleting: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(position in docs, signature) of the sets' non-empty segments and deletions; and segments per set."""
     size = np.diff(off)[docs]
@@ -150,13 +169,13 @@ ENTRY = np.dtype([("node", "<i8"), ("size", "<i4"), ("segments", "<i4")])
 
 
 def signature_blocks(docs: DataFrame, slots: int, width: int, percent: int) -> DataFrame:
-    """slot, entries, counts, signatures: packed per Arrow batch; equal sets of a task appear once."""
+    """slot, entries, counts, signatures: packed per 8 MB of text; equal sets of a task appear once."""
     schema = T.StructType.fromDDL("slot int, entries binary, counts binary, signatures binary")
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in K.slices(whole, most=4 * K.SLICE_BYTES)):
             nodes, sizes, segments, owners, sigs, base = [], [], [], [], [], 0
             for part in K.slices(batch):
                 data, off, _ = K.utf8(part.column(1))
@@ -168,7 +187,7 @@ def signature_blocks(docs: DataFrame, slots: int, width: int, percent: int) -> D
                     if (v := int(node[k])) not in seen:
                         seen.add(v)
                         keep.append(k)
-                if len(seen) > 1 << 21:
+                if len(seen) > 1 << 19:
                     seen.clear()
                 keep = np.array(keep, np.int64)
                 if not len(keep):
@@ -208,9 +227,18 @@ def signature_blocks(docs: DataFrame, slots: int, width: int, percent: int) -> D
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+MEMBER, STAR = 0, 1
+#: Members of a bucket that the others are held against in round one, and how many of them a set is verified against.
+LEADERS, STARS = 8, 24
+
+
 def buckets(blocks: DataFrame, slots: int, percent: int) -> DataFrame:
-    """bucket, node, size, segments (of the own band; -1: a probe) of all signatures that several nodes share."""
-    schema = "bucket bigint, node bigint, size int, segments int"
+    """Of all signatures that several nodes share, two kinds of rows:
+
+    MEMBER: k (bucket), node, size, n (segments of the own band; -1: a probe), and
+    STAR: k (a leader of the bucket), node (another member whose size fits), size, n (how often they meet so), once per slot.
+    """
+    schema = "kind tinyint, k bigint, node bigint, size int, n int"
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(table: pa.Table) -> pa.Table:
@@ -227,27 +255,48 @@ def buckets(blocks: DataFrame, slots: int, percent: int) -> DataFrame:
         many[:-1] |= same
         order, s = order[many], s[many]
         e = entry[who[order]]
-        # A set whose copies came from several tasks counts once in a bucket.
-        order = np.lexsort((e["segments"] < 0, e["node"], s))
+        # A set whose copies came from several tasks counts once in a bucket; the largest set leads.
+        order = np.lexsort((e["segments"] < 0, e["node"], -e["size"], s))
         e, s = e[order], s[order]
         first = np.ones(len(s), bool)
         first[1:] = (s[1:] != s[:-1]) | (e["node"][1:] != e["node"][:-1])
         e, s = e[first], s[first]
-        n = np.bincount(np.cumsum(np.append(True, s[1:] != s[:-1])) - 1) if len(s) else np.zeros(0, np.int64)
+        begin = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
+        n = np.diff(np.append(begin, len(s)))
         keep = np.repeat(n > 1, n)
-        e, s = e[keep], s[keep]
-        bucket = (s.astype(np.int64) << 20 | (slot & 0xFFFFF)) if slots <= 1 << 20 else K.mix64(s.astype(np.uint64) ^ np.uint64(slot << 32)).view(np.int64)
-        return pa.Table.from_arrays([pa.array(bucket), pa.array(e["node"].copy()), pa.array(e["size"].copy()), pa.array(e["segments"].copy())], schema=arrow)
+        bucket = (s[keep].astype(np.int64) << 20 | (slot & 0xFFFFF)) if slots <= 1 << 20 else K.mix64(s[keep].astype(np.uint64) ^ np.uint64(slot << 32)).view(np.int64)
+        node, size = e["node"][keep], e["size"][keep].astype(np.int64)
+        own = e["segments"][keep]
+        start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+        n = np.diff(np.append(start, len(bucket)))
+        stars = []
+        for k in range(LEADERS):  # the largest set, then others by chance, the same ones in every bucket that they share
+            if k:
+                rank = K.mix64(node.view(np.uint64) ^ np.uint64(k))
+                order = np.lexsort((rank, np.repeat(np.arange(len(n)), n)))
+                head = order[start] if len(start) else start
+            else:
+                head = start
+            lead = np.repeat(head, n)
+            ok = (node[lead] != node) & (100 * np.minimum(size, size[lead]) >= percent * np.maximum(size, size[lead]))
+            stars.append(np.stack([node[lead][ok], node[ok], size[ok]]))
+        sp, sx, ss = np.concatenate(stars, axis=1) if stars else np.zeros((3, 0), np.int64)
+        order = np.lexsort((sx, sp))
+        sp, sx, ss = sp[order], sx[order], ss[order]
+        begin = np.flatnonzero(np.append(True, (sp[1:] != sp[:-1]) | (sx[1:] != sx[:-1]))) if len(sp) else np.zeros(0, np.int64)
+        shared = np.diff(np.append(begin, len(sp)))
+        columns = [
+            np.repeat([MEMBER, STAR], [len(node), len(begin)]).astype(np.int8),
+            np.concatenate([bucket, sp[begin]]),
+            np.concatenate([node, sx[begin]]),
+            np.concatenate([size, ss[begin]]).astype(np.int32),
+            np.concatenate([own, shared]).astype(np.int32),
+        ]
+        return pa.Table.from_arrays([pa.array(c) for c in columns], schema=arrow)
 
     return blocks.repartition(slots, "slot").groupBy("slot").applyInArrow(run, schema)
 
 
-def _ordered(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs a < b whose sizes allow a link."""
-    ok = (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent) & (F.col("a") != F.col("b"))
-    return pairs.filter(ok).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def _bit_filter(ids: DataFrame) -> np.ndarray:
     """Bits of the ids' hashes: 2 MB whatever the number of ids (with very many it lets more through, never less)."""
     h = F.xxhash64("doc_id")
@@ -259,10 +308,18 @@ def _bit_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _verified(docs: DataFrame, digests: DataFrame, pairs: DataFrame, width: int, percent: int, salts: int = 8) -> DataFrame:
-    """The pairs of nodes (a, b) that link, by their sets."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    reps = digests.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+#: Sets that are verified against one set in one place.
+TOGETHER = 128
+
+
+def _verified(docs: DataFrame, digests: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs of nodes (a, b) that link, by their sets. A node may be a in very many pairs, which are dealt out."""
+    n = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / TOGETHER).cast("int"))
+    dealt = pairs.join(n, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node"))
+    heads = n.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"))
+    wanted = written(dealt.unionByName(heads), "wanted")
+    nodes = wanted.select("node").distinct()
+    reps = written(digests.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "representatives")
     bits = _bit_filter(reps.select("doc_id"))
     hashed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
 
@@ -279,27 +336,27 @@ def _verified(docs: DataFrame, digests: DataFrame, pairs: DataFrame, width: int,
             raw = key.tobytes()
             yield {"node": set_digest(key, at), "doc_id": part.column(0), "shingles": [raw[cut[k] : cut[k + 1]] for k in range(part.num_rows)]}
 
-    found = map_arrow(hashed, sets, "node bigint, doc_id bigint, shingles binary").join(reps, ["node", "doc_id"], "left_semi").dropDuplicates(["node"])
-    found = written(found.select("node", "shingles"), "sets")
-    # One node may be in very many pairs: its row is there for each salt.
-    left = found.select(F.col("node").alias("a"), F.col("shingles").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    right = found.select(F.col("node").alias("b"), F.col("shingles").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt2"))
-    both = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")).withColumn("salt2", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
-    both = both.join(left, ["a", "salt"]).join(right, ["b", "salt2"]).select("a", "b", "x", "y")
-
-    def linked(batch):
-        x, y = batch.column(2), batch.column(3)
-        ok = np.zeros(batch.num_rows, bool)
-        for k in range(batch.num_rows):
-            p, q = np.frombuffer(x[k].as_buffer(), np.uint64), np.frombuffer(y[k].as_buffer(), np.uint64)
-            if len(p) > len(q):
-                p, q = q, p
-            at = np.searchsorted(q, p)
-            same = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-            ok[k] = 100 * same >= percent * (len(p) + len(q) - same)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
-
-    return written(map_arrow(both, linked, "a bigint, b bigint"), "links")
+    found = map_arrow(hashed, sets, "node bigint, doc_id bigint, shingles binary")
+    placed = found.join(wanted.join(reps, "node"), ["node", "doc_id"]).select("a", "part", "node", "shingles")
+
+    def linked(table: pa.Table) -> pa.Table:
+        a = table.column("a")[0].as_py()
+        every = dict(zip(table.column("node").to_pylist(), (np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")), strict=True))
+        p = every.pop(a, np.zeros(0, np.uint64))
+        out = []
+        for b, q in every.items():
+            small, large = (p, q) if len(p) <= len(q) else (q, p)
+            if not len(small):
+                continue
+            same = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+            if 100 * same >= percent * (len(p) + len(q) - same):
+                out.append(b)
+        return pa.table({"a": pa.array([a] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
+
+    links = written(placed.groupBy("a", "part").applyInArrow(linked, "a bigint, b bigint"), "links")
+    dropped(wanted)
+    dropped(reps)
+    return links
 
 
 def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
@@ -337,47 +394,80 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 75) -> tup
                 m, t = allocate(band_high(v), percent)
                 _, _, per_set = _segments(key, at, which, np.full(len(which), m), np.full(len(which), v), np.zeros(len(which), np.int64))
                 short[which] = per_set < size[which] * (100 - percent) // percent + 1 if not t else False
-            yield {"doc_id": part.column(0), "n_shingles": size, "node": set_digest(key, at), "short": short}
+            sketch = parity_sketch(key, at)
+            yield {"doc_id": part.column(0), "n_shingles": size, "node": set_digest(key, at), "short": short} | {s: sketch[:, k] for k, s in enumerate(SKETCH)}
 
-    digests = written(map_arrow(docs.select("doc_id", "text"), digest, "doc_id bigint, n_shingles bigint, node bigint, short boolean"), "digests")
+    ddl = "doc_id bigint, n_shingles bigint, node bigint, short boolean, " + ", ".join(f"{s} bigint" for s in SKETCH)
+    digests = written(map_arrow(docs.select("doc_id", "text"), digest, ddl), "digests")
     with_set = digests.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     total = with_set.agg(F.sum("n_shingles").alias("n"), F.count_if("short").alias("short")).first()
     slots = max(32, math.ceil(0.6 * (total["n"] or 0) / SIGNATURES_PER_SLOT))
-    members = written(buckets(signature_blocks(docs, slots, width, percent), slots, percent), "buckets")
-
-    # Round one: each bucket's members against its largest set (nodes of equal size: the smallest node).
-    pivot = members.groupBy("bucket").agg(F.max(F.struct("size", F.negate("node").alias("k"))).alias("p"))
-    stars = members.join(pivot, "bucket").select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.negate(F.col("p.k")).alias("a"), F.col("p.size").alias("size_a"))
-    pairs = written(_ordered(stars, percent), "pairs")
+    found = written(buckets(signature_blocks(docs, slots, width, percent), slots, percent), "buckets")
+    members = found.filter(F.col("kind") == MEMBER).select(F.col("k").alias("bucket"), "node", "size", F.col("n").alias("segments"))
+
+    # What a set needs of the signatures that it shares: most sets need none, as enough of theirs are nobody else's.
+    lost = lambda size: F.floor(size * (100 - percent) / percent)
+    own = members.filter("segments >= 0").groupBy("node").agg(F.count("*").alias("multi"), F.first("size").alias("size"), F.first("segments").alias("e"))
+    own = own.withColumn("slack", F.col("e") - lost(F.col("size")) - 1).filter((F.col("multi") > F.col("slack")) | (F.col("e") == 0))
+    own = written(own.select("node", "slack"), "indexed")
+
+    sketches = with_set.groupBy("node").agg(F.first("n_shingles").alias("size"), *(F.first(s).alias(s) for s in SKETCH))
+    of = lambda x: sketches.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), *(F.col(s).alias(f"{x}_{s}") for s in SKETCH))
+
+    # Round one: each such set against the leaders that it meets most often.
+    stars = found.filter(F.col("kind") == STAR).groupBy(F.col("k").alias("a"), F.col("node").alias("b")).agg(F.sum("n").alias("n"))
+    stars = stars.join(own.withColumnRenamed("node", "b"), "b").filter(F.col("n") > F.col("slack") / 2)
+    stars = stars.join(of("a"), "a").join(of("b"), "b").filter(_may_link(percent)).select("a", "b", "n")
+    best = F.row_number().over(W.partitionBy("b").orderBy(F.desc("n"), "a"))
+    pairs = stars.withColumn("nth", best).filter(F.col("nth") <= STARS).select("a", "b")
     if total["short"]:
-        pairs = written(pairs.unionByName(_pairs_of_short_sets(docs, digests, width, percent)).distinct(), "pairs")
+        pairs = pairs.unionByName(_pairs_of_short_sets(digests, percent)).distinct()
+    pairs = written(pairs, "pairs")
     links = _verified(docs, with_set, pairs, width, percent)
     labels = components(links)
 
     # Round two: buckets whose members are in different components.
-    marked = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo != hi").select("bucket", "n")
+    marked = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(own.withColumn("indexed", F.lit(1)).drop("slack"), "node", "left")
+    mixed = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.max("indexed").alias("indexed"))
+    mixed = mixed.filter("lo != hi and indexed = 1").select("bucket", "n")
     open_ = written(marked.join(mixed, "bucket"), "open")
-    need = F.floor(F.col("size") * (100 - percent) / percent) + 1 - (F.col("segments") - F.col("mixed"))
     w = W.partitionBy("node")
-    own = open_.filter("segments >= 0").withColumn("mixed", F.count("*").over(w)).withColumn("nth", F.row_number().over(w.orderBy("n", "bucket")))
-    index = own.filter((F.col("segments") == 0) | (F.col("nth") <= need)).select("bucket", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("label").alias("label_a"))
-    probe = open_.select("bucket", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
-    more = index.join(probe, "bucket").filter((F.col("label_a") != F.col("label_b")) & (F.col("size_b") >= F.col("size_a")))
-    more = written(_ordered(more, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    mine = open_.filter("segments >= 0 and indexed = 1").withColumn("mixed", F.count("*").over(w)).withColumn("nth", F.row_number().over(w.orderBy("n", "bucket")))
+    # How many of its mixed buckets it needs, for a partner that differs in d shingles: d + 1 less the others.
+    mine = mine.withColumn("short_of", F.when(F.col("segments") == 0, -1_000_000).otherwise(F.col("nth") - 1 + F.col("segments") - F.col("mixed")))
+    # In a band either set of a pair may index the other: the one with more signatures of its own does, as it needs fewer
+    # buckets. A set that needs none can't link within its band. Across bands the smaller set is the index.
+    mine = mine.withColumn("private", F.when(F.col("segments") > 0, F.col("segments") - F.col("mixed")))
+    private = mine.groupBy(F.col("node").alias("a")).agg(F.first("private").alias("private_a"))
+    index = mine.filter(F.col("short_of") <= lost(F.col("size"))).select("bucket", "short_of", "private", F.col("node").alias("b"), F.col("label").alias("label_b")).join(of("b"), "b")
+    probe = open_.select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a")).join(of("a"), "a").join(private, "a", "left")
+    level = lambda size: F.when(size <= SMALL, 0).otherwise(F.length(F.bin(F.shiftright(size - 1, SMALL.bit_length() - 1))))
+    alike = level(F.col("size_a")) == level(F.col("size_b"))
+    more_own = (F.col("private") > F.col("private_a")) | ((F.col("private") == F.col("private_a")) & (F.col("b") < F.col("a")))
+    leads = F.when(F.col("private").isNull() | ~alike, F.col("size_a") >= F.col("size_b")).otherwise(F.coalesce(more_own, F.lit(False)))
+    fits = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
+    enough = F.col("short_of") <= F.floor((F.col("size_a") + F.col("size_b")) * (100 - percent) / (100 + percent))
+    i, p = index.alias("i"), probe.alias("p")
+    more = i.join(p, (F.col("i.bucket") == F.col("p.bucket")) & (F.col("label_a") != F.col("label_b")) & leads & fits & enough & _may_link(percent))
+    # Of two sets of one size each may have indexed the other.
+    more = more.select(F.when(F.col("size_a") == F.col("size_b"), F.greatest("a", "b")).otherwise(F.col("a")).alias("a"), F.when(F.col("size_a") == F.col("size_b"), F.least("a", "b")).otherwise(F.col("b")).alias("b")).distinct()
+    more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         again = _verified(docs, with_set, more, width, percent)
         if not again.isEmpty():
             links = links.unionByName(again)
             labels = components(links)
+    for done in (found, pairs, own, open_, more):
+        dropped(done)
     return digests, links, labels
 
 
-def _pairs_of_short_sets(docs: DataFrame, digests: DataFrame, width: int, percent: int) -> DataFrame:
+def _pairs_of_short_sets(digests: DataFrame, percent: int) -> DataFrame:
     """Pairs of the few sets that have fewer non-empty segments than they need (one in 10^10) with all sets of fitting size."""
-    short = digests.filter("short").select(F.col("node").alias("a"), F.col("n_shingles").alias("size_a")).distinct()
-    every = digests.filter("n_shingles > 0").select(F.col("node").alias("b"), F.col("n_shingles").alias("size_b")).distinct()
-    return _ordered(every.join(short, (F.col("size_a") * 100 >= F.col("size_b") * percent) & (F.col("size_b") * 100 >= F.col("size_a") * percent)), percent)
+    short = digests.filter("short").select(F.col("node").alias("b"), F.col("n_shingles").alias("size_b")).distinct()
+    every = digests.filter("n_shingles > 0").select(F.col("node").alias("a"), F.col("n_shingles").alias("size_a")).distinct()
+    fits = (F.col("size_a") * 100 >= F.col("size_b") * percent) & (F.col("size_b") * 100 >= F.col("size_a") * percent)
+    return every.join(short, fits).filter("a != b").select("a", "b")
 
 
 def component_table(docs: DataFrame, *, width: int = 5, percent: int = 75) -> DataFrame:

@@ -400,6 +400,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, usable=None, toxic_rows: int = 18
     chain = train_chain(of_word[words.word[rows_at]].astype(np.int64) * real[:, :, None], np.where(real, tag, -1), len(features))
     model = Model(features, chain, np.zeros(3), share)
     del words, marked, doc
+    pa.default_memory_pool().release_unused()
     z = []
     for part in K.slices(pa.RecordBatch.from_arrays([texts], names=["text"])):
         data, off, _ = K.utf8(part.column(0))
