@@ -9,6 +9,10 @@ share a domain where the originals did. Surrogates are checked over the whole ta
 stand for two entities or equal an entity of the table; colliding ones are drawn again. All
 mentions of an entity, in any document, then carry the same surrogate in their own format.
 
+A secret is a run of 16 or more of its characters after a keyword (`token`, `password`, `bearer` and
+so on; = or : between them may be missing, so a long word in `key responsibilities` counts too), or
+has a known beginning (`sk-`, `ghp_` and so on).
+
 Only documents with an entity are shuffled, and their mentions are salted, so that an entity in a
 third of all rows is spread. Null texts stay null, empty ones empty; texts of any length count as
 a whole; repeated rows are replaced alike; an empty table gives no rows; extra columns are kept by
@@ -40,7 +44,9 @@ FAMILY_TAILS = {"Latn": ("berg", "brook", "by", "dale", "field", "ford", "gate",
 WORD = r"\p{L}\p{N}_"
 _TITLE = "(?:" + "|".join(sorted({*TITLES_M, *TITLES_F, *TITLES_N}, key=len, reverse=True)) + r")\b\.?"
 _NAME = r"\p{Lu}[\p{L}’'-]+"
-SECRET = r"(?=[A-Za-z0-9_/+=-]{16})(?<=(?i:token|secret|key|password|passwd|pwd|bearer)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_/+=-]{16,}|(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})"
+_KEYWORD = "(?i:token|secret|key|password|passwd|pwd|bearer)"
+_KNOWN = r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})"
+SECRET = rf"(?=[A-Za-z0-9_/+=-]{{16}})(?<={_KEYWORD}[\"']?\s{{0,3}}[=:]?\s{{0,3}}[\"']?)[A-Za-z0-9_/+=-]{{16,}}|{_KNOWN}"
 EMAIL = r"[\p{L}\p{N}_][\p{L}\p{N}_.+-]{0,63}+@[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?)+"
 IP = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}_]|\.\d)"
 CARD = r"\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}_])"
@@ -51,7 +57,7 @@ PERSON = rf"(?=[{''.join(sorted({t[0] for t in (*TITLES_M, *TITLES_F, *TITLES_N)
 PATTERN = rf"(?<![{WORD}])(?:{SECRET}|{EMAIL}|{IP}|{IBAN}|{CARD}|{SSN}|{PHONE}|{PERSON})"
 
 #: What every text with an entity has; much cheaper to look for than the entities.
-MAYBE = rf"[0-9@=:]|{PERSON}"
+MAYBE = rf"[0-9@=:]|{_KEYWORD}[\"']?\s{{0,6}}[\"']?[A-Za-z0-9_/+=-]{{16}}|{PERSON}"
 
 SALTS = 8
 DIGITAL = ("CARD", "PHONE", "SSN")

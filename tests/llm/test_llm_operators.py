@@ -431,6 +431,17 @@ def test_surrogates(spark):
     assert pii.replace_in_documents(df.limit(0)).count() == 0
 
 
+def test_surrogates_of_secrets_after_white_space(spark):
+    hexed, word = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "abcdefghijklmnopqrstuv"
+    secrets = [("Authorization: Bearer %s", hexed), ("password %s.", "hunter2hunter2hunter2"), ("the api key\n%s", hexed), ("Bearer %s", word), ("Secret '%s'", word), ("token=%s", hexed), ('{"pwd": "%s"}', word)]
+    df = spark.createDataFrame([(i, t % s) for i, (t, s) in enumerate(secrets)], "doc_id bigint, text string")
+    for r in pii.replace_in_documents(df, report=True).collect():
+        t, s = secrets[r.doc_id]
+        before, after = t.split("%s")
+        assert s not in r.text and r.text.startswith(before) and r.text.endswith(after) and len(r.text) == len(t % s)
+        assert (r.n_entities, r.entity_types) == (1, ["SECRET"])
+
+
 def test_surrogates_stay_distinct(spark):
     names = spark.range(3000).select(F.lit("PERSON").alias("kind"), F.concat(F.lit("M|name"), F.col("id").cast("string")).alias("canon"))
     mails = spark.range(60).select(F.lit("EMAIL").alias("kind"), F.concat(F.chr(F.col("id") % 26 + 97), F.when(F.col("id") >= 26, F.chr(F.col("id") % 25 + 97)).otherwise(""), F.lit("@b.co")).alias("canon")).distinct()
