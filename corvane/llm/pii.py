@@ -57,7 +57,7 @@ PERSON = rf"(?=[{''.join(sorted({t[0] for t in (*TITLES_M, *TITLES_F, *TITLES_N)
 PATTERN = rf"(?<![{WORD}])(?:{SECRET}|{EMAIL}|{IP}|{IBAN}|{CARD}|{SSN}|{PHONE}|{PERSON})"
 
 #: What every text with an entity has; much cheaper to look for than the entities.
-MAYBE = rf"[0-9@=:]|{_KEYWORD}[\"']?\s{{0,6}}[\"']?[A-Za-z0-9_/+=-]{{16}}|{PERSON}"
+MAYBE = rf"[0-9@=:]|{_KEYWORD}[\"']?\s{{0,6}}[\"']?[A-Za-z0-9_/+=-]{{16}}|{_KNOWN}|{PERSON}"
 
 SALTS = 8
 DIGITAL = ("CARD", "PHONE", "SSN")

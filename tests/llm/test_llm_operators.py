@@ -442,6 +442,19 @@ def test_surrogates_of_secrets_after_white_space(spark):
         assert (r.n_entities, r.entity_types) == (1, ["SECRET"])
 
 
+def test_texts_with_any_entity_are_looked_at(spark):
+    known = ["AKIA" + "ABCDEFGHIJKLMNOP", *(f"gh{c}_" + "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKL" for c in "pousr"), "sk-" + "abcdefghijklmnopqrstuv", *(f"xox{c}-" + "abcdefghij-kl" for c in "abprs")]
+    after = [f"{k}{gap}abcdefghijklmnop" for k in ("token", "Secret", "KEY", "password", "passwd", "pwd", "bearer") for gap in (" ", "\n", "=", ":", '": "', "   :   ", '"      "', "' '")]
+    others = ["a@b.co", "10.2.3.4", "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00", "123-45-6789", "+1 (706) 555-3138", "(706) 555-3138", "706-555-3138"]
+    named = [f"{t} {n}" for t in (*pii.TITLES_M, *pii.TITLES_F, *pii.TITLES_N) for n in ("Smith", "Каренина")]
+    texts = [f"use {e} today" for e in (*known, *after, *others, *named)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    look = {r.text: (r.maybe, r.sure) for r in df.select("text", F.col("text").rlike(pii.MAYBE).alias("maybe"), F.col("text").rlike(pii.PATTERN).alias("sure")).collect()}
+    assert [t for t in texts if look[t] != (True, True)] == []
+    out = {r.doc_id: r.text for r in pii.replace_in_documents(df.filter(F.col("doc_id") < len(known))).collect()}
+    assert len(out) == len(known) and all(e not in out[i] for i, e in enumerate(known))
+
+
 def test_surrogates_stay_distinct(spark):
     names = spark.range(3000).select(F.lit("PERSON").alias("kind"), F.concat(F.lit("M|name"), F.col("id").cast("string")).alias("canon"))
     mails = spark.range(60).select(F.lit("EMAIL").alias("kind"), F.concat(F.chr(F.col("id") % 26 + 97), F.when(F.col("id") >= 26, F.chr(F.col("id") % 25 + 97)).otherwise(""), F.lit("@b.co")).alias("canon")).distinct()
