@@ -358,7 +358,7 @@ def _fit_curve(z1: np.ndarray, z2: np.ndarray, y: np.ndarray, weight: np.ndarray
     return b
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, usable=None, toxic_rows: int = 1800, clean_rows: int = 2700, seed: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, usable=None, toxic_rows: int = 2500, clean_rows: int = 4000, seed: int = 3) -> Model:
     """Learns from about toxic_rows toxic and clean_rows other labelled documents."""
     sample, totals = labelled_sample(docs, labels, "toxic", {1: toxic_rows, 0: clean_rows}, "toxicity", usable)
     share = totals.get(1, 0) / max(1, sum(totals.values()))
@@ -393,7 +393,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, usable=None, toxic_rows: int = 18
     seg_size = np.diff(np.append(seg_start, len(doc)))
     has = np.add.reduceat(marked, seg_start) > 0
     rng = np.random.default_rng(seed)
-    pick = np.concatenate([rng.permutation(np.flatnonzero(has))[:3000], rng.permutation(np.flatnonzero(~has))[:1500]])
+    pick = np.concatenate([rng.permutation(np.flatnonzero(has))[:4000], rng.permutation(np.flatnonzero(~has))[:2000]])
     real = np.arange(SEGMENT) < seg_size[pick][:, None]
     rows_at = np.where(real, seg_start[pick][:, None] + np.arange(SEGMENT), 0)
     tag = (marked[rows_at] & (y[doc[rows_at]] == 1)).astype(np.int64)

@@ -309,6 +309,21 @@ def test_toxicity(spark):
     assert toxicity.score_documents(d.limit(0), model).count() == 0
 
 
+def test_toxicity_learns_a_rare_word_from_many_labels(spark):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 7))) for _ in range(400)]
+    docs, labels = [], []
+    for i in range(8000):
+        w = list(rng.choice(words, 25))
+        if i < 3000:
+            w.insert(int(rng.integers(0, 26)), "qqrareword" if i % 110 == 0 else "vileword")
+        docs.append((i, " ".join(w)))
+        labels.append((i, 1, int(i < 3000)))
+    d = spark.createDataFrame([*docs, (9001, "aba qqrareword cab")], "doc_id bigint, text string")
+    model = toxicity.fit(d, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    assert [r.predicted for r in toxicity.score_documents(d.filter("doc_id = 9001"), model).collect()] == [1]
+
+
 def test_chain_marginals_against_enumeration():
     from itertools import product
 
