@@ -47,6 +47,8 @@ IMPLIED_END = {
     "tfoot": (("tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)),
     "body": (("head",), ()),
 }
+#: What a head may hold; another start tag, or text that isn't white space, ends it.
+IN_HEAD = frozenset("base link meta title style script noscript noframes template".split())
 SCOPE = frozenset("table td th caption html template button".split())
 MAX_TABLES = 12
 
@@ -84,12 +86,17 @@ def parse(source: str) -> Node:
         if tag is None:
             text = m[0]
             if text[0] != "<" or text == "<":
-                stack[-1].children.append(unescape(text) if "&" in text else text)
+                text = unescape(text) if "&" in text else text
+                if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
+                    stack.pop()
+                stack[-1].children.append(text)
             continue
         tag = tag.lower()
         if m[1]:
             _end(stack, tag)
             continue
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            stack.pop()
         if tag in CLOSES_P:
             _end_in_scope(stack, ("p",), SCOPE)
         if (rule := IMPLIED_END.get(tag)) is not None:

@@ -168,6 +168,20 @@ def test_html_layout():
     ]
 
 
+def test_html_head_without_end_tag():
+    for source, text in (
+        ("<html><head><title>t</title><p>Hello<p>world", "Hello\n\nworld"),
+        ("<head><meta charset=x>\n<link href=y>\n<style>p{}</style><script>a<b</script> <noscript>n</noscript><template>m</template>Hello <b>you", "Hello you"),
+        ("<html><head><title>t</title>\n</head><body>Hello", "Hello"),
+        ("<head><title>t</title><body><p>Hello</body>", "Hello"),
+        ("<head>&nbsp;<title>t</title>1 < 2", "1 < 2"),
+        ("<head>&#32;<title>t</title><br>Hello", "Hello"),
+        ("<head><head><html><table><tr><td>a<td>b</table>", "a  b"),
+        ("<head><title>t</title>", ""),
+    ):
+        assert html.html_text(source).strip("\n\xa0 ") == text, source
+
+
 def test_html_odd_sources(spark):
     for s in ("", "<", "<<b>", "<div>" * 5000 + "x", "<table><tr><td>" * 200 + "x", "</p></b>x", "<a href='x", "<p>a<!-- open", "&amp;&bogus;"):
         html.html_text(s)
