@@ -471,7 +471,10 @@ def _pairs_of_short_sets(digests: DataFrame, percent: int) -> DataFrame:
 
 
 def component_table(docs: DataFrame, *, width: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, and the number of documents with the very same set."""
+    """doc_id, n_shingles, component_id, and the number of documents with the very same set.
+
+    Components, not links: pairs that can't join components any more are never verified, so the links
+    of a document are not counted."""
     digests, _, labels = link_documents(docs, width=width, percent=percent)
     labelled = digests.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     labelled = labelled.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
