@@ -10,7 +10,8 @@ yields the block's best k; a window keeps the best k of each query.
 
 A query's own id is no candidate of it (so repeated rows of one id aren't either). Vectors that
 are null, empty, or hold null or non-finite components take no part; shorter vectors count as
-padded with zeros. Ties go to the smaller vec_id; equal rows of another id give one result each.
+padded with zeros. Equal query rows (id and vector) are one query; each different vector of one id is a
+query of its own, with k results of its own under that id. Ties go to the smaller vec_id; equal rows of another id give one result each.
 Fewer candidates than k give all of them; an empty table gives no rows. Extra columns are ignored.
 """
 
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
+from . import kernels as K
 from .common import map_arrow, written
 
 #: Rows of a candidate block and of a query block: about 2 MB of 64-component vectors, and a score matrix of 16 MB.
@@ -144,10 +146,19 @@ def _cut(who: np.ndarray, col: np.ndarray, score: np.ndarray, c_ids: np.ndarray,
     return who[keep], col[keep], score[keep]
 
 
+def _row_hash(m: np.ndarray) -> np.ndarray:
+    """Tells the vectors of one id apart; zeros at the end don't change it."""
+    weights = K.mix64(np.arange(1, m.shape[1] + 1, dtype=np.uint64)) | np.uint64(1)
+    return (K.mix64(m.astype(np.int64).view(np.uint64)) * weights).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score; both inputs have vec_id and v (array of bigint)."""
     spark = candidates.sparkSession
     cells = max(8, CELLS_PER_CORE * spark.sparkContext.defaultParallelism)
+    # Equal query rows are one, whatever zeros they end with.
+    size = F.array_max(F.transform("v", lambda x, i: F.when(x != 0, i + 1).otherwise(1)))
+    queries = queries.select("vec_id", F.slice("v", 1, size).alias("v")).distinct()
     q = written(blocks(queries, QUERIES), "query-blocks").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
     c = blocks(candidates, CANDIDATES).withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(cells)).cast("int"))
     q = q.select("cell", F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
@@ -158,11 +169,12 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
             width, ids, data, q_width, q_ids, q_data = (batch.column(j)[i].as_py() for j in range(6))
             wide = max(width, q_width)
             q_ids, c_ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-            who, col, score = search_block(q_ids, _matrix(q_data, q_width, wide), c_ids, _matrix(data, width, wide), k)
-            yield {"query_id": q_ids[who], "vec_id": c_ids[col], "score": score}
+            q = _matrix(q_data, q_width, wide)
+            who, col, score = search_block(q_ids, q, c_ids, _matrix(data, width, wide), k)
+            yield {"query_id": q_ids[who], "query": _row_hash(q)[who], "vec_id": c_ids[col], "score": score}
 
-    found = map_arrow(pairs, run, "query_id bigint, vec_id bigint, score bigint")
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = map_arrow(pairs, run, "query_id bigint, query bigint, vec_id bigint, score bigint")
+    w = W.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

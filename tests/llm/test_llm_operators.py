@@ -145,6 +145,20 @@ def test_top_k_against_brute_force(spark):
     assert sorted(r.vec_id for r in small) == [1, 2]
 
 
+def test_top_k_of_repeated_queries(spark):
+    rng = np.random.default_rng(4)
+    vectors = {i: rng.normal(size=6) for i in range(60)}
+    once = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors.items()], "vec_id bigint, embedding array<double>")
+    want = sorted(map(tuple, topk.search_table(once).collect()))
+    query = once.filter("vec_id = 20")
+    longer = query.withColumn("embedding", F.concat("embedding", F.array(F.lit(0.0))))
+    assert sorted(map(tuple, topk.search_table(once.unionByName(query).unionByName(longer)).filter("query_id = 20").collect())) == [r for r in want if r[0] == 20]
+    # Another vector under the same id has results of its own.
+    other = query.withColumn("embedding", F.transform("embedding", lambda x: -x))
+    alone = sorted(map(tuple, topk.search_table(once.filter("vec_id != 20").unionByName(other)).filter("query_id = 20").collect()))
+    assert sorted(map(tuple, topk.search_table(once.unionByName(other)).filter("query_id = 20").collect())) == sorted([r for r in want if r[0] == 20] + alone)
+
+
 def test_search_stops_early_and_exactly():
     rng = np.random.default_rng(3)
     c = np.floor(64 * rng.normal(size=(2000, 16))).astype(np.int64)
