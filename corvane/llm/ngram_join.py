@@ -488,7 +488,34 @@ def component_table(docs: DataFrame, *, width: int = 5, percent: int = 75) -> Da
 
 
 def keep_first(docs: DataFrame, *, width: int = 5, percent: int = 75) -> DataFrame:
-    """The documents, all their columns, with one document (that of the smallest doc_id) of each component."""
-    table = component_table(docs, width=width, percent=percent)
-    gone = table.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("corvane_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("corvane_gone"), "left_anti")
+    """The documents, all their columns, with one row (of the smallest doc_id) of each component.
+
+    Rows are judged one by one: a doc_id with different texts may stay with one and go with another;
+    of a component's rows with the smallest doc_id, repeated or not, one stays. Rows without a set or
+    without doc_id all stay.
+    """
+    digests, _, labels = link_documents(docs, width=width, percent=percent)
+    labelled = digests.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("node").agg(F.min("doc_id").alias("low"))
+    labelled = labelled.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    first = labelled.groupBy("label").agg(F.min(F.struct("low", "node")).alias("first"))
+    ids = digests.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.filter("n > 1").isEmpty():
+        stays = first.select(F.col("first.low").alias("doc_id"))
+        gone = digests.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).select("doc_id").join(stays, "doc_id", "left_anti")
+        gone = gone.select(F.col("doc_id").alias("corvane_gone"))
+        return docs.join(gone, docs["doc_id"] == F.col("corvane_gone"), "left_anti")
+    at = docs.columns.index("text")
+
+    def own_set(batch):
+        for part in K.slices(batch, "text"):
+            data, off, _ = K.utf8(part.column(at))
+            key, ends = shingle_sets(data, off, width)
+            node = pa.array(set_digest(key, ends), pa.int64(), mask=np.diff(ends) == 0)
+            yield pa.RecordBatch.from_arrays([*part.columns, node], names=[*part.schema.names, "corvane_node"])
+
+    rows = map_arrow(docs, own_set, T.StructType([*docs.schema.fields, T.StructField("corvane_node", T.LongType())]))
+    known = F.col("doc_id").isNotNull() & F.col("corvane_node").isNotNull()
+    stays = first.select(F.col("first.low").alias("corvane_low"), F.col("first.node").alias("corvane_first"))
+    one = rows.filter(known).join(stays, (F.col("doc_id") == F.col("corvane_low")) & (F.col("corvane_node") == F.col("corvane_first")), "left_semi")
+    one = one.withColumn("corvane_nth", F.row_number().over(W.partitionBy("doc_id", "corvane_node").orderBy(F.xxhash64("text")))).filter("corvane_nth = 1")
+    return rows.filter(~known).select(*docs.columns).unionByName(one.select(*docs.columns))

@@ -424,6 +424,21 @@ def test_components_against_brute_force(spark):
     assert kept.columns == df.columns and kept.count() == len({c for _, _, c in brute_components(rows)})
 
 
+def test_keep_first_judges_rows(spark):
+    word = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    a, b, c = word(1), word(2), word(3)
+    rows = [(1, a), (1, a), (2, a), (5, a + " more"), (5, b), (6, b), (7, c), (7, c + " more"), (None, a), (None, a), (8, None), (8, ""), (8, a), (9, "few words")]
+    df = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id bigint, text string, extra string")
+    kept = ngram_join.keep_first(df)
+    assert kept.columns == df.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    seven = [k for k in got if k[0] == 7]
+    assert len(seven) == 1 and got.pop(seven[0]) == 1 and seven[0][1] in (c, c + " more")
+    assert got == Counter([(1, a), (5, b), (None, a), (None, a), (8, None), (8, ""), (9, "few words")])
+    once = df.filter("doc_id in (2, 6, 9)").unionByName(df.filter("doc_id is null")).unionByName(spark.createDataFrame([(3, a, "x")], df.schema))
+    assert Counter(r.doc_id for r in ngram_join.keep_first(once).collect()) == {2: 1, 6: 1, 9: 1, None: 2}
+
+
 def test_components_of_an_empty_table(spark):
     assert ngram_join.component_table(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
