@@ -25,7 +25,9 @@ from .bpe import LETTER, char_classes
 from .common import bernoulli, map_arrow, remainder
 
 BLOCK = 4096
-SYMBOLS = 62  # letters that the table tells apart; others share a symbol that no sample has
+SPAN = 64  # characters of a text that lie together in a sample, at most
+SYMBOLS = 62  # letters with a column of the table; the samples' other letters are looked up by state and letter
+NONE, RARE = 63, 64  # symbol of letters that no sample has; first symbol of those without a column
 
 
 @lru_cache(1)
@@ -51,8 +53,9 @@ def normal(codes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[keep], total[off]
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions (state x symbol, -1: none) of all substrings of a sequence; state 0 is the start."""
+def suffix_automaton(symbols: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Transitions (state x symbol, -1: none) of all substrings of a sequence; state 0 is the start. Those of symbols
+    from `width` on are listed: from state, symbol, to state."""
     link, length, nxt = [-1], [0], [{}]
     last = 0
     for c in symbols:
@@ -78,11 +81,14 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = copy
         last = cur
-    out = np.full((len(length), width), -1, np.int32)
+    out, more = np.full((len(length), width), -1, np.int32), []
     for s, d in enumerate(nxt):
         for c, t in d.items():
-            out[s, c] = t
-    return out
+            if c < width:
+                out[s, c] = t
+            else:
+                more.append((s, c, t))
+    return out, np.array(more, np.int64).reshape(-1, 3).T
 
 
 class Model:
@@ -94,11 +100,12 @@ class Model:
         self.key = hashlib.sha1("\0".join([*self.languages, *self.samples]).encode()).hexdigest()
 
 
-_built: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+_built: dict[str, tuple] = {}
 
 
-def _table(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Flat transitions with the new-phrase flag in the lowest bit, start states, symbol of each code point."""
+def _table(model: Model) -> tuple:
+    """Flat transitions with the new-phrase flag in the lowest bit, start states, symbol of each code point; then for the
+    letters without a column: keys (state x their number) with transitions, and each language's new phrase with each."""
     if model.key in _built:
         return _built[model.key]
     texts = []
@@ -106,32 +113,41 @@ def _table(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         codes = np.frombuffer(s.encode("utf-32-le"), np.uint32)
         texts.append(normal(codes, np.array([0, len(codes)]))[0])
     seen, n = np.unique(np.concatenate([t[t > 0] for t in texts] or [np.zeros(0, np.uint32)]), return_counts=True)
-    letters = seen[np.argsort(-n, kind="stable")][:SYMBOLS]
-    width = 64
-    symbol = np.full(0x110000, 63, np.uint8)  # 63: in no sample
+    letters = seen[np.argsort(-n, kind="stable")]
+    width, n_rare = 64, max(0, len(letters) - SYMBOLS)
+    symbol = np.full(0x110000, NONE, np.uint32 if n_rare else np.uint8)
     symbol[0] = 0
-    symbol[letters] = np.arange(1, len(letters) + 1)
+    symbol[letters[:SYMBOLS]] = np.arange(1, len(letters[:SYMBOLS]) + 1)
+    symbol[letters[SYMBOLS:]] = np.arange(RARE, RARE + n_rare)
     parts, roots, base = [], [], 0
+    keys, moves, begins = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], []
     for t in texts:
         seq = symbol[t]
-        move = suffix_automaton(seq[seq < 63].tolist(), width)
+        move, (state, rare, to) = suffix_automaton(seq.tolist(), width)
         dead = len(move)  # after a symbol that the sample lacks, which is a phrase alone
         fresh = np.where(move[0] >= 0, move[0], dead).astype(np.int64)  # where a new phrase goes with each symbol
         step = np.empty((dead + 1, width), np.int64)
         step[:dead] = np.where(move >= 0, ((move.astype(np.int64) + base) * width) << 1, (((fresh + base) * width) << 1 | 1)[None, :])
         step[0] = ((fresh + base) * width) << 1  # a block's first phrase is counted at its beginning
         step[dead] = ((fresh + base) * width) << 1 | 1
+        begin = np.full(n_rare, (dead + base) * width << 1 | 1, np.uint32)
+        begin[rare[state == 0] - RARE] = (to[state == 0] + base) * width << 1 | 1
+        begins.append(begin)
+        keys.append((state + base) * n_rare + rare - RARE)
+        moves.append(((to + base) * width << 1).astype(np.uint32))
         parts.append(step.astype(np.uint32))
         roots.append(base * width)
         base += dead + 1
     _built.clear()
-    _built[model.key] = (np.concatenate(parts).ravel(), np.array(roots, np.uint32), symbol)
+    keys, moves = np.concatenate(keys), np.concatenate(moves)
+    order = np.argsort(keys)
+    _built[model.key] = (np.concatenate(parts).ravel(), np.array(roots, np.uint32), symbol, keys[order], moves[order], np.array(begins, np.uint32))
     return _built[model.key]
 
 
 def phrases(model: Model, codes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Phrases per document and language, and the number of letters of each document."""
-    table, roots, symbol = _table(model)
+    table, roots, symbol, keys, moves, begins = _table(model)
     low, at = normal(codes, off)
     letters = np.concatenate([[0], np.cumsum(low > 0)])
     n_letters = letters[at[1:]] - letters[at[:-1]]
@@ -150,7 +166,15 @@ def phrases(model: Model, codes: np.ndarray, off: np.ndarray) -> tuple[np.ndarra
     active = len(doc) - np.searchsorted(length[::-1], np.arange(int(length.max(initial=0))), "right")
     one = np.uint32(1)
     for t, n in enumerate(active.tolist()):
-        e = table[state[:, :n] + sym[start[:n] + t]]
+        now = sym[start[:n] + t]
+        e = table[state[:, :n] + (np.minimum(now, NONE) if len(keys) else now)]
+        if len(keys) and len(cols := np.flatnonzero(now >= RARE)):
+            rare = (now[cols] - RARE).astype(np.int64)
+            at = state[:, cols]
+            key = (at >> np.uint32(6)).astype(np.int64) * begins.shape[1] + rare
+            pos = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            new = np.where(at == roots[:, None], begins[:, rare] & ~one, begins[:, rare])
+            e[:, cols] = np.where(keys[pos] == key, moves[pos], new)
         count[:, :n] += (e & one).astype(np.int32)
         state[:, :n] = e >> one
     count += 1  # the phrase that each block begins with
@@ -160,9 +184,36 @@ def phrases(model: Model, codes: np.ndarray, off: np.ndarray) -> tuple[np.ndarra
     return out, n_letters
 
 
+def _spans(text: str, seed: int, size: int, most: int) -> tuple[list[int], list[str]]:
+    """Begins and texts of spans of `size` characters from all over a text, in an order by hash, about `most` characters in all."""
+    n = -(-len(text) // size)
+    order = np.random.default_rng(seed & (1 << 63) - 1).permutation(n)[: -(-most // size)]
+    return (order * size).tolist(), [text[k * size : (k + 1) * size] for k in order.tolist()]
+
+
+def _sample(texts: list[tuple[list[int], list[str]]], budget: int) -> str:
+    """One span of each text in turn until the budget is full, each text's in their order; neighbours join."""
+    room, taken, nth = budget, [[] for _ in texts], 0
+    while room > 0 and any(nth < len(at) for at, _ in texts):
+        for (at, parts), mine in zip(texts, taken, strict=True):
+            if nth < len(at) and room > 0:
+                part = parts[nth][:room]
+                mine.append((at[nth], part))
+                room -= len(part)
+        nth += 1
+    out, end = [], -1
+    for mine in taken:
+        for at, part in sorted(mine):
+            out += [part] if at == end else ["\n", part]
+            end = at + len(part)
+        end = -1
+    return "".join(out[1:]) or "\n"
+
+
 def fit(docs: DataFrame, *, usable=None, docs_per_language: int = 300, chars_per_language: int = 40_000) -> Model:
     """Learns from text and lang of usable rows: about docs_per_language texts of each language, chosen by a hash
-    of the text, of which the first chars_per_language characters together make its sample."""
+    of the id. Spans from places all over each text, one of every text in turn, make the language's sample of
+    chars_per_language characters."""
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if usable is not None:
         known = known.filter(usable(F.col("doc_id")))
@@ -172,12 +223,20 @@ def fit(docs: DataFrame, *, usable=None, docs_per_language: int = 300, chars_per
     chosen = F.lit(False)
     for lang, n in sizes.items():
         chosen = chosen | ((F.col("lang") == lang) & bernoulli(F.col("doc_id"), min(1.0, docs_per_language / n), "langid"))
-    rows = known.filter(chosen).select("lang", F.substring("text", 1, chars_per_language).alias("text"), F.xxhash64("doc_id", "text").alias("h")).collect()
+    # Twice as many texts as asked for would still give a span each.
+    size = max(1, min(SPAN, chars_per_language // (2 * docs_per_language)))
+
+    def spans(batch):
+        langs, seeds = batch.column(0), batch.column(2).to_pylist()
+        for k, seed in enumerate(seeds):
+            at, parts = _spans(batch.column(1)[k].as_py(), seed, size, chars_per_language)
+            yield {"lang": langs.slice(k, 1), "h": [seed], "at": [at], "parts": [parts]}
+
+    rows = map_arrow(known.filter(chosen).select("lang", "text", F.xxhash64("doc_id", "text")), spans, "lang string, h bigint, at array<bigint>, parts array<string>").collect()
     samples = {}
     for lang in sizes:
-        own = [r["text"] for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["h"], r["text"]))]
-        share = max(200, chars_per_language // max(1, len(own)))
-        samples[lang] = "\n".join(t[:share] for t in own)[:chars_per_language] or "\n"
+        own = sorted(((r["h"], r["at"], r["parts"]) for r in rows if r["lang"] == lang), key=lambda r: (r[0], r[2]))
+        samples[lang] = _sample([(at, parts) for _, at, parts in own], chars_per_language)
     return Model(samples)
 
 

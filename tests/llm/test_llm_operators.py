@@ -306,6 +306,38 @@ def test_cross_parsing_against_a_plain_parse():
             assert row[k] == n
 
 
+def test_cross_parsing_with_many_letters():
+    rng = np.random.default_rng(2)
+    letters = [chr(0x4E00 + i) for i in range(300)]
+    samples = {"zh": "".join(rng.choice(letters, 3000)), "en": "".join(rng.choice(list("abcdefgh"), 3000))}
+    model = langid.Model(samples)
+    texts = [samples["zh"], samples["zh"][100:400] + "aab" + samples["zh"][7:9], "".join(rng.choice([*letters, "龍", "a"], 200)), samples["zh"][299:300]]
+    data, off, _ = K.utf8(pa.array(texts))
+    got, _ = langid.phrases(model, K.codepoints(data), K.char_offsets(data, off))
+    for t, row in zip(texts, got.tolist(), strict=True):
+        for k, lang in enumerate(model.languages):
+            i = n = 0
+            while i < len(t):
+                j = i + 1
+                while j <= len(t) and t[i:j] in samples[lang]:
+                    j += 1
+                i = max(j - 1, i + 1)
+                n += 1
+            assert row[k] == n
+    assert got[0, 1] == 1
+
+
+def test_language_samples_come_from_all_over_all_texts(spark):
+    header = "header " * 60
+    rows = [(i, header + " ".join(f"w{'abcdefghij'[i // 100]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i % 10]}x" for _ in range(400)), "en") for i in range(300)]
+    sample = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).samples[0]
+    assert len(set(re.findall(r"w[a-j]{3}x", sample))) > 290
+    assert 40_000 <= len(sample.replace("\n", "")) + 64 and len(sample.replace("\n", "")) <= 40_000
+    assert sample.count("header") * 7 < 0.4 * len(sample)
+    short = langid.fit(spark.createDataFrame([(1, "kurz und gut", "de"), (2, "x" * 100, "de")], "doc_id bigint, text string, lang string")).samples[0]
+    assert sorted(short.split("\n")) == ["kurz und gut", "x" * 100]
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(6)
     words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 6))) for _ in range(300)]
