@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernels as K
-from .common import map_arrow
+from .common import kept_by, map_arrow
 
 LETTER, DIGIT, BLANK, OTHER = 0, 1, 2, 3
 
@@ -31,8 +31,8 @@ WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)
 #: What may follow an apostrophe that begins a piece, in the pattern's order.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
-#: Pieces that a worker remembers before it starts anew.
-CACHE_PIECES = 1 << 20
+#: Pieces, and bytes of them, that a worker remembers before it starts anew.
+CACHE_PIECES, CACHE_BYTES = 1 << 19, 8 << 20
 
 
 @lru_cache(1)
@@ -232,7 +232,7 @@ def _apart(here: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes batches of texts; pieces met before are found by hash."""
+    """Encodes batches of texts; pieces met before are found by hash, and their bytes are compared."""
 
     def __init__(self, merge, table: RankTable | None = None):
         """merge: from bytes, starts and lengths of spans to their ids and how many each has."""
@@ -246,22 +246,29 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known = K.HashIndex(18)
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.used = 0
-        self.at = np.zeros(1 << 17, np.int64)
-        self.size = np.zeros(1 << 17, np.int64)
-
-    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> None:
-        flat, sizes = self.merge(data, starts, ends - starts)
-        numbers = self.known.add(keys)
+        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0  # ids of the pieces
+        self.raw, self.held = np.zeros(1 << 20, np.uint8), 0  # bytes of the pieces
+        self.at, self.size, self.raw_at, self.length = (np.zeros(1 << 17, np.int64) for _ in range(4))
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray | None) -> np.ndarray:
+        """Numbers of new pieces; without keys they won't be found again."""
+        length = ends - starts
+        flat, sizes = self.merge(data, starts, length)
+        numbers = self.known.skip(len(starts)) if keys is None else self.known.add(keys)
+        total = int(length.sum())
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.held + total > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
         while self.known.count > len(self.at):
-            self.at, self.size = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.size, np.zeros_like(self.size)])
+            self.at, self.size, self.raw_at, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.raw_at, self.length))
         self.flat[self.used : self.used + len(flat)] = flat
-        self.at[numbers] = self.used + np.cumsum(sizes) - sizes
-        self.size[numbers] = sizes
+        self.raw[self.held : self.held + total] = data[K.ranges(starts, length)]
+        self.at[numbers], self.size[numbers] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.raw_at[numbers], self.length[numbers] = self.held + np.cumsum(length) - length, length
         self.used += len(flat)
+        self.held += total
+        return numbers
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents and their offsets per document."""
@@ -271,21 +278,29 @@ class Encoder:
         ascii_only = len(codes) == len(data)
         char_off = off if ascii_only else K.char_offsets(data, off)
         starts = pieces(codes, char_off)
+        del codes
         if not ascii_only:
             lead = np.flatnonzero((data & 0xC0) != 0x80)
             starts = lead[starts]
         ends = np.append(starts[1:], len(data))
+        length = ends - starts
         keys = K.span_hash(data, starts, ends)
+        if self.known.count > CACHE_PIECES or self.held > CACHE_BYTES:
+            self._forget()
         got = self.known.find(keys)
         new = np.flatnonzero(got < 0)
         if len(new):
-            if self.known.count > CACHE_PIECES:
-                self._forget()
-                new = np.arange(len(keys))
             distinct, first = np.unique(keys[new], return_index=True)
             first = new[first]
             self._learn(data, starts[first], ends[first], distinct)
             got[new] = self.known.find(keys[new])
+        # Equal hashes of other bytes: those pieces are encoded for themselves. Up to 8 bytes of one length the hash tells all.
+        alike = self.length[got] == length
+        deep = np.flatnonzero(alike & (length > 8))
+        alike[deep] = K.same_bytes(data, starts[deep], self.raw, self.raw_at[got[deep]], length[deep])
+        if not alike.all():
+            other = np.flatnonzero(~alike)
+            got[other] = self._learn(data, starts[other], ends[other], None)
         sizes = self.size[got]
         ids = self.flat[K.ranges(self.at[got], sizes)]
         total = np.concatenate([[0], np.cumsum(sizes)])
@@ -298,6 +313,7 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 _encoders: dict[str, Encoder] = {}
+kept_by("bpe", _encoders.clear)
 
 
 def encoder(path: str) -> Encoder:
@@ -325,7 +341,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, decode: bool = True, w
                 out["decoded"] = pa.array([back[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())
             yield out
 
-    return map_arrow(docs.select("doc_id", "text"), run, ", ".join(fields))
+    return map_arrow(docs.select("doc_id", "text"), run, ", ".join(fields), "bpe")
 
 
 def round_trip_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -346,4 +362,4 @@ def round_trip_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
                 "decoded_sha256": [hashlib.sha256(back[cut[k] : cut[k + 1]]).hexdigest() for k in range(n)],
             }
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", "bpe")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,14 +14,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, `spark.checkpoint.dir`; one of our own only where that is unset."""
-    sc = spark.sparkContext
-    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if known:
-        return known.rstrip("/")
-    if not getattr(sc, "_corvane_folder", None):
-        sc._corvane_folder = "file://" + tempfile.mkdtemp(prefix="corvane-")
-    return sc._corvane_folder
+    """The cluster's shared folder, as `spark.checkpoint.dir` names it."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not known:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return known.rstrip("/")
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -45,8 +42,46 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict | pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow with fn from a batch to column dicts or batches of the given schema."""
+#: What a worker process keeps between tasks, by the operator it belongs to: a call that forgets it.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def kept_by(owner: str, forget: Callable[[], None]) -> None:
+    """A module that keeps tables in worker processes says how to forget them."""
+    _KEPT[owner] = forget
+
+
+def begin_task(owner: str | None = None) -> None:
+    """Workers are used again by other operators: forgets what any operator but `owner` keeps."""
+    for name, forget in _KEPT.items():
+        if name != owner:
+            forget()
+
+
+def end_task() -> None:
+    """Gives freed memory back to the system, so that a worker's size is that of its present task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def arrow_task(run: Callable[[Iterator], Iterable], owner: str | None = None) -> Callable[[Iterator], Iterator]:
+    """run as a task's function that begins and ends tidily."""
+
+    def tidy(batches):
+        begin_task(owner)
+        try:
+            yield from run(batches)
+        finally:
+            end_task()
+
+    return tidy
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict | pa.RecordBatch]], schema: T.StructType | str, owner: str | None = None) -> DataFrame:
+    """mapInArrow with fn from a batch to column dicts or batches of the given schema; owner: whose kept tables it uses."""
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(struct)
 
@@ -57,7 +92,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict | pa.R
                     out = pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in arrow], schema=arrow)
                 yield out
 
-    return df.mapInArrow(run, struct)
+    return df.mapInArrow(arrow_task(run, owner), struct)
 
 
 def bernoulli(key: F.Column, share: float, seed: str) -> F.Column:

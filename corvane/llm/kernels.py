@@ -1,8 +1,8 @@
 """Vectorised text kernels over Arrow string columns (numpy only, no Spark).
 
 Texts are looked at as one flat byte (or code point) buffer with document offsets, so the cost
-is a few array passes a character whatever the number of documents. Spans (words, pieces) are
-identified by a 64-bit polynomial hash taken from one prefix sum.
+is a few array passes a character whatever the number of documents. Spans (words, pieces) have
+64-bit hashes; where equal hashes must mean equal bytes the callers compare them.
 """
 
 from __future__ import annotations
@@ -10,28 +10,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that one slice holds, so that temporaries stay within tens of MB.
-SLICE_BYTES = 2 << 20
+#: Bytes of text, and rows, that one slice holds, so that temporaries stay within tens of MB.
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 4096
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+#: Bytes of a span that are hashed one block of 8 after another; longer spans are hashed by their chunks' hashes.
+CHUNK = 128
 
 #: ASCII white space: space and U+0009 to U+000D.
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1024)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        _powers[kind] = have = np.multiply.accumulate(have)
-    return have[:n]
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64 arrays."""
     x = x ^ (x >> np.uint64(33))
@@ -66,7 +55,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES):
     _, off, _ = utf8(batch.column(batch.schema.get_field_index(text)))
     lo = 0
     while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + most, "right")) - 1)
+        hi = min(lo + SLICE_ROWS, max(lo + 1, int(np.searchsorted(off, off[lo] + most, "right")) - 1))
         yield batch.slice(lo, hi - lo)
         lo = hi
 
@@ -91,16 +80,59 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of values[start:end] for each span; equal spans hash alike anywhere."""
-    terms = values.astype(np.uint64)
-    terms += np.uint64(1)
-    terms *= _power("up", _BASE, len(values))
-    total = np.empty(len(values) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(terms, out=total[1:])
-    h = total[ends] - total[starts]
-    h *= _power("down", _BASE_INV, len(values) + 1)[starts]
-    return mix64(h ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+    """64-bit hashes of values[start:end] for each span; equal spans hash alike anywhere.
+
+    Blocks of 8 bytes are mixed in one after another, so no structure of the text survives. Of two spans of
+    one length of at most 8 bytes the hashes differ if the spans do.
+    """
+    size = values.dtype.itemsize
+    if size > 1:
+        values, starts, ends = np.ascontiguousarray(values).view(np.uint8), starts * size, ends * size
+    length = ends - starts
+    deep = length > CHUNK
+    if not deep.any():
+        return _block_hash(values, starts, length)
+    out = np.empty(len(starts), np.uint64)
+    flat = ~deep
+    out[flat] = _block_hash(values, starts[flat], length[flat])
+    n = -(-length[deep] // CHUNK)
+    nth = ranges(np.zeros(len(n), np.int64), n)
+    begin = np.repeat(starts[deep], n) + nth * CHUNK
+    chunks = _block_hash(values, begin, np.minimum(np.repeat(ends[deep], n) - begin, CHUNK))
+    at = np.concatenate([[0], np.cumsum(n)])
+    out[deep] = mix64(span_hash(chunks, at[:-1], at[1:]) ^ mix64(length[deep].astype(np.uint64)))
+    return out
+
+
+def _block_hash(values: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    h = mix64(length.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    most = int(length.max(initial=0))
+    if not most:
+        return h
+    padded = np.zeros(len(values) + 8, np.uint8)
+    padded[: len(values)] = values
+    eight = np.ndarray(len(values) + 1, "<u8", padded, strides=(1,))
+    live = slice(None)
+    for k in range(0, most, 8):
+        if k:
+            live = np.flatnonzero(length > k)
+        left = length[live] - k
+        block = eight[starts[live] + k] & _LOW_BYTES[np.minimum(left, 8)]
+        h[live] = mix64((h[live] ^ block) + np.uint64(k))
+    return h
+
+
+#: Masks of the lowest 0 to 8 bytes.
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether a[start : start + length] and b[start : start + length] hold the same bytes, by span."""
+    out = np.ones(len(length), bool)
+    differ = a[ranges(a_starts, length)] != b[ranges(b_starts, length)]
+    if differ.any():
+        out[np.repeat(np.arange(len(length)), length)[differ]] = False
+    return out
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
@@ -154,6 +186,11 @@ class HashIndex:
         self.count += len(keys)
         return numbers
 
+    def skip(self, n: int) -> np.ndarray:
+        """Numbers that no key has."""
+        self.count += n
+        return np.arange(self.count - n, self.count, dtype=np.int64)
+
     def _put(self, keys: np.ndarray, numbers: np.ndarray) -> None:
         mask = (1 << self.bits) - 1
         at, todo = self._home(keys), np.arange(len(keys))

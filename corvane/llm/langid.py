@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .bpe import LETTER, char_classes
-from .common import bernoulli, map_arrow, remainder
+from .common import bernoulli, kept_by, map_arrow, remainder
 
 BLOCK = 4096
 SPAN = 64  # characters of a text that lie together in a sample, at most
@@ -101,6 +101,7 @@ class Model:
 
 
 _built: dict[str, tuple] = {}
+kept_by("langid", _built.clear)
 
 
 def _table(model: Model) -> tuple:
@@ -268,7 +269,7 @@ def identify_documents(docs: DataFrame, model: Model, *, held_out=None) -> DataF
                 "n_phrases": least,
             }
 
-    return map_arrow(docs.select("doc_id", held.alias("held"), "text"), run, "doc_id bigint, held_out boolean, lang_pred string, score double, n_letters bigint, n_phrases bigint")
+    return map_arrow(docs.select("doc_id", held.alias("held"), "text"), run, "doc_id bigint, held_out boolean, lang_pred string, score double, n_letters bigint, n_phrases bigint", "langid")
 
 
 def is_held_out(doc_id: F.Column) -> F.Column:

@@ -11,13 +11,19 @@ them). Of its segments a set uses the H + 1 cheapest: those whose signature nobo
 nothing, and most documents end there.
 
 Equal sets are one node, whatever the number of copies. Round one verifies each bucket's members
-against one of them; most buckets then lie within one component. Round two verifies the pairs
+against a few of them; most buckets then lie within one component. Round two verifies the pairs
 of the cheapest remaining buckets whose members are in different components. So no pair that could
 join two components is left out, and a group of near copies never becomes all its pairs.
 
+A passage that very many documents share makes large buckets, but few of their members count: each
+segment of a set that no other set of another component shares is a difference, so a set with more
+of them than a link allows (`most`) takes no part. This is counted again for what remains. Two sets
+that meet in several buckets are a candidate pair in the first of them only, as far as the LOOK_BACK
+buckets that each has before this one tell.
+
 Signatures travel as packed binary blocks per slot; the number of slots follows the corpus. Texts
-are fetched for candidates only, through a bit filter of fixed size. Shingles and sets are
-identified by 64-bit hashes.
+are fetched for candidates only, through a bit filter of fixed size. Shingles are identified by
+64-bit hashes within a pair of sets, sets by 128-bit digests of these.
 
 Null and empty texts, and texts without a word, have an empty set, link with nothing and are their
 own component. Texts with fewer words than a shingle are one shingle. Rows with a null doc_id take
@@ -32,6 +38,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,12 +46,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
 from . import kernels as K
-from .common import dropped, map_arrow, written
+from .common import arrow_task, dropped, end_task, map_arrow, written
 
 #: Sets up to this size have a segment for each shingle.
 SMALL = 64
 SINGLE = 1 << 31
-SIGNATURES_PER_SLOT = 2_500_000
+SIGNATURES_PER_SLOT = 1_000_000
+MOST_PARTITIONS = 50_000
 MARGIN = 6.5  # standard deviations between the segments that a set needs and those it has
 FILTER_BITS = 24
 
@@ -112,11 +120,21 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndar
 
 
 def set_digest(key: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each document's set; 0 for the empty set."""
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix64(key ^ np.uint64(0xA5A5A5A55A5A5A5A)), dtype=np.uint64)])
+    """A 128-bit digest of each document's set, as two numbers a row; 0 and 0 for the empty set."""
     size = np.diff(off)
-    d = K.mix64((total[off[1:]] - total[off[:-1]]) ^ K.mix64(size.astype(np.uint64)))
-    return np.where(size > 0, np.maximum(d, np.uint64(1)), np.uint64(0)).view(np.int64)
+    out = np.zeros((len(size), 2), np.uint64)
+    for k, seed in enumerate((0xA5A5A5A55A5A5A5A, 0x3C6EF372FE94F82B)):
+        total = np.zeros(len(key) + 1, np.uint64)
+        np.cumsum(K.mix64(key ^ np.uint64(seed)), out=total[1:])
+        out[:, k] = K.mix64((total[off[1:]] - total[off[:-1]]) ^ K.mix64(size.astype(np.uint64) + np.uint64(k)))
+    out[size == 0] = 0
+    return out
+
+
+def node_names(digest: np.ndarray) -> pa.Array:
+    """Digests as 16 bytes each."""
+    raw = np.ascontiguousarray(digest, np.uint64)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(raw), [None, pa.py_buffer(raw)]).cast(pa.binary())
 
 
 #: 64-bit words of a set's parity sketch. Each shingle flips one bit, so two sets' sketches differ in no more bits than the sets in shingles.
@@ -165,7 +183,8 @@ def _segments(key: np.ndarray, off: np.ndarray, docs: np.ndarray, m: np.ndarray,
     return owner, sig, per_set
 
 
-ENTRY = np.dtype([("node", "<i8"), ("size", "<i4"), ("segments", "<i4")])
+#: segments: of the set's own band; less than 0: -1 - those of the band below, where the set is a probe. 0 and -1: not known.
+ENTRY = np.dtype([("node", "<u8", 2), ("size", "<i4"), ("segments", "<i4")])
 
 
 def signature_blocks(docs: DataFrame, slots: int, width: int, percent: int) -> DataFrame:
@@ -174,7 +193,7 @@ def signature_blocks(docs: DataFrame, slots: int, width: int, percent: int) -> D
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in (part for whole in batches for part in K.slices(whole, most=4 * K.SLICE_BYTES)):
             nodes, sizes, segments, owners, sigs, base = [], [], [], [], [], 0
             for part in K.slices(batch):
@@ -182,9 +201,9 @@ def signature_blocks(docs: DataFrame, slots: int, width: int, percent: int) -> D
                 key, at = shingle_sets(data, off, width)
                 node, size = set_digest(key, at), np.diff(at)
                 valid = np.asarray(part.column(0).is_valid()) & (size > 0)
-                keep = []
+                keep, names = [], node.tobytes()
                 for k in np.flatnonzero(valid).tolist():
-                    if (v := int(node[k])) not in seen:
+                    if (v := names[16 * k : 16 * k + 16]) not in seen:
                         seen.add(v)
                         keep.append(k)
                 if len(seen) > 1 << 19:
@@ -203,7 +222,8 @@ def signature_blocks(docs: DataFrame, slots: int, width: int, percent: int) -> D
                     owner, sig, per_set = _segments(key, at, keep[which], m, scheme, t)
                     nodes.append(node[keep[which]])
                     sizes.append(size[keep[which]])
-                    segments.append(np.where(t > 0, 0, per_set) if own else np.full(len(which), -1))
+                    known = np.where(t > 0, 0, per_set)
+                    segments.append(known if own else -1 - known)
                     owners.append(owner + base)
                     sigs.append(sig)
                     base += len(which)
@@ -224,21 +244,23 @@ def signature_blocks(docs: DataFrame, slots: int, width: int, percent: int) -> D
                 out.append((int(slot[a]), entry[who[begin]].tobytes(), np.diff(np.append(begin, z - a)).astype("<u4").tobytes(), rest[a:z].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(arrow_task(run), schema)
 
 
 MEMBER, STAR = 0, 1
 #: Members of a bucket that the others are held against in round one, and how many of them a set is verified against.
 LEADERS, STARS = 8, 24
+#: How often the sets that take part in round two are counted anew, and the buckets before a bucket that a pair's first meeting is looked for in.
+PRUNINGS, LOOK_BACK = 2, 6
 
 
 def buckets(blocks: DataFrame, slots: int, percent: int) -> DataFrame:
     """Of all signatures that several nodes share, two kinds of rows:
 
-    MEMBER: k (bucket), node, size, n (segments of the own band; -1: a probe), and
-    STAR: k (a leader of the bucket), node (another member whose size fits), size, n (how often they meet so), once per slot.
+    MEMBER: bucket, node, size, n (segments, as ENTRY has them), and
+    STAR: leader (of the bucket), node (another member whose size fits), size, n (how often they meet so), once per slot.
     """
-    schema = "kind tinyint, k bigint, node bigint, size int, n int"
+    schema = "kind tinyint, bucket bigint, leader binary, node binary, size int, n int"
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(table: pa.Table) -> pa.Table:
@@ -256,45 +278,57 @@ def buckets(blocks: DataFrame, slots: int, percent: int) -> DataFrame:
         order, s = order[many], s[many]
         e = entry[who[order]]
         # A set whose copies came from several tasks counts once in a bucket; the largest set leads.
-        order = np.lexsort((e["segments"] < 0, e["node"], -e["size"], s))
+        hi, lo = e["node"][:, 0], e["node"][:, 1]
+        order = np.lexsort((e["segments"] < 0, lo, hi, -e["size"], s))
         e, s = e[order], s[order]
         first = np.ones(len(s), bool)
-        first[1:] = (s[1:] != s[:-1]) | (e["node"][1:] != e["node"][:-1])
+        first[1:] = (s[1:] != s[:-1]) | (e["node"][1:] != e["node"][:-1]).any(axis=1)
         e, s = e[first], s[first]
         begin = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
         n = np.diff(np.append(begin, len(s)))
         keep = np.repeat(n > 1, n)
         bucket = (s[keep].astype(np.int64) << 20 | (slot & 0xFFFFF)) if slots <= 1 << 20 else K.mix64(s[keep].astype(np.uint64) ^ np.uint64(slot << 32)).view(np.int64)
-        node, size = e["node"][keep], e["size"][keep].astype(np.int64)
-        own = e["segments"][keep]
+        e = e[keep]
+        size = e["size"].astype(np.int64)
+        # Nodes as numbers within the slot.
+        by = np.lexsort((e["node"][:, 1], e["node"][:, 0]))
+        names = e["node"][by]
+        fresh = np.ones(len(by), bool)
+        fresh[1:] = (names[1:] != names[:-1]).any(axis=1)
+        number = np.empty(len(by), np.int64)
+        number[by] = np.cumsum(fresh) - 1
+        names = names[fresh]
         start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
         n = np.diff(np.append(start, len(bucket)))
         stars = []
         for k in range(LEADERS):  # the largest set, then others by chance, the same ones in every bucket that they share
             if k:
-                rank = K.mix64(node.view(np.uint64) ^ np.uint64(k))
+                rank = K.mix64(names[:, 0] ^ np.uint64(k))[number]
                 order = np.lexsort((rank, np.repeat(np.arange(len(n)), n)))
                 head = order[start] if len(start) else start
             else:
                 head = start
             lead = np.repeat(head, n)
-            ok = (node[lead] != node) & (100 * np.minimum(size, size[lead]) >= percent * np.maximum(size, size[lead]))
-            stars.append(np.stack([node[lead][ok], node[ok], size[ok]]))
-        sp, sx, ss = np.concatenate(stars, axis=1) if stars else np.zeros((3, 0), np.int64)
+            ok = (number[lead] != number) & (100 * np.minimum(size, size[lead]) >= percent * np.maximum(size, size[lead]))
+            stars.append(np.stack([number[lead][ok], number[ok], size[ok]]))
+        sp, sx, ss = np.concatenate(stars, axis=1)
         order = np.lexsort((sx, sp))
         sp, sx, ss = sp[order], sx[order], ss[order]
         begin = np.flatnonzero(np.append(True, (sp[1:] != sp[:-1]) | (sx[1:] != sx[:-1]))) if len(sp) else np.zeros(0, np.int64)
         shared = np.diff(np.append(begin, len(sp)))
+        members, ties = len(number), len(begin)
         columns = [
-            np.repeat([MEMBER, STAR], [len(node), len(begin)]).astype(np.int8),
-            np.concatenate([bucket, sp[begin]]),
-            np.concatenate([node, sx[begin]]),
-            np.concatenate([size, ss[begin]]).astype(np.int32),
-            np.concatenate([own, shared]).astype(np.int32),
+            pa.array(np.repeat([MEMBER, STAR], [members, ties]).astype(np.int8)),
+            pa.array(np.concatenate([bucket, np.zeros(ties, np.int64)]), mask=np.arange(members + ties) >= members),
+            pa.concat_arrays([pa.nulls(members, pa.binary()), node_names(names[sp[begin]])]),
+            node_names(names[np.concatenate([number, sx[begin]])]),
+            pa.array(np.concatenate([size, ss[begin]]).astype(np.int32)),
+            pa.array(np.concatenate([e["segments"], shared]).astype(np.int32)),
         ]
-        return pa.Table.from_arrays([pa.array(c) for c in columns], schema=arrow)
+        end_task()
+        return pa.Table.from_arrays(columns, schema=arrow)
 
-    return blocks.repartition(slots, "slot").groupBy("slot").applyInArrow(run, schema)
+    return blocks.repartition(min(slots, MOST_PARTITIONS), "slot").groupBy("slot").applyInArrow(run, schema)
 
 
 def _bit_filter(ids: DataFrame) -> np.ndarray:
@@ -334,9 +368,9 @@ def _verified(docs: DataFrame, digests: DataFrame, pairs: DataFrame, width: int,
             key, at = shingle_sets(data, off, width)
             cut = (at * 8).tolist()
             raw = key.tobytes()
-            yield {"node": set_digest(key, at), "doc_id": part.column(0), "shingles": [raw[cut[k] : cut[k + 1]] for k in range(part.num_rows)]}
+            yield {"node": node_names(set_digest(key, at)), "doc_id": part.column(0), "shingles": [raw[cut[k] : cut[k + 1]] for k in range(part.num_rows)]}
 
-    found = map_arrow(hashed, sets, "node bigint, doc_id bigint, shingles binary")
+    found = map_arrow(hashed, sets, "node binary, doc_id bigint, shingles binary")
     placed = found.join(wanted.join(reps, "node"), ["node", "doc_id"]).select("a", "part", "node", "shingles")
 
     def linked(table: pa.Table) -> pa.Table:
@@ -351,31 +385,45 @@ def _verified(docs: DataFrame, digests: DataFrame, pairs: DataFrame, width: int,
             same = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
             if 100 * same >= percent * (len(p) + len(q) - same):
                 out.append(b)
-        return pa.table({"a": pa.array([a] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
+        return pa.table({"a": pa.array([a] * len(out), pa.binary()), "b": pa.array(out, pa.binary())})
 
-    links = written(placed.groupBy("a", "part").applyInArrow(linked, "a bigint, b bigint"), "links")
+    links = written(placed.groupBy("a", "part").applyInArrow(linked, "a binary, b binary"), "links")
     dropped(wanted)
     dropped(reps)
     return links
 
 
+#: Parts that the neighbours of one node are dealt over at most.
+DEALT = 1024
+
+
+def _smallest(pairs: DataFrame) -> DataFrame:
+    """a, b and `low`, the least b of each a. A node may have a third of all pairs: they stay dealt over parts, and the
+    parts (at most DEALT a node) meet for the least one only."""
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(DEALT)))
+    parts = dealt.groupBy("a", "part").agg(F.min("b").alias("b"))
+    low = parts.join(parts.groupBy("a").agg(F.min("b").alias("low")), "a").select("a", "part", "low")
+    return dealt.join(low, ["a", "part"]).select("a", "b", "low")
+
+
 def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     """node and label (the smallest node that edges a-b reach), for nodes with an edge: alternating large and small stars."""
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
+    state = lambda df: df.agg(F.count("*"), F.sum(F.hash("a", "b").cast("bigint"))).first()
+    before = state(now)
     for _ in range(most_rounds):
-        before = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("bigint"))).first()
         # Large star: larger neighbours point to the smallest neighbour (or the node).
-        every = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = every.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = every.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a != b").distinct()
+        every = _smallest(now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        large = every.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("low", "a").alias("b")).filter("a != b").distinct()
         # Small star: smaller neighbours and the node point to the smallest.
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("low"))
-        small = down.join(low, "a").select(F.explode(F.array("a", "b")).alias("x"), "low").select(F.col("x").alias("a"), F.col("low").alias("b")).filter("a != b").distinct()
-        now = written(small, "edges")
-        if now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("bigint"))).first() == before:
+        down = _smallest(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        small = down.select(F.explode(F.array("a", "b")).alias("x"), "low").select(F.col("x").alias("a"), F.col("low").alias("b")).filter("a != b").distinct()
+        last, now = now, written(small, "edges")
+        dropped(last)
+        if (after := state(now)) == before:
             labels = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
             return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
+        before = after
     raise RuntimeError(f"components aren't settled after {most_rounds} rounds")
 
 
@@ -395,27 +443,31 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 75) -> tup
                 _, _, per_set = _segments(key, at, which, np.full(len(which), m), np.full(len(which), v), np.zeros(len(which), np.int64))
                 short[which] = per_set < size[which] * (100 - percent) // percent + 1 if not t else False
             sketch = parity_sketch(key, at)
-            yield {"doc_id": part.column(0), "n_shingles": size, "node": set_digest(key, at), "short": short} | {s: sketch[:, k] for k, s in enumerate(SKETCH)}
+            yield {"doc_id": part.column(0), "n_shingles": size, "node": node_names(set_digest(key, at)), "short": short} | {s: sketch[:, k] for k, s in enumerate(SKETCH)}
 
-    ddl = "doc_id bigint, n_shingles bigint, node bigint, short boolean, " + ", ".join(f"{s} bigint" for s in SKETCH)
+    ddl = "doc_id bigint, n_shingles bigint, node binary, short boolean, " + ", ".join(f"{s} bigint" for s in SKETCH)
     digests = written(map_arrow(docs.select("doc_id", "text"), digest, ddl), "digests")
     with_set = digests.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     total = with_set.agg(F.sum("n_shingles").alias("n"), F.count_if("short").alias("short")).first()
-    slots = max(32, math.ceil(0.6 * (total["n"] or 0) / SIGNATURES_PER_SLOT))
+    slots = max(8, math.ceil(0.6 * (total["n"] or 0) / SIGNATURES_PER_SLOT))
     found = written(buckets(signature_blocks(docs, slots, width, percent), slots, percent), "buckets")
-    members = found.filter(F.col("kind") == MEMBER).select(F.col("k").alias("bucket"), "node", "size", F.col("n").alias("segments"))
+    members = found.filter(F.col("kind") == MEMBER).select("bucket", "node", "size", (F.col("n") < 0).alias("lower"), F.when(F.col("n") < 0, -1 - F.col("n")).otherwise(F.col("n")).alias("e"))
 
-    # What a set needs of the signatures that it shares: most sets need none, as enough of theirs are nobody else's.
-    lost = lambda size: F.floor(size * (100 - percent) / percent)
-    own = members.filter("segments >= 0").groupBy("node").agg(F.count("*").alias("multi"), F.first("size").alias("size"), F.first("segments").alias("e"))
-    own = own.withColumn("slack", F.col("e") - lost(F.col("size")) - 1).filter((F.col("multi") > F.col("slack")) | (F.col("e") == 0))
-    own = written(own.select("node", "slack"), "indexed")
+    # Segments that nobody shares are differences. Most sets have more of them than a link allows (`most`): they need no
+    # bucket. In its own band a set counts as the smaller one, in the band below its partner has at most that band's size.
+    level = lambda size: F.when(size <= SMALL, 0).otherwise(F.length(F.bin(F.shiftright(size - 1, SMALL.bit_length() - 1))))
+    high = F.lit(SMALL) * F.pow(F.lit(2), level(F.col("size")) - 1)
+    most = F.when(F.col("lower"), F.floor((F.col("size") + high) * (100 - percent) / (100 + percent))).otherwise(F.floor(F.col("size") * (100 - percent) / percent))
+    may = (F.col("e") == 0) | (F.col("e") - F.col("multi") <= F.col("most"))
+    live = members.groupBy("node", "lower").agg(F.count("*").alias("multi"), F.first("size").alias("size"), F.first("e").alias("e"))
+    live = written(live.withColumn("most", most).filter(may).select("node", "lower", "most", (F.col("e") - F.col("most") - 1).alias("slack")), "indexed")
+    own = live.filter("not lower").select("node", "slack")
 
     sketches = with_set.groupBy("node").agg(F.first("n_shingles").alias("size"), *(F.first(s).alias(s) for s in SKETCH))
     of = lambda x: sketches.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), *(F.col(s).alias(f"{x}_{s}") for s in SKETCH))
 
     # Round one: each such set against the leaders that it meets most often.
-    stars = found.filter(F.col("kind") == STAR).groupBy(F.col("k").alias("a"), F.col("node").alias("b")).agg(F.sum("n").alias("n"))
+    stars = found.filter(F.col("kind") == STAR).groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.sum("n").alias("n"))
     stars = stars.join(own.withColumnRenamed("node", "b"), "b").filter(F.col("n") > F.col("slack") / 2)
     stars = stars.join(of("a"), "a").join(of("b"), "b").filter(_may_link(percent)).select("a", "b", "n")
     best = F.row_number().over(W.partitionBy("b").orderBy(F.desc("n"), "a"))
@@ -427,28 +479,31 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 75) -> tup
     labels = components(links)
 
     # Round two: buckets whose members are in different components.
-    marked = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(own.withColumn("indexed", F.lit(1)).drop("slack"), "node", "left")
-    mixed = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.max("indexed").alias("indexed"))
-    mixed = mixed.filter("lo != hi and indexed = 1").select("bucket", "n")
-    open_ = written(marked.join(mixed, "bucket"), "open")
-    w = W.partitionBy("node")
-    mine = open_.filter("segments >= 0 and indexed = 1").withColumn("mixed", F.count("*").over(w)).withColumn("nth", F.row_number().over(w.orderBy("n", "bucket")))
-    # How many of its mixed buckets it needs, for a partner that differs in d shingles: d + 1 less the others.
-    mine = mine.withColumn("short_of", F.when(F.col("segments") == 0, -1_000_000).otherwise(F.col("nth") - 1 + F.col("segments") - F.col("mixed")))
+    open_ = members.join(live.select("node", "lower", "most"), ["node", "lower"]).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    counted = W.partitionBy("node", "lower")
+    for k in range(PRUNINGS):
+        mixed = open_.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.min("lower").alias("probes"))
+        mixed = mixed.filter("lo != hi and not probes").select("bucket", "n")
+        last, open_ = open_, open_.select("bucket", "node", "size", "lower", "e", "most", "label").join(mixed, "bucket").withColumn("multi", F.count("*").over(counted))
+        open_ = written(open_.filter(may), "open")
+        if k:
+            dropped(last)
+    # Fewest members first. How many of its buckets a set needs, for a partner that differs in d shingles: d + 1 less its private segments.
+    ordered = counted.orderBy("n", "bucket")
+    open_ = open_.withColumn("nth", F.row_number().over(ordered)).withColumn("past", F.collect_list("bucket").over(ordered.rowsBetween(-LOOK_BACK, -1)))
+    private = F.when((F.col("e") > 0) & ~F.col("lower"), F.col("e") - F.col("multi"))
+    open_ = open_.withColumn("private", private).withColumn("short_of", F.when(F.col("e") == 0, -1_000_000).otherwise(F.col("nth") - 1 + F.col("e") - F.col("multi")))
     # In a band either set of a pair may index the other: the one with more signatures of its own does, as it needs fewer
-    # buckets. A set that needs none can't link within its band. Across bands the smaller set is the index.
-    mine = mine.withColumn("private", F.when(F.col("segments") > 0, F.col("segments") - F.col("mixed")))
-    private = mine.groupBy(F.col("node").alias("a")).agg(F.first("private").alias("private_a"))
-    index = mine.filter(F.col("short_of") <= lost(F.col("size"))).select("bucket", "short_of", "private", F.col("node").alias("b"), F.col("label").alias("label_b")).join(of("b"), "b")
-    probe = open_.select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a")).join(of("a"), "a").join(private, "a", "left")
-    level = lambda size: F.when(size <= SMALL, 0).otherwise(F.length(F.bin(F.shiftright(size - 1, SMALL.bit_length() - 1))))
+    # buckets. Across bands the smaller set is the index.
+    index = open_.filter("not lower and short_of <= most").select("bucket", "short_of", "private", F.col("past").alias("past_b"), F.col("node").alias("b"), F.col("label").alias("label_b")).join(of("b"), "b")
+    probe = open_.select("bucket", F.col("private").alias("private_a"), F.col("past").alias("past_a"), F.col("node").alias("a"), F.col("label").alias("label_a")).join(of("a"), "a")
     alike = level(F.col("size_a")) == level(F.col("size_b"))
     more_own = (F.col("private") > F.col("private_a")) | ((F.col("private") == F.col("private_a")) & (F.col("b") < F.col("a")))
     leads = F.when(F.col("private").isNull() | ~alike, F.col("size_a") >= F.col("size_b")).otherwise(F.coalesce(more_own, F.lit(False)))
     fits = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
     enough = F.col("short_of") <= F.floor((F.col("size_a") + F.col("size_b")) * (100 - percent) / (100 + percent))
     i, p = index.alias("i"), probe.alias("p")
-    more = i.join(p, (F.col("i.bucket") == F.col("p.bucket")) & (F.col("label_a") != F.col("label_b")) & leads & fits & enough & _may_link(percent))
+    more = i.join(p, (F.col("i.bucket") == F.col("p.bucket")) & (F.col("label_a") != F.col("label_b")) & leads & fits & enough & _may_link(percent) & ~F.arrays_overlap("past_a", "past_b"))
     # Of two sets of one size each may have indexed the other.
     more = more.select(F.when(F.col("size_a") == F.col("size_b"), F.greatest("a", "b")).otherwise(F.col("a")).alias("a"), F.when(F.col("size_a") == F.col("size_b"), F.least("a", "b")).otherwise(F.col("b")).alias("b")).distinct()
     more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
@@ -457,7 +512,7 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 75) -> tup
         if not again.isEmpty():
             links = links.unionByName(again)
             labels = components(links)
-    for done in (found, pairs, own, open_, more):
+    for done in (found, pairs, live, open_, more):
         dropped(done)
     return digests, links, labels
 
@@ -510,10 +565,10 @@ def keep_first(docs: DataFrame, *, width: int = 5, percent: int = 75) -> DataFra
         for part in K.slices(batch, "text"):
             data, off, _ = K.utf8(part.column(at))
             key, ends = shingle_sets(data, off, width)
-            node = pa.array(set_digest(key, ends), pa.int64(), mask=np.diff(ends) == 0)
+            node = pa.compute.if_else(pa.array(np.diff(ends) > 0), node_names(set_digest(key, ends)), pa.scalar(None, pa.binary()))
             yield pa.RecordBatch.from_arrays([*part.columns, node], names=[*part.schema.names, "corvane_node"])
 
-    rows = map_arrow(docs, own_set, T.StructType([*docs.schema.fields, T.StructField("corvane_node", T.LongType())]))
+    rows = map_arrow(docs, own_set, T.StructType([*docs.schema.fields, T.StructField("corvane_node", T.BinaryType())]))
     known = F.col("doc_id").isNotNull() & F.col("corvane_node").isNotNull()
     stays = first.select(F.col("first.low").alias("corvane_low"), F.col("first.node").alias("corvane_first"))
     one = rows.filter(known).join(stays, (F.col("doc_id") == F.col("corvane_low")) & (F.col("corvane_node") == F.col("corvane_first")), "left_semi")

@@ -27,9 +27,10 @@ from pyspark.sql.window import Window as W
 
 from . import kernels as K
 from .bpe import Encoder
-from .common import written
+from .common import arrow_task, kept_by, written
 
 _encoders: dict[str, Encoder] = {}
+kept_by("packing", _encoders.clear)
 
 
 def encoder(path: str) -> Encoder:
@@ -91,7 +92,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, room: int, end_id: int) -> D
                     schema=arrow,
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(arrow_task(run, "packing"), PIECES)
 
 
 def reduce_instance(count: np.ndarray, room: int) -> list[tuple[tuple[int, ...], int]]:
@@ -228,4 +229,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, room: int = 1024, end_id
                     offset[part] = rows[k, 2]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], schema=arrow)
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(arrow_task(run, "packing"), schema)

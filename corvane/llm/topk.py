@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
 from . import kernels as K
-from .common import map_arrow, written
+from .common import arrow_task, map_arrow, written
 
 #: Rows of a candidate block and of a query block: about 2 MB of 64-component vectors, and a score matrix of 16 MB.
 CANDIDATES, QUERIES = 4096, 512
@@ -85,7 +85,7 @@ def blocks(vectors: DataFrame, size: int) -> DataFrame:
         if rows:
             yield packed(held_ids, held)
 
-    return vectors.mapInArrow(run, schema)
+    return vectors.mapInArrow(arrow_task(run), schema)
 
 
 def _matrix(data: bytes, width: int, to: int) -> np.ndarray:
