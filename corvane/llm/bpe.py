@@ -118,11 +118,6 @@ class RankTable:
         self.made = np.array(made, np.int64)
         self.index = K.HashIndex(max(8, int(len(keys) * 2).bit_length()))
         self.index.add(keys.astype(np.uint64))
-        # Tokens that are part of no pair of lower rank: all places of such a merge may go in one round.
-        least = np.full(self.size, _NEVER)
-        np.minimum.at(least, np.array(left, np.int64), self.made)
-        np.minimum.at(least, np.array(right, np.int64), self.made)
-        self.safe = least > np.arange(self.size)
         lengths = np.zeros(self.size, np.int64)
         for t, r in ranks.items():
             lengths[r] = len(t)
@@ -187,8 +182,8 @@ def _merge_matrix(ids: np.ndarray, lengths: np.ndarray, table: RankTable) -> np.
                 break
             wide = int((ids >= 0).sum(axis=1).max())
             ids, ranks = ids[:, :wide], ranks[:, : max(wide, 2)]
-        if wide > 64 and table.safe[low].all():
-            ids, ranks = _merge_everywhere(ids, ranks, low, table)
+        if wide > 64:
+            ids, ranks = _merge_further(ids, ranks, low, table)
             continue
         rows = np.arange(len(owner))
         ids[rows, at] = low
@@ -205,9 +200,22 @@ def _merge_matrix(ids: np.ndarray, lengths: np.ndarray, table: RankTable) -> np.
     return out
 
 
-def _merge_everywhere(ids: np.ndarray, ranks: np.ndarray, low: np.ndarray, table: RankTable) -> tuple[np.ndarray, np.ndarray]:
-    """One round for long rows: all non-overlapping places of the minimum, from the left."""
-    r, c = np.nonzero(_apart(ranks == low[:, None]))
+def _merge_further(ids: np.ndarray, ranks: np.ndarray, low: np.ndarray, table: RankTable) -> tuple[np.ndarray, np.ndarray]:
+    """As many rounds at once as have the same minimum: each row merges its leftmost place, and the next ones up to the
+    first that makes a pair of lower rank, which would come before the rest."""
+    wide = ids.shape[1]
+    here = _apart(ranks[:, :wide] == low[:, None])
+    r, c = np.nonzero(here)
+    t = low[r]
+    left = np.where(c > 0, ids[r, np.maximum(c - 1, 0)], -1)
+    left = np.where((c > 1) & here[r, np.maximum(c - 2, 0)], t, left)  # that place is merged by then
+    right = np.where(c + 2 < wide, ids[r, np.minimum(c + 2, wide - 1)], -1)
+    lower = np.zeros(len(r), bool)
+    for ok, a, b in ((left >= 0, left, t), (right >= 0, t, right)):
+        lower[ok] |= table.rank(a[ok], b[ok]) < t[ok]
+    before = np.cumsum(lower) - lower
+    go = before == before[np.searchsorted(r, r)]
+    r, c = r[go], c[go]
     ids[r, c] = low[r]
     ids[r, c + 1] = -1
     order = np.argsort(ids < 0, axis=1, kind="stable")

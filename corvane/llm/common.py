@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,11 +16,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, as `spark.checkpoint.dir` names it."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not known:
+    """The cluster's shared folder, `spark.checkpoint.dir`; where that is unset, a folder of our own, in local mode only."""
+    sc = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if known:
+        return known.rstrip("/")
+    if not re.match(r"local(\[|$)", sc.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return known.rstrip("/")
+    if not getattr(sc, "_corvane_folder", None):
+        sc._corvane_folder = "file://" + tempfile.mkdtemp(prefix="corvane-")
+    return sc._corvane_folder
 
 
 def work_path(spark: SparkSession, name: str) -> str:

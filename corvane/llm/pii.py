@@ -4,27 +4,35 @@ One pattern finds e-mail and IP addresses, card, phone, social security and bank
 secrets and titled person names. Every distinct entity (by type and canonical form, so that
 `4111 1111 1111 1111` and `4111111111111111` are one) gets a surrogate drawn from a keyed hash:
 digits for digits, letters for letters of their case, card numbers keep whether their check digit
-is right, names keep gender (by title), script and number of words, addresses keep their form and
-share a domain where the originals did. Surrogates are checked over the whole table: none may
-stand for two entities or equal an entity of the table; colliding ones are drawn again. All
-mentions of an entity, in any document, then carry the same surrogate in their own format.
+is right, names keep gender, script and number of words, addresses keep their form and share a
+domain where the originals did. Surrogates are checked over the whole table: none may stand for
+two entities or equal an entity of the table; colliding ones are drawn again, and domains stay
+distinct. All mentions of an entity, in any document, then carry the same surrogate in their own
+format.
+
+A person is a name and a gender. A title without gender (`Dr`) takes that of the titles which the
+name has elsewhere in the table, if they agree. Where a document names somebody with a title and two
+words or more, the same name without a title is that person too. A family name alone is a person
+of its own (`Mr Smith`), found with a title only.
 
 A secret is a run of 16 or more of its characters after a keyword (`token`, `password`, `bearer` and
 so on; = or : between them may be missing, so a long word in `key responsibilities` counts too), or
-has a known beginning (`sk-`, `ghp_` and so on).
+has a known beginning (`sk-`, `ghp_` and so on). A domain has at most 127 labels of 63 characters.
 
-Only documents with an entity are shuffled, and their mentions are salted, so that an entity in a
-third of all rows is spread. Null texts stay null, empty ones empty; texts of any length count as
-a whole; repeated rows are replaced alike; an empty table gives no rows; extra columns are kept by
-`replace_in_documents` whatever their names.
+Documents with an entity are written once, with a number each, so that their mentions can be joined
+back evenly; mentions of one entity are dealt over parts. Null texts stay null, empty ones empty;
+texts of any length count as a whole; repeated rows are replaced alike; an empty table gives no
+rows; extra columns (of types that Parquet holds) are kept by `replace_in_documents` whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 #: How entities look.
 TITLES_M = ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Signor", "Г-н", "Господин")
@@ -47,7 +55,8 @@ _NAME = r"\p{Lu}[\p{L}’'-]+"
 _KEYWORD = "(?i:token|secret|key|password|passwd|pwd|bearer)"
 _KNOWN = r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})"
 SECRET = rf"(?=[A-Za-z0-9_/+=-]{{16}})(?<={_KEYWORD}[\"']?\s{{0,3}}[=:]?\s{{0,3}}[\"']?)[A-Za-z0-9_/+=-]{{16,}}|{_KNOWN}"
-EMAIL = r"[\p{L}\p{N}_][\p{L}\p{N}_.+-]{0,63}+@[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?)+"
+_LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?"
+EMAIL = rf"[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_.+-]{{0,63}}+@{_LABEL}(?:\.{_LABEL}){{1,126}}"
 IP = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}_]|\.\d)"
 CARD = r"\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}_])"
 PHONE = r"\+\d{1,3}(?:[ .-]?\(\d{1,5}\))?(?:[ .-]?\d{2,5}){2,5}(?![\p{L}\p{N}_])|\(\d{2,5}\) ?\d{3,4}[ .-]\d{3,4}(?![\p{L}\p{N}_])|\d{3}[.-]\d{3}[.-]\d{4}(?![\p{L}\p{N}_])"
@@ -59,15 +68,31 @@ PATTERN = rf"(?<![{WORD}])(?:{SECRET}|{EMAIL}|{IP}|{IBAN}|{CARD}|{SSN}|{PHONE}|{
 #: What every text with an entity has; much cheaper to look for than the entities.
 MAYBE = rf"[0-9@=:]|{_KEYWORD}[\"']?\s{{0,6}}[\"']?[A-Za-z0-9_/+=-]{{16}}|{_KNOWN}|{PERSON}"
 
-SALTS = 8
+#: Parts that the mentions of one entity are dealt over at most.
+DEALT = 1024
 DIGITAL = ("CARD", "PHONE", "SSN")
 
 
 def entities(text: Column) -> Column:
-    """The entities of a text in order."""
+    """The entities of a text in order, names without a title left out."""
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
+_TITLED = rf"^{_TITLE}[  ]"
+
+
+def full_names(found: Column) -> Column:
+    """Names of two words that a text has with a title, longest first."""
+    names = F.transform(F.filter(found, lambda e: e.rlike(rf"{_TITLED}{_NAME}[  ]{_NAME}$")), lambda e: F.regexp_replace(e, _TITLED, ""))
+    return F.array_sort(F.array_distinct(names), lambda a, b: F.length(b) - F.length(a))
+
+
+def pattern_with(names: Column) -> Column:
+    """The pattern of entities and of these names without a title."""
+    either = F.array_join(F.transform(names, lambda n: F.concat(F.lit(r"\Q"), n, F.lit(r"\E"))), "|")
+    return F.when(F.size(names) > 0, F.concat(F.lit(rf"{PATTERN}|(?<![{WORD}])(?:"), either, F.lit(rf")(?![{WORD}]|[{WORD}.+-]{{0,64}}@)"))).otherwise(F.lit(PATTERN))
+
+
 def entity_type(e: Column) -> Column:
     return (
         F.when(e.contains("@"), "EMAIL")
@@ -81,17 +106,20 @@ def entity_type(e: Column) -> Column:
     )
 
 
+def gender_of(e: Column) -> Column:
+    """M, F or N by the title that a mention begins with."""
+    bare = F.regexp_replace(F.regexp_extract(e, rf"^({_TITLE})", 1), r"\.$", "")
+    return F.when(bare.isin(*TITLES_M), "M").when(bare.isin(*TITLES_F), "F").otherwise("N")
+
+
 def canonical(kind: Column, e: Column) -> Column:
-    """What equal entities have in common; a name's begins with its gender."""
-    title = F.regexp_extract(e, rf"^({_TITLE})", 1)
-    bare = F.regexp_replace(title, r"\.$", "")
-    gender = F.when(bare.isin(*TITLES_M), "M").when(bare.isin(*TITLES_F), "F").otherwise("N")
-    name = F.lower(F.regexp_replace(F.regexp_replace(e, rf"^{_TITLE}[  ]", ""), r" ", " "))
+    """What equal entities have in common; of a person the name."""
+    name = F.lower(F.regexp_replace(F.regexp_replace(e, _TITLED, ""), r" ", " "))
     return (
         F.when(kind.isin(*DIGITAL), F.concat(F.when(e.startswith("+"), "+").otherwise(""), F.regexp_replace(e, r"[^0-9]", "")))
         .when(kind == "EMAIL", F.lower(e))
         .when(kind == "IBAN", F.regexp_replace(e, " ", ""))
-        .when(kind == "PERSON", F.concat(gender, F.lit("|"), name))
+        .when(kind == "PERSON", name)
         .otherwise(e)
     )
 
@@ -130,11 +158,21 @@ def _pick(values: tuple[str, ...], stream: Column, k: int) -> Column:
     return F.element_at(F.array(*(F.lit(x) for x in values)), v % len(values) + 1)
 
 
-def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """The surrogate's canonical form, of which `rendered` makes each mention."""
-    seed = F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string"))
-    stream = _stream(seed)
-    refill = _refilled(canon, stream)
+def host_of(domain: Column, key: str, seed: int) -> Column:
+    """The first part of a domain's surrogate."""
+    hexed = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.lit(str(seed)), domain), 256)
+    return F.substring(F.translate(hexed, "0123456789", "ghijklmnop"), 1, 20)
+
+
+def drawn(table: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """kind, canon and attempt with sur, the surrogate's canonical form, of which `rendered` makes each mention."""
+    table = table.withColumn("stream", _stream(F.concat_ws("|", F.lit(key), "kind", "canon", F.col("attempt").cast("string"))))
+    table = table.withColumn("refill", _refilled(F.col("canon"), F.col("stream")))
+    return table.withColumn("sur", _surrogate(key, seed)).drop("stream", "refill")
+
+
+def _surrogate(key: str, seed: int) -> Column:
+    kind, canon, attempt, stream, refill = (F.col(c) for c in ("kind", "canon", "attempt", "stream", "refill"))
 
     body = F.substr(refill, F.lit(1), F.length(canon) - 1)
     check = (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
@@ -148,9 +186,8 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     longer = F.when(attempt > 0, F.substring(F.translate(stream, "0123456789", "ghijklmnop"), 3, 2)).otherwise("")
     longer = F.concat(longer, F.when(attempt > 2, F.substring(F.translate(stream, "0123456789", "ghijklmnop"), 7, 12)).otherwise(""))
     labels = F.size(F.split(domain, r"\."))
-    host = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain), 256)
-    host = F.substring(F.translate(host, "0123456789", "ghijklmnop"), 1, 10)
-    email = F.concat(_refilled(local, stream), longer, F.lit("@"), host, F.when(labels > 2, ".mail").otherwise(""), F.lit(".example"))
+    local_new = F.substr(refill, F.lit(1), F.length(local))
+    email = F.concat(local_new, longer, F.lit("@"), host_of(domain, key, seed), F.when(labels > 2, ".mail").otherwise(""), F.lit(".example"))
 
     octet = lambda k: (F.conv(F.substring(stream, 4 * k + 1, 4), 16, 10).cast("int") % 254 + 1).cast("string")
     ip = F.concat_ws(".", *(octet(k) for k in range(4)))
@@ -167,7 +204,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         given = F.when((gender == g) & (script == s), _pick(values, stream, 1)).otherwise(given)
     for s in FAMILY_HEADS:
         one = lambda k, s=s: F.concat(_pick(FAMILY_HEADS[s], stream, k), _pick(FAMILY_TAILS[s], stream, k + 1))
-        whole = F.concat_ws("-", one(2), F.when(attempt > 0, one(4)), F.when(attempt > 2, one(6)))
+        whole = F.concat_ws("-", one(2), F.when(attempt > 0, one(4)), F.when(attempt > 2, one(6)), F.when(attempt > 6, one(8)))
         family = F.when(script == s, whole).otherwise(family)
     # Russian family names follow the gender.
     feminine = F.regexp_replace(F.regexp_replace(family, "(ов|ев|ин|ын)(?=-|$)", "$1а"), "ий(?=-|$)", "ая")
@@ -200,25 +237,62 @@ def rendered(kind: Column, mention: Column, sur: Column) -> Column:
     )
 
 
-def surrogate_table(distinct: DataFrame, key: str, *, most_attempts: int = 40) -> DataFrame:
+def _compared(kind: Column, sur: Column) -> Column:
+    """What must differ from other surrogates and from entities: names do in any case and whatever the gender."""
+    return F.when(kind == "PERSON", F.lower(sur)).otherwise(sur)
+
+
+def surrogate_table(distinct: DataFrame, key: str, *, seed: int = 0, most_attempts: int = 40) -> DataFrame:
     """kind, canon, sur: injective, and no surrogate is an entity of the table."""
-    table = written(distinct.withColumn("attempt", F.lit(0)).withColumn("sur", surrogate(F.col("kind"), F.col("canon"), F.lit(0), key)), "surrogates")
+    table = written(drawn(distinct.select("kind", "canon", F.lit(0).alias("attempt")), key, seed), "surrogates")
     for _ in range(most_attempts):
-        shared = table.groupBy("kind", "sur").agg(F.count("*").alias("n"), F.min("canon").alias("keeper")).filter(F.col("n") > 1)
-        twice = table.join(shared, ["kind", "sur"]).filter(F.col("canon") != F.col("keeper")).select("kind", "canon")
-        real = table.join(table.select("kind", F.col("canon").alias("sur")), ["kind", "sur"], "left_semi").select("kind", "canon")
-        again = twice.unionByName(real).distinct()
+        own = table.withColumn("shown", _compared(F.col("kind"), F.col("sur")))
+        shared = own.groupBy("kind", "shown").agg(F.count("*").alias("n"), F.min("canon").alias("keeper")).filter(F.col("n") > 1)
+        twice = own.join(shared, ["kind", "shown"]).filter(F.col("canon") != F.col("keeper")).select("kind", "canon")
+        known = table.select("kind", F.when(F.col("kind") == "PERSON", F.substring_index("canon", "|", -1)).otherwise(F.col("canon")).alias("shown"))
+        again = twice.unionByName(own.join(known, ["kind", "shown"], "left_semi").select("kind", "canon")).distinct()
         if again.isEmpty():
             return table.select("kind", "canon", "sur")
-        again = again.withColumn("again", F.lit(1))
-        nxt = table.join(again, ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0)))
-        changed = surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)
-        table = written(nxt.select("kind", "canon", "attempt", F.when(F.col("again") == 1, changed).otherwise(F.col("sur")).alias("sur")), "surrogates")
+        last, marked = table, table.join(again.withColumn("again", F.lit(1)), ["kind", "canon"], "left")
+        redrawn = drawn(marked.filter(F.col("again") == 1).select("kind", "canon", (F.col("attempt") + 1).alias("attempt")), key, seed)
+        table = written(marked.filter(F.col("again").isNull()).select("kind", "canon", "attempt", "sur").unionByName(redrawn), "surrogates")
+        dropped(last)
     raise RuntimeError(f"surrogates still collide after {most_attempts} attempts")
 
 
-def replace_in_documents(docs: DataFrame, *, key: str = "corvane", report: bool = False) -> DataFrame:
-    """The documents, all their columns, with surrogates in text; with report, n_entities and entity_types too."""
+def domain_seed(domains: DataFrame, key: str, *, most_attempts: int = 40) -> int:
+    """A seed that gives each of these domains a host of its own which none of them has."""
+    for seed in range(most_attempts):
+        hosts = domains.select("domain", host_of(F.col("domain"), key, seed).alias("host"))
+        twice = hosts.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("host")
+        known = domains.select(F.explode(F.split("domain", r"\.")).alias("host"))
+        if twice.unionByName(hosts.join(known, "host", "left_semi").select("host")).isEmpty():
+            return seed
+    raise RuntimeError(f"domains still collide after {most_attempts} attempts")
+
+
+def mention_table(mentions: DataFrame, key: str) -> DataFrame:
+    """Of distinct mentions (e): kind, the mention with its surrogate (s), and a person's name alone with its (name_s)."""
+    one = mentions.withColumn("kind", entity_type(F.col("e")))
+    one = written(one.withColumn("canon", canonical(F.col("kind"), F.col("e"))), "entities")
+    people = one.filter(F.col("kind") == "PERSON").withColumn("gender", gender_of(F.col("e")))
+    titles = people.groupBy("canon").agg(F.bool_or(F.col("gender") == "M").alias("m"), F.bool_or(F.col("gender") == "F").alias("f"))
+    known = F.when(F.col("gender") != "N", F.col("gender")).when(F.col("m") & ~F.col("f"), "M").when(F.col("f") & ~F.col("m"), "F").otherwise("N")
+    people = people.join(titles, "canon").select("e", "kind", F.concat_ws("|", known, "canon").alias("canon"))
+    named = one.filter(F.col("kind") != "PERSON").unionByName(people)
+    domains = one.filter(F.col("kind") == "EMAIL").select(F.substring_index("canon", "@", -1).alias("domain")).distinct()
+    table = surrogate_table(named.select("kind", "canon").distinct(), key, seed=domain_seed(domains, key))
+    out = named.join(table, ["kind", "canon"]).select("e", "kind", rendered(F.col("kind"), F.col("e"), F.col("sur")).alias("s"))
+    return out.withColumn("name_s", F.when(F.col("kind") == "PERSON", F.regexp_replace("s", _TITLED, "")))
+
+
+def replace_in_documents(docs: DataFrame, *, key: str, report: bool = False) -> DataFrame:
+    """The documents, all their columns, with surrogates in text; with report, n_entities and entity_types too.
+
+    Whoever knows the key can tell which surrogate an entity gets, so it should be kept secret.
+    """
+    if not key:
+        raise ValueError("surrogates need a key")
     columns = docs.columns
 
     def own(name: str) -> str:
@@ -227,25 +301,31 @@ def replace_in_documents(docs: DataFrame, *, key: str = "corvane", report: bool
             name = f"_{name}"
         return name
 
-    h, m, types, salt = own("pii_h"), own("pii_m"), own("pii_types"), own("pii_salt")
+    row, names, items, types = own("pii_row"), own("pii_names"), own("pii_items"), own("pii_types")
     found = F.col("text").rlike(MAYBE) & F.col("text").rlike(PATTERN)
-    mentions = docs.filter(found).select(F.md5("text").alias("h"), entities(F.col("text")).alias("e")).distinct()
-    mentions = written(mentions, "mentions")
-    one = mentions.select("h", F.explode(F.array_distinct("e")).alias("e"))
-    one = one.withColumn("kind", entity_type(F.col("e"))).withColumn("canon", canonical(F.col("kind"), F.col("e")))
-    table = surrogate_table(one.select("kind", "canon").distinct(), key)
-    # An entity may be in a third of all documents: its mentions are dealt over SALTS copies of its row.
-    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    one = one.withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(SALTS)).cast("int"))
-    resolved = one.join(salted, ["kind", "canon", "salt"]).select("h", F.struct("e", rendered(F.col("kind"), F.col("e"), F.col("sur")).alias("s"), "kind").alias("x"))
-    by_text = resolved.groupBy(F.col("h").alias(h)).agg(F.map_from_entries(F.collect_list(F.struct("x.e", "x.s"))).alias(m), F.sort_array(F.collect_set("x.kind")).alias(types))
-    # So may a text: copies are dealt alike.
-    by_text = by_text.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    with_some = docs.filter(found).withColumn(h, F.md5("text"))
-    with_some = with_some.withColumn(salt, F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")).join(by_text, [h, salt])
-    between, inner = F.split(F.col("text"), PATTERN, -1), entities(F.col("text"))
-    joined = F.array_join(F.zip_with(between, inner, lambda a, e: F.concat(a, F.coalesce(F.element_at(F.col(m), e), F.lit("")))), "")
-    extra = [F.size(inner).cast("bigint").alias("n_entities"), F.col(types).alias("entity_types")] if report else []
-    changed = with_some.select(*(joined.alias(c) if c == "text" else F.col(c) for c in columns), *extra)
+    # Documents with an entity, each with a number; items: the mentions in order, a bare name by its titled mention.
+    some = docs.filter(found).withColumn(items, entities(F.col("text"))).withColumn(names, full_names(F.col(items)))
+    titled = lambda e: F.element_at(F.filter(items, lambda x: x.endswith(e) & (F.regexp_replace(x, _TITLED, "") == e) & (x != e)), 1)
+    bare = lambda e: F.array_contains(names, e)
+    every = F.transform(F.regexp_extract_all("text", pattern_with(F.col(names)), F.lit(0)), lambda e: F.struct(F.when(bare(e), titled(e)).otherwise(e).alias("e"), bare(e).alias("bare")))
+    plain = F.transform(items, lambda e: F.struct(e.alias("e"), F.lit(False).alias("bare")))
+    some = some.withColumn(items, F.when(F.size(names) > 0, every).otherwise(plain)).withColumn(row, F.monotonically_increasing_id())
+    some = written(some, "documents-with-entities")
+
+    mentions = some.select(F.col(row).alias("row"), F.posexplode(items).alias("pos", "item")).select("row", "pos", "item.e", "item.bare", F.pmod("row", F.lit(DEALT)).alias("part"))
+    table = mention_table(mentions.select("e").distinct(), key)
+    # An entity may be in a third of all documents: its row goes to the parts that mention it.
+    dealt = mentions.select("e", "part").distinct().join(table, "e")
+    solved = mentions.join(dealt, ["e", "part"]).select("row", "pos", F.when(F.col("bare"), F.col("name_s")).otherwise(F.col("s")).alias("s"), "kind")
+    by_row = solved.groupBy(F.col("row").alias(row)).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias(own("pii_new")), F.sort_array(F.collect_set("kind")).alias(types))
+    between = F.split(F.col("text"), pattern_with(F.col(names)), -1)
+    joined = F.array_join(F.zip_with(between, own("pii_new"), lambda a, s: F.concat(a, F.coalesce(s, F.lit("")))), "")
+    extra = [F.size(items).cast("bigint").alias("n_entities"), F.col(types).alias("entity_types")] if report else []
+    changed = some.join(by_row, row).select(*(joined.alias(c) if c == "text" else F.col(c) for c in columns), *extra)
     extra = [F.lit(0).cast("bigint").alias("n_entities"), F.array().cast("array<string>").alias("entity_types")] if report else []
     return docs.filter(F.coalesce(~found, F.lit(True))).select(*columns, *extra).unionByName(changed)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that `spark.corvane.pii.key` holds, or else one drawn for this call."""
+    return spark.conf.get("spark.corvane.pii.key", None) or secrets.token_hex(32)

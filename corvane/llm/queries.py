@@ -59,7 +59,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_in_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+    return pii.replace_in_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), key=pii.session_key(spark), report=True)
 
 
 _ALL = (

@@ -53,6 +53,54 @@ def test_tokens_equal_the_library_and_round_trip(docs, rows):
     assert list(full.ids) == enc.encode_ordinary(ODD[-1][1]) and bytes(full.decoded).decode() == ODD[-1][1]
 
 
+def thue_morse(n: int) -> tuple[str, str]:
+    """The word of n letters and its complement, which polynomial hashes modulo 2^64 can't tell apart."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096, 65536])
+def test_words_that_collide_in_polynomial_hashes(n):
+    import public_tokenizers
+    import tiktoken
+
+    ranks = bpe.read_ranks(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read())
+    plain = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [*thue_morse(n), thue_morse(n)[0]]
+    data, off, _ = K.utf8(pa.array(texts))
+    ids, at = bpe.Encoder.of_ranks(ranks).encode(data, off)
+    assert [ids[a:z].tolist() for a, z in zip(at[:-1], at[1:], strict=True)] == [plain.encode_ordinary(t) for t in texts]
+    h = K.span_hash(data, off[:-1], off[1:])
+    assert h[0] != h[1] and h[0] == h[2]
+    key, cut = ngram_join.shingle_sets(data, off, 5)
+    digest = ngram_join.set_digest(key, cut)
+    assert (digest[0] != digest[1]).all() and (digest[0] == digest[2]).all()
+    lines = pa.array(["\n".join([*thue_morse(n), "x"])])
+    assert quality.statistics(*K.utf8(lines)[:2])[0][0].tolist()[3] == 0
+
+
+def test_equal_hashes_of_other_bytes(monkeypatch):
+    """With a hash that tells only lengths, encoding and counts stay right, as bytes are compared."""
+    import public_tokenizers
+    import tiktoken
+
+    ranks = bpe.read_ranks(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read())
+    plain = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["engineering difficulties everywhere remarkable", "difficulties engineering " * 3, "everywhere engineers wonder"]
+    real = K.span_hash
+    monkeypatch.setattr(K, "span_hash", lambda v, a, b: np.where(b - a > 8, (b - a).astype(np.uint64), real(v, a, b)))
+    enc = bpe.Encoder.of_ranks(ranks)
+    for _ in range(2):
+        data, off, _valid = K.utf8(pa.array(texts))
+        ids, at = enc.encode(data, off)
+        assert [ids[a:z].tolist() for a, z in zip(at[:-1], at[1:], strict=True)] == [plain.encode_ordinary(t) for t in texts]
+    text = "\n".join(["abcdefghij one", "klmnopqrst one", "abcdefghij one", "uvwxyzabcd one"])
+    assert quality.statistics(*K.utf8(pa.array([text]))[:2])[0][0].tolist()[3:] == [1, 0]
+    a, b = [f"{c * 9}{k}" for c in "xy" for k in range(10)], [f"{c * 9}{k}" for c in "zw" for k in range(10)]
+    text = " ".join([*a, *b, *a])
+    assert quality.statistics(*K.utf8(pa.array([text]))[:2])[0][0].tolist()[4] == 40
+
+
 def test_long_pieces_and_every_kind_of_character():
     import tiktoken
 
@@ -500,7 +548,7 @@ PII = 'Call +1 (706) 555-3138 or (706) 555-3138; card 4111 1111 1111 1111, 41111
 def test_surrogates(spark):
     rows = [(1, PII, "x"), (2, "mail bob.x@mail.example.com now", "x"), (3, None, None), (4, "", "x"), (5, "plain text, nothing 2 see at 10:30 = ok", "x"), (6, "a@b.co c@b.co", "x"), (6, "a@b.co c@b.co", "x"), (None, "x " * 50_000 + "ip 10.2.3.4", "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, pii_types string")
-    out = pii.replace_in_documents(df)
+    out = pii.replace_in_documents(df, key="k")
     assert out.columns == df.columns and out.count() == len(rows)
     by = {r.doc_id: r.text for r in out.collect()}
     t = by[1]
@@ -518,14 +566,14 @@ def test_surrogates(spark):
     assert a != b and a.split("@")[1] == b.split("@")[1]
     other = {r.doc_id: r.text for r in pii.replace_in_documents(df, key="other").collect()}
     assert other[1] != t
-    assert pii.replace_in_documents(df.limit(0)).count() == 0
+    assert pii.replace_in_documents(df.limit(0), key="k").count() == 0
 
 
 def test_surrogates_of_secrets_after_white_space(spark):
     hexed, word = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "abcdefghijklmnopqrstuv"
     secrets = [("Authorization: Bearer %s", hexed), ("password %s.", "hunter2hunter2hunter2"), ("the api key\n%s", hexed), ("Bearer %s", word), ("Secret '%s'", word), ("token=%s", hexed), ('{"pwd": "%s"}', word)]
     df = spark.createDataFrame([(i, t % s) for i, (t, s) in enumerate(secrets)], "doc_id bigint, text string")
-    for r in pii.replace_in_documents(df, report=True).collect():
+    for r in pii.replace_in_documents(df, key="k", report=True).collect():
         t, s = secrets[r.doc_id]
         before, after = t.split("%s")
         assert s not in r.text and r.text.startswith(before) and r.text.endswith(after) and len(r.text) == len(t % s)
@@ -541,13 +589,71 @@ def test_texts_with_any_entity_are_looked_at(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
     look = {r.text: (r.maybe, r.sure) for r in df.select("text", F.col("text").rlike(pii.MAYBE).alias("maybe"), F.col("text").rlike(pii.PATTERN).alias("sure")).collect()}
     assert [t for t in texts if look[t] != (True, True)] == []
-    out = {r.doc_id: r.text for r in pii.replace_in_documents(df.filter(F.col("doc_id") < len(known))).collect()}
+    out = {r.doc_id: r.text for r in pii.replace_in_documents(df.filter(F.col("doc_id") < len(known)), key="k").collect()}
     assert len(out) == len(known) and all(e not in out[i] for i, e in enumerate(known))
 
 
 def test_surrogates_stay_distinct(spark):
     names = spark.range(3000).select(F.lit("PERSON").alias("kind"), F.concat(F.lit("M|name"), F.col("id").cast("string")).alias("canon"))
     mails = spark.range(60).select(F.lit("EMAIL").alias("kind"), F.concat(F.chr(F.col("id") % 26 + 97), F.when(F.col("id") >= 26, F.chr(F.col("id") % 25 + 97)).otherwise(""), F.lit("@b.co")).alias("canon")).distinct()
-    table = pii.surrogate_table(names.unionByName(mails), "k").collect()
-    assert len({(r.kind, r.sur) for r in table}) == len(table)
-    assert not {r.sur for r in table} & {r.canon for r in table}
+    # Every two-word name that the first draw could give is somebody's.
+    given, heads, tails = pii.GIVEN[("M", "Latn")], pii.FAMILY_HEADS["Latn"], pii.FAMILY_TAILS["Latn"]
+    taken = spark.createDataFrame([("PERSON", f"F|{g} {h}{t}".lower()) for g in given for h in heads for t in tails] + [("PERSON", "M|john smith")], "kind string, canon string")
+    table = pii.surrogate_table(names.unionByName(mails).unionByName(taken), "k").collect()
+    assert len({(r.kind, r.sur.lower() if r.kind == "PERSON" else r.sur) for r in table}) == len(table)
+    assert not {r.sur.lower() for r in table if r.kind == "PERSON"} & {r.canon.split("|")[1] for r in table if r.kind == "PERSON"}
+    assert not {r.sur for r in table if r.kind == "EMAIL"} & {r.canon for r in table}
+    domains = spark.createDataFrame([(f"d{k}.org",) for k in range(200)], "domain string")
+    hosts = [r.h for r in domains.select(pii.host_of(F.col("domain"), "k", 0).alias("h")).collect()]
+    assert len(set(hosts)) == 200 and pii.domain_seed(domains, "k") == 0
+    real = domains.unionByName(spark.createDataFrame([(f"{hosts[7]}.com",)], "domain string"))
+    assert pii.domain_seed(real, "k") == 1  # a surrogate must not be a real domain
+
+
+def test_people_are_names_not_titles(spark):
+    rows = [
+        (1, "Dr Anna Weber met Frau Anna Weber. Then Anna Weber left; Anna Webers no. Mail Anna Weber@x.org"),
+        (2, "Prof. Anna Weber and Mr Kim Lee"),
+        (3, "Ms Kim Lee, Dr Kim Lee"),
+        (4, "Anna Weber alone is nobody"),
+        (5, "Dr Noa Blum"),
+    ]
+    out = {r.doc_id: r.text for r in pii.replace_in_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), key="k").collect()}
+    m = re.fullmatch(r"Dr (\w+ [\w-]+) met Frau (\w+ [\w-]+)\. Then (\w+ [\w-]+) left; Anna Webers no\. Mail Anna (\S+@\S+\.example)", out[1])
+    assert m and m[1] == m[2] == m[3] and m[1].split()[0] in pii.GIVEN[("F", "Latn")], out[1]
+    prof, lee = re.fullmatch(r"Prof\. (\w+ [\w-]+) and Mr (\w+ [\w-]+)", out[2]).groups()
+    ms, dr = re.fullmatch(r"Ms (\w+ [\w-]+), Dr (\w+ [\w-]+)", out[3]).groups()
+    assert prof == m[1] and len({lee, ms, dr}) == 3  # two people of one name: a title without gender may be either
+    assert lee.split()[0] in pii.GIVEN[("M", "Latn")] and ms.split()[0] in pii.GIVEN[("F", "Latn")]
+    assert out[4] == rows[3][1] and out[5].split()[1] in pii.GIVEN[("N", "Latn")]
+
+
+def test_surrogates_of_very_long_texts_and_odd_columns(spark):
+    texts = ["x@" + "a." * 2000 + "a end", "x@" + "a." * 500_000, "+1 " * 300_000, "1 " * 500_000, "DE89" + " 3704" * 200_000, "Mr A" + "a" * 1_000_000, "key " + "A" * 1_000_000, "1." * 500_000, "a-" * 500_000 + "@b.co", "key" * 300_000]
+    df = spark.createDataFrame([(i, t, {"a": 1}, None) for i, t in enumerate(texts)] + [(99, "a@b.co", {"a": 1}, "z")] * 3, "doc_id bigint, text string, pii_row map<string,int>, PII_new string")
+    out = pii.replace_in_documents(df, key="k").collect()
+    assert len(out) == len(texts) + 3 and len({r.text for r in out if r.doc_id == 99}) == 1
+    assert next(r.text for r in out if r.doc_id == 99) != "a@b.co" and {r.pii_row["a"] for r in out} == {1}
+    with pytest.raises(ValueError):
+        pii.replace_in_documents(df, key="")
+
+
+def test_surrogates_against_a_plain_version(spark, docs, rows):
+    """An independent reading of the pattern: what lies between entities stays, mentions map one to one."""
+    import regex
+
+    pattern = regex.compile(pii.PATTERN)
+    out = {r.doc_id: r for r in pii.replace_in_documents(docs.select("doc_id", "text"), key="k", report=True).collect()}
+    seen: dict[str, str] = {}
+    for doc_id, text in {(r.doc_id, r.text) for r in rows}:
+        if text is None:
+            assert out[doc_id].text is None
+            continue
+        spans = [m.span() for m in pattern.finditer(text)]
+        assert out[doc_id].n_entities == len(spans)
+        new = [m.span() for m in pattern.finditer(out[doc_id].text)]  # surrogates look like entities
+        assert pattern.split(text) == pattern.split(out[doc_id].text), doc_id
+        for (a, b), (c, d) in zip(spans, new, strict=True):
+            was, now = text[a:b], out[doc_id].text[c:d]
+            assert now != was and seen.setdefault(was, now) == now
+    assert len(set(seen.values())) == len(seen)
