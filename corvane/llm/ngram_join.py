@@ -51,8 +51,8 @@ from .common import arrow_task, dropped, end_task, map_arrow, written
 #: Sets up to this size have a segment for each shingle.
 SMALL = 64
 SINGLE = 1 << 31
-SIGNATURES_PER_SLOT = 1_000_000
-MOST_PARTITIONS = 50_000
+SIGNATURES_PER_SLOT = 2_000_000
+LEAST_SLOTS, MOST_PARTITIONS = 32, 50_000
 MARGIN = 6.5  # standard deviations between the segments that a set needs and those it has
 FILTER_BITS = 24
 
@@ -138,7 +138,7 @@ def node_names(digest: np.ndarray) -> pa.Array:
 
 
 #: 64-bit words of a set's parity sketch. Each shingle flips one bit, so two sets' sketches differ in no more bits than the sets in shingles.
-WORDS = 12
+WORDS = 8
 SKETCH = [f"s{k}" for k in range(WORDS)]
 
 
@@ -449,7 +449,7 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 75) -> tup
     digests = written(map_arrow(docs.select("doc_id", "text"), digest, ddl), "digests")
     with_set = digests.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     total = with_set.agg(F.sum("n_shingles").alias("n"), F.count_if("short").alias("short")).first()
-    slots = max(8, math.ceil(0.6 * (total["n"] or 0) / SIGNATURES_PER_SLOT))
+    slots = max(LEAST_SLOTS, math.ceil(0.6 * (total["n"] or 0) / SIGNATURES_PER_SLOT))
     found = written(buckets(signature_blocks(docs, slots, width, percent), slots, percent), "buckets")
     members = found.filter(F.col("kind") == MEMBER).select("bucket", "node", "size", (F.col("n") < 0).alias("lower"), F.when(F.col("n") < 0, -1 - F.col("n")).otherwise(F.col("n")).alias("e"))
 
@@ -459,9 +459,9 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 75) -> tup
     high = F.lit(SMALL) * F.pow(F.lit(2), level(F.col("size")) - 1)
     most = F.when(F.col("lower"), F.floor((F.col("size") + high) * (100 - percent) / (100 + percent))).otherwise(F.floor(F.col("size") * (100 - percent) / percent))
     may = (F.col("e") == 0) | (F.col("e") - F.col("multi") <= F.col("most"))
-    live = members.groupBy("node", "lower").agg(F.count("*").alias("multi"), F.first("size").alias("size"), F.first("e").alias("e"))
-    live = written(live.withColumn("most", most).filter(may).select("node", "lower", "most", (F.col("e") - F.col("most") - 1).alias("slack")), "indexed")
-    own = live.filter("not lower").select("node", "slack")
+    counted = W.partitionBy("node", "lower")  # at most a set's segments
+    live = written(members.withColumn("multi", F.count("*").over(counted)).withColumn("most", most.cast("int")).filter(may).drop("multi"), "indexed")
+    own = live.filter("not lower").groupBy("node").agg(F.first(F.col("e") - F.col("most") - 1).alias("slack"))
 
     sketches = with_set.groupBy("node").agg(F.first("n_shingles").alias("size"), *(F.first(s).alias(s) for s in SKETCH))
     of = lambda x: sketches.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), *(F.col(s).alias(f"{x}_{s}") for s in SKETCH))
@@ -475,12 +475,12 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 75) -> tup
     if total["short"]:
         pairs = pairs.unionByName(_pairs_of_short_sets(digests, percent)).distinct()
     pairs = written(pairs, "pairs")
+    dropped(found)
     links = _verified(docs, with_set, pairs, width, percent)
     labels = components(links)
 
     # Round two: buckets whose members are in different components.
-    open_ = members.join(live.select("node", "lower", "most"), ["node", "lower"]).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    counted = W.partitionBy("node", "lower")
+    open_ = live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     for k in range(PRUNINGS):
         mixed = open_.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.min("lower").alias("probes"))
         mixed = mixed.filter("lo != hi and not probes").select("bucket", "n")
@@ -512,7 +512,7 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 75) -> tup
         if not again.isEmpty():
             links = links.unionByName(again)
             labels = components(links)
-    for done in (found, pairs, live, open_, more):
+    for done in (pairs, live, open_, more):
         dropped(done)
     return digests, links, labels
 
