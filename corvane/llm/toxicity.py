@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .bpe import BLANK, OTHER, char_classes
-from .common import labelled_sample, map_arrow, remainder
+from .common import end_task, labelled_sample, map_arrow, remainder
 
 PREFIXES = (3, 4, 5, 6, 7, 8)
 SEGMENT = 48
@@ -152,43 +152,50 @@ def select_features(words: Words, toxic: np.ndarray, counted: np.ndarray, clean_
     kinds = list(words.table)
     doc, word = words.pairs()
     mine, others = np.flatnonzero((toxic & counted)[doc]), np.flatnonzero(~toxic[doc])
-    flat = np.concatenate([words.table[k][word[mine]] for k in kinds])
-    owner, kind_of = np.tile(mine, len(kinds)), np.repeat(np.arange(len(kinds), dtype=np.int8), len(mine))
-    ok = flat != 0
-    flat, owner, kind_of = flat[ok], owner[ok], kind_of[ok]
-    names, first, index = np.unique(flat, return_index=True, return_inverse=True)
-    if not len(names):
-        return []
-    kind_of = kind_of[first]
-    n_names = len(names)
-    support = np.bincount(_unique_pairs(doc[owner], index, n_names)[1], minlength=n_names)
-    lookup = K.HashIndex(max(10, int(2 * n_names).bit_length()))
-    lookup.add(names)
-    clean = np.zeros(n_names, np.int64)
-    for k in kinds:  # a name belongs to one kind
-        got = lookup.find(words.table[k])[word[others]]
-        hit = np.flatnonzero(got >= 0)
-        clean += np.bincount(_unique_pairs(doc[others[hit]], got[hit], n_names)[1], minlength=n_names)
     share = (toxic & counted).sum() / max(1, (toxic & counted).sum() + (~toxic).sum())
 
-    def telling(n: np.ndarray) -> np.ndarray:
+    def telling(n: np.ndarray, clean: np.ndarray) -> np.ndarray:
         total = np.maximum(n + clean, 1)
         p = n / total
         nats = n * np.log(np.maximum(p, 1e-12) / share) + clean * np.log(np.maximum(1 - p, 1e-12) / (1 - share))
         return (n >= 4) & (p > share) & (nats >= evidence) & (n >= precision * (n + clean_weight * clean))
 
-    width = np.array([99 if kinds[k] == 0 else kinds[k] for k in kind_of.tolist()])
-    keep = telling(support)[index]
-    owner, index = owner[keep], index[keep]
+    # Kind by kind, so that only what may be chosen is held for all kinds at once.
+    found = []
+    for k in kinds:
+        flat = words.table[k][word[mine]]
+        ok = flat != 0
+        names, index = np.unique(flat[ok], return_inverse=True)
+        if not len(names):
+            continue
+        owner = mine[ok]
+        support = np.bincount(_unique_pairs(doc[owner], index, len(names))[1], minlength=len(names))
+        lookup = K.HashIndex(max(10, int(2 * len(names)).bit_length()))
+        lookup.add(names)
+        got = lookup.find(words.table[k])[word[others]]
+        hit = np.flatnonzero(got >= 0)
+        clean = np.bincount(_unique_pairs(doc[others[hit]], got[hit], len(names))[1], minlength=len(names))
+        good = telling(support, clean)
+        number = np.cumsum(good) - 1
+        keep = good[index]
+        found.append((k, names[good], clean[good], owner[keep], number[index[keep]]))
+    if not found:
+        return []
+    base = np.cumsum([0] + [len(f[1]) for f in found])
+    names, clean = np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
+    kind_of = np.repeat([f[0] for f in found], np.diff(base))
+    owner, index = np.concatenate([f[3] for f in found]), np.concatenate([f[4] + at for f, at in zip(found, base, strict=False)])
+    width = np.where(kind_of == 0, 99, kind_of)
+    n_names = len(names)
     chosen: list[tuple[int, int]] = []
     while len(chosen) < most and len(index):
         left = np.bincount(_unique_pairs(doc[owner], index, n_names)[1], minlength=n_names)
-        usable = np.flatnonzero(telling(left))
+        usable = np.flatnonzero(telling(left, clean))
         if not len(usable):
             break
         # Longer features first among equals: a whole word says more than its beginning.
         best = usable[np.lexsort((names[usable], -width[usable], -(left - 3 * clean)[usable]))[0]]
-        chosen.append((kinds[kind_of[best]], int(names[best])))
+        chosen.append((int(kind_of[best]), int(names[best])))
         keep = ~np.isin(owner, owner[index == best])
         owner, index = owner[keep], index[keep]
     return chosen
@@ -227,14 +234,17 @@ class Chain:
         return forward + backward
 
 
-def train_chain(feature: np.ndarray, y: np.ndarray, n_features: int, *, steps: int = 120, rate: float = 0.25, ridge: float = 1e-3) -> Chain:
-    """Maximum likelihood on segments; feature: segments x SEGMENT x slots of feature numbers (0: none), y: tags, -1 beyond the end."""
+def train_chain(feature: np.ndarray, y: np.ndarray, n_features: int, weight: np.ndarray | None = None, *, steps: int = 120, rate: float = 0.25, ridge: float = 1e-3) -> Chain:
+    """Maximum likelihood on segments; feature: segments x SEGMENT x slots of feature numbers (0: none), y: tags, -1 beyond the end;
+    weight: how often each segment counts."""
     n, width, slots = feature.shape
+    weight = np.ones(n) if weight is None else weight.astype(float)
+    each = weight[:, None]
     real = y >= 0
     w, bias, moves = np.zeros(n_features + 1), -3.0, np.array([-1.0, 0.0, 0.0])
     y1 = (y == 1).astype(float)
     pair = real[:, 1:]
-    seen = np.array([((y[:, :-1] == 0) & (y[:, 1:] == 1)).sum(), ((y[:, :-1] == 1) & (y[:, 1:] == 0)).sum(), ((y[:, :-1] == 1) & (y[:, 1:] == 1)).sum()], float)
+    seen = np.array([(((y[:, :-1] == p) & (y[:, 1:] == q)) * each).sum() for p, q in ((0, 1), (1, 0), (1, 1))])
     m1 = np.zeros(n_features + 1 + 4)
     m2 = np.zeros_like(m1)
     for step in range(1, steps + 1):
@@ -256,14 +266,14 @@ def train_chain(feature: np.ndarray, y: np.ndarray, n_features: int, *, steps: i
             if t:
                 q = np.stack([f0[t - 1] * b0, f0[t - 1] * a01 * ex[:, t] * b1, f1[t - 1] * a10 * b0, f1[t - 1] * a11 * ex[:, t] * b1])
                 q = q / q.sum(axis=0) * pair[:, t - 1]
-                expected += q[1:].sum(axis=1)
+                expected += q[1:] @ weight
                 n0, n1 = b0 + a01 * ex[:, t] * b1, a10 * b0 + a11 * ex[:, t] * b1
                 z = n0 + n1
                 b0, b1 = np.where(real[:, t], n0 / z, b0), np.where(real[:, t], n1 / z, b1)
-        d = np.where(real, y1 - p, 0)
+        d = np.where(real, y1 - p, 0) * each
         grad_w = np.bincount(feature.ravel(), np.repeat(d.ravel(), slots), minlength=n_features + 1)
         grad_w[0] = 0
-        grad = np.concatenate([grad_w, [d.sum()], seen - expected]) / n - ridge * np.concatenate([w, [bias], moves])
+        grad = np.concatenate([grad_w, [d.sum()], seen - expected]) / weight.sum() - ridge * np.concatenate([w, [bias], moves])
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
         move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
         w, bias, moves = w + move[:-4], bias + move[-4], moves + move[-3:]
@@ -358,7 +368,7 @@ def _fit_curve(z1: np.ndarray, z2: np.ndarray, y: np.ndarray, weight: np.ndarray
     return b
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, usable=None, toxic_rows: int = 2500, clean_rows: int = 4000, seed: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, usable=None, toxic_rows: int = 2500, clean_rows: int = 4000) -> Model:
     """Learns from about toxic_rows toxic and clean_rows other labelled documents."""
     sample, totals = labelled_sample(docs, labels, "toxic", {1: toxic_rows, 0: clean_rows}, "toxicity", usable)
     share = totals.get(1, 0) / max(1, sum(totals.values()))
@@ -379,12 +389,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, usable=None, toxic_rows: int = 25
         return Model([], None, np.zeros(3), share)
     model = Model(features, None, np.zeros(3), share)
     word, which = model.slots(words.table)
-    slots = 3
-    of_word = np.zeros((len(words.table[0]), slots), np.int16)
     order = np.lexsort((which, word))
     word, which = word[order], which[order]
     nth = np.arange(len(word)) - np.searchsorted(word, word)
-    of_word[word[nth < slots], nth[nth < slots]] = which[nth < slots]
+    of_word = np.zeros((len(words.table[0]), int(nth.max(initial=0)) + 1), np.int16)
+    of_word[word, nth] = which
     marked = of_word[words.word, 0] > 0
     first = np.cumsum(words.count) - words.count
     doc = np.repeat(np.arange(len(y), dtype=np.int32), words.count)
@@ -392,21 +401,27 @@ def fit(docs: DataFrame, labels: DataFrame, *, usable=None, toxic_rows: int = 25
     seg_start = np.flatnonzero(fresh)
     seg_size = np.diff(np.append(seg_start, len(doc)))
     has = np.add.reduceat(marked, seg_start) > 0
-    rng = np.random.default_rng(seed)
-    pick = np.concatenate([rng.permutation(np.flatnonzero(has))[:4000], rng.permutation(np.flatnonzero(~has))[:2000]])
-    real = np.arange(SEGMENT) < seg_size[pick][:, None]
-    rows_at = np.where(real, seg_start[pick][:, None] + np.arange(SEGMENT), 0)
-    tag = (marked[rows_at] & (y[doc[rows_at]] == 1)).astype(np.int64)
-    chain = train_chain(of_word[words.word[rows_at]].astype(np.int64) * real[:, :, None], np.where(real, tag, -1), len(features))
+    # Every segment counts; those without a feature differ by length only.
+    plain, times = np.unique(seg_size[~has], return_counts=True)
+    pick = np.flatnonzero(has)
+    size = np.concatenate([seg_size[pick], plain])
+    real = np.arange(SEGMENT) < size[:, None]
+    rows_at = np.where(real[: len(pick)], seg_start[pick][:, None] + np.arange(SEGMENT), 0)
+    tag, feature = np.where(real, 0, -1), np.zeros((*real.shape, of_word.shape[1]), np.int16)
+    tag[: len(pick)] = np.where(real[: len(pick)], marked[rows_at] & (y[doc[rows_at]] == 1), -1)
+    feature[: len(pick)] = of_word[words.word[rows_at]] * real[: len(pick), :, None]
+    chain = train_chain(feature, tag, len(features), np.concatenate([np.ones(len(pick)), times]))
     model = Model(features, chain, np.zeros(3), share)
-    del words, marked, doc
-    pa.default_memory_pool().release_unused()
+    del words, marked, doc, rows_at, tag, feature
+    end_task()
     z = []
     for part in K.slices(pa.RecordBatch.from_arrays([texts], names=["text"])):
         data, off, _ = K.utf8(part.column(0))
         z.append(np.stack(model.statistics(K.codepoints(data), K.char_offsets(data, off))[:2]))
     z1, z2 = np.concatenate(z, axis=1)
     model.curve = _fit_curve(z1, z2, y, np.where(y == 1, totals[1] / (y == 1).sum(), totals[0] / (y == 0).sum()))
+    del rows, texts
+    end_task()
     return model
 
 
