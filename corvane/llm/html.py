@@ -5,13 +5,14 @@ recursion over its depth, leaves hidden elements out, collapses white space, kee
 as their margins ask, numbers and indents lists, and aligns the cells of tables in columns.
 
 Null html renders to null, empty html to an empty text. Pages of any length and depth are rendered
-whole; beyond MAX_TABLES nested tables a table is a plain block. Repeated rows render alike; an
+whole. A visible element within one of hidden visibility is shown; drawings and formulas give their text. Repeated rows render alike; an
 empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Generator
 from html import unescape
 
 import pyarrow as pa
@@ -23,7 +24,7 @@ from .common import map_arrow
 #: Fixed values of HTML: elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TEXT = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-NEVER_SHOWN = frozenset("script style title head template noscript iframe noembed noframes datalist link meta base param source track object audio video canvas svg math".split())
+NEVER_SHOWN = frozenset("script style title head template noscript iframe noembed noframes datalist link meta base param source track object audio video canvas desc metadata defs symbol clippath mask annotation annotation-xml".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary "
@@ -50,20 +51,22 @@ IMPLIED_END = {
 #: What a head may hold; another start tag, or text that isn't white space, ends it.
 IN_HEAD = frozenset("base link meta title style script noscript noframes template".split())
 SCOPE = frozenset("table td th caption html template button".split())
-MAX_TABLES = 12
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>?|[^<]++|<""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_HIDING = re.compile(r"display\s*:\s*none", re.I)
+_SIGHT = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 _MAY_HIDE = re.compile(r"hidden|style|type|open", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "foreign")
 
-    def __init__(self, tag: str, attributes: dict[str, str]):
+    def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None = None):
         self.tag, self.attributes, self.children = tag, attributes, []
+        #: within a drawing or formula, where a tag may end itself
+        self.foreign = tag in ("svg", "math") or (parent is not None and parent.foreign and parent.tag != "foreignobject")
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -101,7 +104,7 @@ def parse(source: str) -> Node:
             _end_in_scope(stack, ("p",), SCOPE)
         if (rule := IMPLIED_END.get(tag)) is not None:
             _end_in_scope(stack, *rule)
-        node = Node(tag, _attributes(m[3]) if m[3] else {})
+        node = Node(tag, _attributes(m[3]) if m[3] else {}, stack[-1])
         stack[-1].children.append(node)
         if tag in VOID:
             continue
@@ -112,7 +115,7 @@ def parse(source: str) -> Node:
             node.children.append(unescape(raw) if tag in ("textarea", "title") else raw)
             at = close.end() if close else n
             continue
-        if not (m[3] and m[3].endswith("/") and tag in ("svg", "math")):
+        if not (node.foreign and m[3] and m[3].endswith("/")):
             stack.append(node)
     return root
 
@@ -213,9 +216,29 @@ class _Out:
                 self.gap = 2
 
 
-def render(node: Node, tables: int = 0) -> list[str]:
+def visible(node: Node, inherited: bool) -> bool:
+    """Whether an element's own text is seen."""
+    found = _SIGHT.findall(node.attributes.get("style", "")) if node.attributes else ()
+    return found[-1].lower() == "visible" if found else inherited
+
+
+def run(walk: Generator) -> list[str]:
+    """The result of a walk; walks yield the walks whose results they need, so nesting needs no recursion."""
+    stack, value = [walk], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
+
+
+def render(node: Node, seen: bool = True) -> Generator:
     """Lines of the visible text below a node."""
     out = _Out()
+    sight = [seen]
     lists: list[list] = []  # [kind, next number]
     todo: list = [("in", c) for c in reversed(node.children)]
     preserved = 0
@@ -223,6 +246,7 @@ def render(node: Node, tables: int = 0) -> list[str]:
         step, x = todo.pop()
         if step == "out":
             tag = x.tag
+            sight.pop()
             if tag == "pre":
                 preserved -= 1
                 out.verbatim(["".join(out.run).rstrip()])
@@ -239,6 +263,8 @@ def render(node: Node, tables: int = 0) -> list[str]:
                 out.block(2 if tag in SPACED and not (tag in ("ul", "ol") and lists) else 1)
             continue
         if isinstance(x, str):
+            if not sight[-1]:
+                continue
             if preserved:
                 first, *rest = x.split("\n")
                 out.run.append(first)
@@ -255,18 +281,20 @@ def render(node: Node, tables: int = 0) -> list[str]:
         if tag == "br":
             out.newline()
             continue
-        if tag == "table" and tables < MAX_TABLES:
+        here = visible(x, sight[-1])
+        if tag == "table":
             out.block(2)
-            out.verbatim(_table(x, tables + 1))
+            out.verbatim((yield _table(x, here)))
             out.block(2)
             continue
         if tag == "q":
-            todo += [("in", "”")]
+            sight.append(here)
+            todo += [("out", x), ("in", "”")]
             todo += [("in", c) for c in reversed(x.children)]
             todo += [("in", "“")]
             continue
         if tag == "input":
-            if x.attributes.get("type", "text").lower() in ("text", "submit", "button", "search", "reset", "email", "url", "tel", "number") and x.attributes.get("value"):
+            if here and x.attributes.get("type", "text").lower() in ("text", "submit", "button", "search", "reset", "email", "url", "tel", "number") and x.attributes.get("value"):
                 out.text(x.attributes["value"])
             continue
         if tag in BLOCKS:
@@ -290,6 +318,7 @@ def render(node: Node, tables: int = 0) -> list[str]:
             out.indent.append(out.indent[-1] + "  ")
         elif tag == "pre":
             preserved += 1
+        sight.append(here)
         todo.append(("out", x))
         todo += [("in", c) for c in reversed(x.children)]
     out.flush()
@@ -301,25 +330,25 @@ def _span(node: Node, name: str) -> int:
     return min(int(value), 1000) if re.fullmatch(r"[1-9]\d{0,6}", value) else 1
 
 
-def _table(table: Node, tables: int) -> list[str]:
+def _table(table: Node, seen: bool) -> Generator:
     """Rows with cells padded to the widths of their columns, two spaces apart."""
-    captions, rows, todo = [], [], list(reversed(table.children))
+    captions, rows, todo = [], [], [(x, seen) for x in reversed(table.children)]
     while todo:
-        x = todo.pop()
+        x, sight = todo.pop()
         if isinstance(x, str):
-            if x.strip():
+            if sight and x.strip():
                 captions.append([x.strip()])
         elif not shown(x):
             continue
         elif x.tag == "tr":
-            rows.append(x)
+            rows.append((x, visible(x, sight)))
         elif x.tag in ("tbody", "thead", "tfoot"):
-            todo += reversed(x.children)
+            todo += [(c, visible(x, sight)) for c in reversed(x.children)]
         elif x.tag not in ("col", "colgroup"):
-            captions.append(render(x, tables))
+            captions.append((yield render(x, visible(x, sight))))
     grid: list[list[tuple[int, int, list[str]]]] = []  # (column, span, lines)
     busy: dict[int, int] = {}
-    for row in rows:
+    for row, sight in rows:
         cells, col = [], 0
         for x in row.children:
             if isinstance(x, str):
@@ -335,7 +364,7 @@ def _table(table: Node, tables: int) -> list[str]:
             while busy.get(col, 0):
                 col += 1
             wide, high = _span(x, "colspan"), _span(x, "rowspan")
-            cells.append((col, wide, render(x, tables)))
+            cells.append((col, wide, (yield render(x, visible(x, sight)))))
             for c in range(col, col + wide):
                 busy[c] = high
             col += wide
@@ -369,13 +398,13 @@ def _table(table: Node, tables: int) -> list[str]:
 
 
 def html_text(source: str) -> str:
-    return "\n".join(render(parse(source)))
+    return "\n".join(run(render(parse(source))))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and n_lines."""
 
-    def run(batch):
+    def task(batch):
         for part in K.slices(batch, "html"):
             texts = [None if s is None else html_text(s) for s in part.column(2).to_pylist()]
             yield {
@@ -386,4 +415,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 "n_lines": [None if t is None else (t.count("\n") + 1 if t else 0) for t in texts],
             }
 
-    return map_arrow(pages.select("page_id", "url", "html"), run, "page_id bigint, url string, text string, n_chars bigint, n_lines bigint")
+    return map_arrow(pages.select("page_id", "url", "html"), task, "page_id bigint, url string, text string, n_chars bigint, n_lines bigint")

@@ -1,13 +1,15 @@
 """Language identification by cross-parsing.
 
 Each language has a suffix automaton of a bounded sample of its labelled text. A text is parsed
-greedily into the longest phrases that occur in a language's sample; the language that needs the
-fewest phrases a character wins. Texts are parsed in blocks of BLOCK characters, all blocks of a
-batch and all languages at once, one character a step, over one transition table whose missing
-entries already begin the next phrase.
+greedily into the longest phrases that occur in a language's sample; each phrase counts the
+logarithm of its sample's length (what naming a place in it costs), and the language with the least
+sum wins. Blocks of BLOCK characters of all texts and all languages are parsed at once, one character
+a step, over one transition table whose missing entries already begin the next phrase. A block
+begins where a phrase is under way: its beginning is then parsed again from there, until both parses
+are in one state. So the phrases are those of the whole text.
 
 Null texts and texts without a letter are `und` with score 0. Without labelled text every text is
-`und`. A language that has no phrases fewer than another wins by name, so ties are settled. Texts
+`und`. Of languages with equal sums the first by name wins, so ties are settled. Texts
 count as a whole; repeated rows are judged alike; extra columns are ignored.
 """
 
@@ -97,6 +99,7 @@ class Model:
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
         self.samples = [samples[k] for k in self.languages]
+        self.price = np.array([np.log2(max(2, len(x))) for x in self.samples])  # of a phrase
         self.key = hashlib.sha1("\0".join([*self.languages, *self.samples]).encode()).hexdigest()
 
 
@@ -160,25 +163,53 @@ def phrases(model: Model, codes: np.ndarray, off: np.ndarray) -> tuple[np.ndarra
     start = at[:-1][doc] + nth * BLOCK
     length = np.minimum(size[doc] - nth * BLOCK, BLOCK)
     order = np.argsort(-length, kind="stable")
-    doc, start, length = doc[order], start[order], length[order]
-    langs = len(roots)
-    count = np.zeros((langs, len(doc)), np.int32)
-    state = np.repeat(roots[:, None], len(doc), axis=1)
-    active = len(doc) - np.searchsorted(length[::-1], np.arange(int(length.max(initial=0))), "right")
-    one = np.uint32(1)
-    for t, n in enumerate(active.tolist()):
-        now = sym[start[:n] + t]
-        e = table[state[:, :n] + (np.minimum(now, NONE) if len(keys) else now)]
+    langs, one = len(roots), np.uint32(1)
+
+    def step(state: np.ndarray, now: np.ndarray) -> np.ndarray:
+        """The next states, and in the lowest bit whether a phrase begins there."""
+        e = table[state + (np.minimum(now, NONE) if len(keys) else now)]
         if len(keys) and len(cols := np.flatnonzero(now >= RARE)):
             rare = (now[cols] - RARE).astype(np.int64)
-            at = state[:, cols]
-            key = (at >> np.uint32(6)).astype(np.int64) * begins.shape[1] + rare
+            here = state[:, cols]
+            key = (here >> np.uint32(6)).astype(np.int64) * begins.shape[1] + rare
             pos = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            new = np.where(at == roots[:, None], begins[:, rare] & ~one, begins[:, rare])
+            new = np.where(here == roots[:, None], begins[:, rare] & ~one, begins[:, rare])
             e[:, cols] = np.where(keys[pos] == key, moves[pos], new)
-        count[:, :n] += (e & one).astype(np.int32)
+        return e
+
+    count = np.zeros((langs, len(doc)), np.int64)
+    state = np.repeat(roots[:, None], len(doc), axis=1)
+    active = len(doc) - np.searchsorted(length[order][::-1], np.arange(int(length.max(initial=0))), "right")
+    begin = start[order]
+    for t, n in enumerate(active.tolist()):
+        e = step(state[:, :n], sym[begin[:n] + t])
+        count[:, :n] += e & one
         state[:, :n] = e >> one
-    count += 1  # the phrase that each block begins with
+    count[:, order], state[:, order] = count.copy(), state.copy()
+    count[:, nth == 0] += 1  # the phrase that a text begins with
+    # Later blocks: from the state that the block before ends in, beside the parse from the start, until they agree.
+    entered = np.repeat(roots[:, None], len(doc), axis=1)
+    todo = np.flatnonzero(nth > 0)
+    while len(todo):
+        now, was = state[:, todo - 1].copy(), entered[:, todo].copy()
+        entered[:, todo] = now
+        live, t = np.arange(len(todo)), 0
+        moved = []
+        while len(live):
+            s = sym[start[todo[live]] + t]
+            a, b = step(was[:, live], s), step(now[:, live], s)
+            count[:, todo[live]] += (b & one).astype(np.int64) - (a & one)
+            was[:, live], now[:, live] = a >> one, b >> one
+            t += 1
+            apart = (a >> one != b >> one).any(axis=0)
+            ended = t == length[todo[live]]
+            moved.append(todo[live[apart & ended]])
+            live = live[apart & ~ended]
+        moved = np.concatenate(moved)  # their last state changes, so the next block's beginning does
+        state[:, moved] = now[:, np.searchsorted(todo, moved)]
+        nxt = moved + 1
+        nxt = nxt[nxt < len(doc)]
+        todo = np.sort(nxt[nth[nxt] > 0])
     out = np.zeros((len(size), langs), np.int64)
     for k in range(langs):
         out[:, k] = np.bincount(doc, count[k], minlength=len(size))
@@ -254,19 +285,20 @@ def identify_documents(docs: DataFrame, model: Model, *, held_out=None) -> DataF
                 yield {"doc_id": part.column(0), "held_out": part.column(1), "lang_pred": ["und"] * n, "score": np.zeros(n), "n_letters": np.zeros(n, np.int64), "n_phrases": np.zeros(n, np.int64)}
                 continue
             count, letters = phrases(model, codes, K.char_offsets(data, off))
-            best = count.argmin(axis=1)
-            least = count[np.arange(n), best]
-            rest = count.copy()
-            rest[np.arange(n), best] = np.iinfo(np.int64).max >> 8
+            cost = count * model.price
+            best = cost.argmin(axis=1)
+            least = cost[np.arange(n), best]
+            rest = cost.copy()
+            rest[np.arange(n), best] = np.inf
             second = rest.min(axis=1) if count.shape[1] > 1 else least * 3
-            score = np.where(letters > 0, second / np.maximum(second + least, 1), 0.0)
+            score = np.where(letters > 0, second / np.maximum(second + least, 1e-9), 0.0)
             yield {
                 "doc_id": part.column(0),
                 "held_out": part.column(1),
                 "lang_pred": [model.languages[b] if k else "und" for b, k in zip(best.tolist(), (letters > 0).tolist(), strict=True)],
                 "score": score,
                 "n_letters": letters,
-                "n_phrases": least,
+                "n_phrases": count[np.arange(n), best],
             }
 
     return map_arrow(docs.select("doc_id", held.alias("held"), "text"), run, "doc_id bigint, held_out boolean, lang_pred string, score double, n_letters bigint, n_phrases bigint", "langid")

@@ -9,7 +9,8 @@ together, so a step is two matrix products. Each pair of a query block and a can
 yields the block's best k; a window keeps the best k of each query.
 
 A query's own id is no candidate of it (so repeated rows of one id aren't either). Vectors that
-are null, empty, or hold null or non-finite components take no part; shorter vectors count as
+are null, empty, or hold null or non-finite components take no part; components and scores beyond 64 bits
+stay at the limits of these; shorter vectors count as
 padded with zeros. Equal query rows (id and vector) are one query; each different vector of one id is a
 query of its own, with k results of its own under that id. Ties go to the smaller vec_id; equal rows of another id give one result each.
 Fewer candidates than k give all of them; an empty table gives no rows. Extra columns are ignored.
@@ -93,16 +94,27 @@ def _matrix(data: bytes, width: int, to: int) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, to - width))) if to > width else x
 
 
+def whole_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products where double precision can't hold them; beyond 64 bits they stay at the limits of these."""
+    rough = q.astype(np.float64) @ c.T.astype(np.float64)
+    with np.errstate(over="ignore"):
+        scores = q @ c.T  # modulo 2^64, so right wherever the product fits
+    edge = 2.0**63
+    near = np.abs(np.abs(rough) - edge) <= q.shape[1] * 2.0**-50 * (np.abs(q).astype(np.float64) @ np.abs(c).T.astype(np.float64))
+    scores[rough >= edge], scores[rough <= -edge] = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+    for i, j in zip(*np.nonzero(near), strict=True):
+        exact = sum(a * b for a, b in zip(q[i].tolist(), c[j].tolist(), strict=True))
+        scores[i, j] = min(max(exact, -(2**63)), 2**63 - 1)
+    return scores
+
+
 def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, candidate row, score) of each query's k best in the block, its own id left out."""
     n, width = c.shape
     exact_in_float = width * float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) < 2.0**52
-    if not exact_in_float:  # whole numbers beyond double precision: plain integer scores
-        scores = np.array(q.astype(object) @ c.T.astype(object))
+    if not exact_in_float:
         who, col = np.nonzero(q_ids[:, None] != c_ids[None, :])
-        if any(abs(int(s)) >= 2**63 for s in scores[who, col].tolist()):
-            raise OverflowError("a score doesn't fit into 64 bits")
-        return _cut(who, col, scores[who, col].astype(np.int64), c_ids, k)
+        return _cut(who, col, whole_scores(q, c)[who, col], c_ids, k)
     x = c.astype(np.float64).T
     lists = np.sort(x, axis=1)  # each component's list, ascending
     up, down = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
@@ -139,7 +151,7 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
 
 
 def _cut(who: np.ndarray, col: np.ndarray, score: np.ndarray, c_ids: np.ndarray, k: int):
-    order = np.lexsort((c_ids[col], -score, who))
+    order = np.lexsort((c_ids[col], ~score, who))  # the complement orders as the negative, without overflow
     who, col, score = who[order], col[order], score[order]
     nth = np.arange(len(who)) - np.searchsorted(who, who)
     keep = nth < k

@@ -3,6 +3,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 from itertools import combinations
 
 import numpy as np
@@ -223,6 +224,19 @@ HTML = """<html><head><title>t</title><style>p{}</style></head><body><h1>Hi  <b>
     this</pre><script>var a="</p>"</script><!-- c -->end"""
 
 
+def test_scores_beyond_64_bits():
+    rng = np.random.default_rng(4)
+    q, c = rng.integers(-(2**62), 2**62, (5, 3)), rng.integers(-(2**62), 2**62, (40, 3))
+    c[0], q[0] = [2, 0, 0], [2**62, 0, 0]  # 2^63, one beyond the largest
+    c[1] = [1, 0, 0]
+    want = [[min(max(sum(a * b for a, b in zip(x, y, strict=True)), -(2**63)), 2**63 - 1) for y in c.tolist()] for x in q.tolist()]
+    assert topk.whole_scores(q, c).tolist() == want
+    small = rng.integers(-(2**30), 2**30, (40, 3))
+    assert (topk.whole_scores(small[:5], small) == small[:5] @ small.T).all()
+    who, col, score = topk.search_block(np.arange(5), q, np.arange(40), c, 4)
+    assert score.tolist() == [s for i in range(5) for s, _ in sorted(((-want[i][j], j) for j in range(40) if j != i))[:4] for s in [-s]]
+
+
 def test_html_layout():
     assert html.html_text(HTML).split("\n") == [
         "Hi there", "", "one", "", "two & three", "four", "", "- a", "- b", "  3. x", "  4. y", "- c", "",
@@ -248,6 +262,41 @@ def test_html_odd_sources(spark):
     for s in ("", "<", "<<b>", "<div>" * 5000 + "x", "<table><tr><td>" * 200 + "x", "</p></b>x", "<a href='x", "<p>a<!-- open", "&amp;&bogus;"):
         html.html_text(s)
     assert html.html_text("<div>" * 5000 + "x") == "x"
+    assert html.html_text("<table><tr><td>" * 3000 + "x<td>y") == "x  y"
+    assert html.html_text("<table><tr><td>a<td>" * 14 + "b") == "  ".join("a" * 14 + "b")
+    assert html.html_text('<div style="visibility:hidden">no <b style="visibility: visible">yes</b> no<table><tr><td>no<td style="visibility:visible">too</table>').split() == ["yes", "too"]
+    assert html.html_text("<p>a <svg><defs/><title>no</title><path d='x'/><text>b</text></svg> c <math><mi>d</mi><annotation>no</annotation></math> e") == "a b c d e"
+
+
+class VisibleWords(HTMLParser):
+    """Words of a well-formed page's visible text, by the standard library's parser."""
+
+    def __init__(self, source: str):
+        super().__init__(convert_charrefs=True)
+        self.words, self.hidden = [], []
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if tag not in html.VOID and (self.hidden or tag in html.NEVER_SHOWN or "hidden" in a or "none" in (a.get("style") or "")):
+            self.hidden.append(tag)
+
+    def handle_endtag(self, tag):
+        if self.hidden and tag in self.hidden:
+            while self.hidden.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.words += data.split()
+
+
+def test_html_words_against_the_standard_parser(spark, sf):
+    for r in spark.read.parquet(f"{sf}/pages.parquet").filter("html is not null").collect():
+        got = [w for w in html.html_text(r.html).split() if not re.fullmatch(r"-|\d+\.|>", w)]
+        want = [w for w in VisibleWords(r.html).words if not re.fullmatch(r"-|\d+\.|>", w)]
+        assert Counter("".join(got)) == Counter("".join(want)), r.page_id
     df = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>a"), (3, "u", "<p>a")], "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted((r.page_id, r.text) for r in html.extract_pages(df).collect() if r.page_id != 1) == [(2, ""), (3, "a"), (3, "a")]
 
@@ -328,11 +377,16 @@ def test_language_on_held_out_documents(spark, docs, rows):
     assert {r.lang_pred for r in langid.identify_documents(docs, langid.Model({})).collect()} == {"und"}
 
 
+def norm_free(s: str) -> str:
+    return re.sub(r"[^a-z]+", "", s)
+
+
 def test_cross_parsing_against_a_plain_parse():
     rng = np.random.default_rng(1)
     samples = {k: "".join(rng.choice(list(a), 400)) for k, a in (("x", "aaab c"), ("y", "abbbd "))}
     model = langid.Model(samples)
-    texts = ["".join(rng.choice(list("abcdz ."), n)) for n in (0, 1, 5, 60, 5000)]
+    texts = ["".join(rng.choice(list("abcdz ."), n)) for n in (0, 1, 5, 60, 5000, langid.BLOCK, 2 * langid.BLOCK + 1)]
+    texts += ["a" * 9000, "ab" * 9000, norm_free(samples["x"]) * 30]  # parses that don't meet again soon, or at all
     data, off, _ = K.utf8(pa.array(texts))
     got, _ = langid.phrases(model, K.codepoints(data), off)
 
@@ -342,15 +396,13 @@ def test_cross_parsing_against_a_plain_parse():
     for t, row in zip(texts, got.tolist(), strict=True):
         t = norm(t)
         for k, lang in enumerate(model.languages):
-            n = 0
-            for block in (t[i : i + langid.BLOCK] for i in range(0, len(t), langid.BLOCK)):
-                i = 0
-                while i < len(block):
-                    j = i + 1
-                    while j <= len(block) and block[i:j] in norm(samples[lang]):
-                        j += 1
-                    i = max(j - 1, i + 1)
-                    n += 1
+            i = n = 0
+            while i < len(t):
+                j = i + 1
+                while j <= len(t) and t[i:j] in norm(samples[lang]):
+                    j += 1
+                i = max(j - 1, i + 1)
+                n += 1
             assert row[k] == n
 
 
