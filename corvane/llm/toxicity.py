@@ -138,8 +138,11 @@ class Words:
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (text, word)."""
-        doc = np.repeat(np.arange(len(self.count)), self.count)
-        return _unique_pairs(doc, self.word, len(self.table[0]) + 1)
+        key = np.repeat(np.arange(len(self.count)) * (len(self.table[0]) + 1), self.count)
+        key += self.word
+        key.sort()
+        key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+        return (key // (len(self.table[0]) + 1)).astype(np.int32), (key % (len(self.table[0]) + 1)).astype(np.int32)
 
 
 def select_features(words: Words, toxic: np.ndarray, counted: np.ndarray, clean_weight: float, *, most: int = 400, precision: float = 0.8, evidence: float = 18.0) -> list[tuple[int, int]]:
@@ -179,6 +182,8 @@ def select_features(words: Words, toxic: np.ndarray, counted: np.ndarray, clean_
         number = np.cumsum(good) - 1
         keep = good[index]
         found.append((k, names[good], clean[good], owner[keep], number[index[keep]]))
+        del flat, ok, names, index, owner, lookup, got, hit, keep
+        end_task()
     if not found:
         return []
     base = np.cumsum([0] + [len(f[1]) for f in found])
@@ -378,13 +383,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, usable=None, toxic_rows: int = 25
     if not len(y) or y.all() or not y.any():
         return Model([], None, np.zeros(3), share)
     texts = rows.column("text").combine_chunks()
+    del rows
     words = Words(texts)
+    end_task()
     clean_weight = (totals[0] / max(1, (y == 0).sum())) / (totals[1] / max(1, (y == 1).sum()))
     some = np.flatnonzero(y == 1)
     distinct = np.zeros(len(y), bool)
     in_toxic = np.repeat(y == 1, words.count)
     distinct[some] = distinct_documents(words.table[0][words.word[in_toxic]], words.count[some])
+    del in_toxic
+    end_task()
     features = select_features(words, y == 1, distinct, clean_weight)
+    end_task()
     if not features:
         return Model([], None, np.zeros(3), share)
     model = Model(features, None, np.zeros(3), share)
@@ -420,7 +430,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, usable=None, toxic_rows: int = 25
         z.append(np.stack(model.statistics(K.codepoints(data), K.char_offsets(data, off))[:2]))
     z1, z2 = np.concatenate(z, axis=1)
     model.curve = _fit_curve(z1, z2, y, np.where(y == 1, totals[1] / (y == 1).sum(), totals[0] / (y == 0).sum()))
-    del rows, texts
+    del texts
     end_task()
     return model
 
