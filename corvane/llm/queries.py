@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, langid, ngram_join, packing, pii, quality, topk, toxicity, warc
+from . import bpe, html, langid, ngram_join, oracles, packing, pii, quality, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,4 +77,4 @@ _ALL = (
 QUERIES = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL for the queries that it can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES

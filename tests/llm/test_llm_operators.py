@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, html, langid, ngram_join, packing, pii, quality, topk, toxicity, warc
+from corvane.llm import bpe, html, langid, ngram_join, oracles, packing, pii, quality, topk, toxicity, warc
 from corvane.llm import kernels as K
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -102,6 +102,18 @@ def test_equal_hashes_of_other_bytes(monkeypatch):
     assert quality.statistics(*K.utf8(pa.array([text]))[:2])[0][0].tolist()[4] == 40
 
 
+@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+def test_queries_against_sql(spark, sf, duck, name):
+    from corvane.llm import queries
+
+    got = queries.QUERIES[name](spark, sf)
+    columns = sorted(got.columns)
+    want = duck.execute(oracles.ORACLES[name])
+    names = [x[0] for x in want.description]
+    assert sorted(names) == columns
+    assert Counter(tuple(r[c] for c in columns) for r in got.collect()) == Counter(tuple(r[names.index(c)] for c in columns) for r in want.fetchall())
+
+
 def test_long_pieces_and_every_kind_of_character():
     import tiktoken
 
