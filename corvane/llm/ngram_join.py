@@ -463,7 +463,8 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 75) -> tup
     live = written(members.withColumn("multi", F.count("*").over(counted)).withColumn("most", most.cast("int")).filter(may).drop("multi"), "indexed")
     own = live.filter("not lower").groupBy("node").agg(F.first(F.col("e") - F.col("most") - 1).alias("slack"))
 
-    sketches = with_set.groupBy("node").agg(F.first("n_shingles").alias("size"), *(F.first(s).alias(s) for s in SKETCH))
+    # Written, so that the joins with it have two plain shuffles, whose hot keys the adaptive planner can split.
+    sketches = written(with_set.groupBy("node").agg(F.first("n_shingles").alias("size"), *(F.first(s).alias(s) for s in SKETCH)), "sketches")
     of = lambda x: sketches.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), *(F.col(s).alias(f"{x}_{s}") for s in SKETCH))
 
     # Round one: each such set against the leaders that it meets most often.
@@ -512,7 +513,7 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 75) -> tup
         if not again.isEmpty():
             links = links.unionByName(again)
             labels = components(links)
-    for done in (pairs, live, open_, more):
+    for done in (pairs, live, open_, more, sketches):
         dropped(done)
     return digests, links, labels
 
