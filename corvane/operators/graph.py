@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -133,13 +134,13 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 50) -> Dat
     raise RuntimeError("components aren't settled")
 
 
-def levels(tasks: DataFrame, requires: DataFrame, most: int = 64) -> DataFrame:
+def levels(tasks: DataFrame, requires: DataFrame) -> DataFrame:
     """(id, level): the longest path from a task without preconditions; tasks of one level may run in parallel. Rows of a
     cycle get no level."""
     from ..sources.sinks import cut
 
     done = cut(tasks.select("id").join(requires.select("id").distinct(), "id", "left_anti").withColumn("level", F.lit(0)))
-    for step in range(1, most + 1):
+    for step in itertools.count(1):
         open_ = tasks.select("id").join(done, "id", "left_anti")
         waiting = requires.join(done.select(F.col("id").alias("needs")), "needs", "left_anti").select("id").distinct()
         ready = cut(open_.join(waiting, "id", "left_anti").withColumn("level", F.lit(step)))

@@ -49,9 +49,11 @@ def near_names(candidates: DataFrame, registry: DataFrame, key: str, most: int)
 
 
 def nearest(queries: DataFrame, table: DataFrame, k: int) -> DataFrame:
-    """The k rows of highest cosine similarity for each of a few stated queries (query_id, embedding); ties by id."""
+    """The k rows of highest cosine similarity for each of a few stated queries (query_id, embedding); ties by id.
+
+    The planner broadcasts the queries where their size allows it."""
     q = queries.select("query_id", F.col("embedding").alias("_q"))
-    scored = table.select("id", "embedding").join(F.broadcast(q), F.lit(True)).withColumn("score", X.cosine(F.col("_q"), F.col("embedding"))).filter("score is not null")
+    scored = table.select("id", "embedding").join(q, F.lit(True)).withColumn("score", X.cosine(F.col("_q"), F.col("embedding"))).filter("score is not null")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 

@@ -166,9 +166,9 @@ _TOKENS = "t AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text),
 
 
 @query(f"""WITH {_TOKENS}, s AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS shared FROM t a JOIN t b ON a.w = b.w AND a.item_id < b.item_id GROUP BY 1, 2)
-SELECT s.a, s.b, s.shared, round_even(s.shared / (x.n + y.n - s.shared), 6) AS jaccard FROM s JOIN n x ON x.item_id = s.a JOIN n y ON y.item_id = s.b WHERE s.shared / (x.n + y.n - s.shared) > 0.15""")
+SELECT s.a, s.b, s.shared, round_even(s.shared / (x.n + y.n - s.shared), 6) AS jaccard FROM s JOIN n x ON x.item_id = s.a JOIN n y ON y.item_id = s.b WHERE s.shared / (x.n + y.n - s.shared) > 0.05""")
 def jn07_text_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = S.jaccard_pairs(table(spark, sf_dir, "benchmark"), "item_id", "text", 0.15)
+    p = S.jaccard_pairs(table(spark, sf_dir, "benchmark"), "item_id", "text", 0.05)
     return p.select("a", "b", F.col("shared").cast("bigint").alias("shared"), F.bround("jaccard", 6).alias("jaccard"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import changes as H
+from ..operators import rules as R
 from ..operators import validators as V
 from .governance import query
 from .tables import REGISTRY_SQL, skills, table, tools
@@ -227,3 +228,13 @@ def srt03_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("low")).orderBy("low", "p_partkey").limit(50)
     listed = first.agg(F.array_sort(F.collect_list(F.struct("low", "p_partkey"))).alias("x"))  # 50 rows
     return listed.select(F.posexplode("x").alias("pos", "x")).select("x.p_partkey", (F.col("pos") + 1).cast("bigint").alias("place"))
+
+
+@query(f"""WITH {REGISTRY_SQL}, k AS (SELECT *, CAST(substr(skill_name, 7) AS BIGINT) AS k FROM skills)
+SELECT 'metadata_drift' AS code, skill_name AS asset_name, concat_ws(',', CASE WHEN k % 4 = 0 AND status <> 'draft' THEN 'status' END, CASE WHEN k % 6 = 0 THEN 'risk_level' END) AS message FROM k
+WHERE k % 10 <> 0 AND (k % 4 = 0 AND status <> 'draft' OR k % 6 = 0) UNION ALL SELECT 'missing_in_fs', skill_name, 'registered, but there is no file' FROM k WHERE k % 10 = 0""")
+def jn03_metadata_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = skills(spark, sf_dir)
+    k = F.element_at(F.split("skill_name", "-"), 2).cast("bigint")
+    found = s.filter(k % 10 != 0).select("skill_name", F.when(k % 4 == 0, "draft").otherwise(F.col("status")).alias("status"), F.when(k % 6 != 0, F.col("risk_level")).alias("risk_level"))
+    return R.alignment(s, found, "skill", "skill_name", ["status", "risk_level"]).select("code", "asset_name", "message")

@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where that is unset, one of our own, in local mode only."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if known:
+        return known
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="corvane-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by checkpoint() in the folder the cluster names in spark.checkpoint.dir."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corvane-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -30,8 +41,9 @@ def write_by_key(df: DataFrame, path: str, key: str) -> None:
 
 
 def write_sheets(df: DataFrame, path: str) -> None:
-    """CSV with a header, a folder per sheet; the first column of text begins with a byte order mark as spreadsheets want."""
-    df.write.mode("overwrite").partitionBy("sheet").option("header", "true").option("encoding", "UTF-8").csv(path)
+    """CSV with a header, a folder per sheet; the header begins with a byte order mark as spreadsheets want."""
+    first = next(c for c in df.columns if c != "sheet")
+    df.withColumnRenamed(first, f"\ufeff{first}").write.mode("overwrite").partitionBy("sheet").option("header", "true").option("encoding", "UTF-8").csv(path)
 
 
 def append_run(spark, path: str, **record) -> None:
@@ -62,7 +74,7 @@ def shared_path(spark, name: str) -> str:
     """A new path in the folder the cluster names in spark.checkpoint.dir; only where that is unset a temporary one."""
     import uuid
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corvane-")
+    root = shared_folder(spark)
     return f"{root.rstrip('/')}/corvane/{name}-{uuid.uuid4().hex}"
 
 

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.operators import changes as H
 from corvane.operators import graph as G
 from corvane.operators import rules as R
 from corvane.operators import scorecard as C
@@ -122,3 +123,22 @@ def test_trigger_risk_and_regulatory(spark):
     assert [x.r for x in d] == ["L5", "L2", None]
     p = spark.createDataFrame([("p", "", True, False, True, True, None, False, None, False, None)], "name string, data_class string, customer_data boolean, consent boolean, funds boolean, aml_step boolean, retention int, cross_border boolean, approved boolean, credit_decision boolean, rationale string")
     assert sorted(r.code for r in R.regulatory(p).collect()) == ["R1", "R2", "R4"]
+
+
+def test_levels_of_a_long_chain(spark):
+    n = 70
+    t = spark.range(n).select(F.col("id").cast("string").alias("id"))
+    r = spark.range(1, n).select(F.col("id").cast("string").alias("id"), (F.col("id") - 1).cast("string").alias("needs"))
+    loop = spark.createDataFrame([("x", "y"), ("y", "x")], "id string, needs string")
+    got = {x.id: x.level for x in G.levels(t.union(loop.select("id")), r.union(loop)).collect()}
+    assert got == {str(k): k for k in range(n)}
+
+
+def test_impact_report_and_spoken_segments(spark):
+    radius = spark.createDataFrame([("a", "ops"), ("b", "ops"), ("c", None)], "skill_name string, bundle_scope string")
+    assert H.impact_report(radius).splitlines()[2:] == ["| (dependent) | 1 | c |", "| ops | 2 | a, b |"]
+    text = "one two three four five " * 12 + "x" * 250
+    parts = spark.createDataFrame([(text,)], "t string").select(H.spoken_segments(F.col("t")).alias("p")).first().p
+    assert max(map(len, parts)) <= 100 and "".join(parts).replace(" ", "") == text.replace(" ", "")
+    actors = spark.createDataFrame([("human",), ("system",), ("automated",), (None,)], "a string")
+    assert [r.t for r in actors.select(H.task_type(F.col("a")).alias("t")).collect()] == ["userTask", "serviceTask", "scriptTask", "manualTask"]
