@@ -1,9 +1,13 @@
 """WARC archives: writing captures, reading records, joining them to transactions.
 
-Writing stays in the JVM: records are strings, the text sink puts the two line ends of the format
-between them, gzip packs each file. A page becomes a request, a response (or, if an earlier page
-has the same payload, a revisit) and a metadata record, tied by WARC-Concurrent-To. Reading parses
-each archive by its Content-Length fields; assembly groups records by the response they name.
+A page becomes a request, a response (or, if an earlier page has the same payload, a revisit) and a
+metadata record, tied by WARC-Concurrent-To. Records are put together as strings; each is a gzip
+member of its own, as the format asks for, and an empty member stands after each. To gzip this member
+is no data; to the reader it is the line separator of a text file, so archives of any size are split
+over tasks and need no bound on their records or bytes. A separator can't arise within text, and a
+record cut at a wrong place fails its checksum. Archives from elsewhere (plain or gzip) without
+separators are read as one row a file, at most 2 GB each. Reading parses records by their
+Content-Length; assembly groups records by the response they name.
 
 Null html is an empty payload; a null url leaves WARC-Target-URI out, a null page_id its field. Rows
 without page_id revisit the page with that payload that has one. Repeated rows are the same record
@@ -17,6 +21,7 @@ import base64
 import gzip
 import hashlib
 import io
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import work_path
+from .common import arrow_task, work_path
 
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -32,8 +37,12 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Digits that conv() writes in base 32, and those of RFC 4648.
 CONV_DIGITS, BASE32_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
-#: Records that an archive file holds at most.
-RECORDS_PER_FILE = 24_000
+#: A gzip member without data, with a fixed header: what stands after each record's member.
+SEPARATOR = bytes.fromhex("1f8b08000000000000ff 0300 00000000 00000000")
+TEXT_OPTIONS = {"lineSep": SEPARATOR.decode("latin-1"), "encoding": "ISO-8859-1"}
+
+#: Bytes of records that a batch holds about.
+BATCH_BYTES = 8 << 20
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -53,7 +62,26 @@ def _record(kind: Column, record_id: Column, headers: list[tuple[str, Column]],
     lines = [F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), kind), F.concat(F.lit("WARC-Record-ID: "), record_id)]
     lines += [F.concat(F.lit(f"{name}: "), value) for name, value in headers]
     lines.append(F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")))
-    return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2), body)
+    return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2), body, F.lit(CRLF * 2))
+
+
+def _members(batches):
+    """Batches of records as batches of gzip members."""
+
+    def made(members):
+        return pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["member"])
+
+    members, held = [], 0
+    for batch in batches:
+        for record in batch.column(0).cast(pa.large_binary()):
+            pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+            members.append(pack.compress(record.as_buffer()) + pack.flush())
+            held += len(members[-1])
+            if held > BATCH_BYTES:
+                yield made(members)
+                members, held = [], 0
+    if members:
+        yield made(members)
 
 
 def write_archives(pages: DataFrame, path: str, *, date: str = "2024-01-01T00:00:00Z", revisit_from: int = 0) -> None:
@@ -98,7 +126,9 @@ def write_archives(pages: DataFrame, path: str, *, date: str = "2024-01-01T00:00
         F.concat(F.lit("refers-to-page: "), F.when(is_revisit, F.col("first.page_id").cast("string")), F.lit(CRLF)),
     )
     metadata = _record(F.lit("metadata"), _urn("metadata", response_id), [*ties, ("Content-Type", F.lit("application/warc-fields"))], fields)
-    both.select(F.explode(F.array(request, response, metadata)).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records = both.select(F.explode(F.array(request, response, metadata)).alias("value"))
+    packed = records.mapInArrow(arrow_task(_members), "member binary")
+    packed.select(F.col("member").cast("string").alias("value")).write.options(**TEXT_OPTIONS).text(path)
 
 
 RECORDS = (
@@ -143,9 +173,20 @@ def _row(headers: dict[str, str], block: bytes, with_payload: bool) -> tuple:
     )
 
 
+def _opened(content: pa.Buffer) -> io.BufferedIOBase:
+    """The plain bytes of one record's member, or of a whole archive, plain or gzip."""
+    if content[:2].to_pybytes() != b"\x1f\x8b":
+        return io.BytesIO(content)
+    unpack = zlib.decompressobj(31)
+    plain = unpack.decompress(content, BATCH_BYTES)
+    if unpack.eof and not unpack.unused_data:
+        return io.BytesIO(plain)
+    return io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)))
+
+
 def read_records(spark: SparkSession, path: str, *, with_payload: bool = True) -> DataFrame:
     """A row per record of the archives (plain or gzip) under path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!_.]*").load(path).select("content")
+    parts = spark.read.options(**TEXT_OPTIONS).option("recursiveFileLookup", "true").option("pathGlobFilter", "[!_.]*").text(path)
     schema = T.StructType.fromDDL(RECORDS)
     arrow = to_arrow_schema(schema)
 
@@ -156,18 +197,18 @@ def read_records(spark: SparkSession, path: str, *, with_payload: bool = True) -
         rows, held = [], 0
         for batch in batches:
             for content in batch.column(0):
-                raw = io.BytesIO(content.as_buffer())
-                zipped = raw.getbuffer()[:2] == b"\x1f\x8b"
-                for headers, block in parse_archive(io.BufferedReader(gzip.GzipFile(fileobj=raw)) if zipped else raw):
+                if content.as_buffer().size == 0:
+                    continue
+                for headers, block in parse_archive(_opened(content.as_buffer())):
                     rows.append(_row(headers, block, with_payload))
                     held += len(block) if with_payload else 200
-                    if held > 8 << 20 or len(rows) >= 4000:
+                    if held > BATCH_BYTES or len(rows) >= 4000:
                         yield made(rows)
                         rows, held = [], 0
         if rows:
             yield made(rows)
 
-    return files.mapInArrow(run, schema)
+    return parts.select(F.col("value").cast("binary")).mapInArrow(arrow_task(run), schema)
 
 
 def assemble(records: DataFrame) -> DataFrame:

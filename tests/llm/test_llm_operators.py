@@ -1,5 +1,7 @@
 import base64
+import gzip
 import hashlib
+import io
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -337,6 +339,45 @@ def test_warc_round_trip(spark, sf, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_members_splits_and_foreign_archives(spark, sf, tmp_path):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    path = tmp_path / "w"
+    warc.write_archives(pages.coalesce(1), str(path))
+    files = [f for f in path.iterdir() if f.name.startswith("part-")]
+    for f in files:
+        raw = f.read_bytes()
+        plain = gzip.decompress(raw)
+        n = sum(1 for _ in warc.parse_archive(io.BytesIO(plain)))
+        members = 0
+        while raw:
+            unpack = zlib.decompressobj(31)
+            members += bool(unpack.decompress(raw))
+            raw = unpack.unused_data
+        assert members == n
+    key = lambda df: Counter((r.record_id, r.record_type, r.payload_digest, r.payload) for r in df.collect())
+    want = key(warc.read_records(spark, str(path)))
+    assert sum(want.values()) == 3 * pages.count()
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        small = warc.read_records(spark, str(path))
+        assert small.rdd.getNumPartitions() > 10 and key(small) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    plain = b"".join(gzip.decompress(f.read_bytes()) for f in files)
+    for name, content in (("a.warc", plain), ("b.bin", gzip.compress(plain)), ("c.warc.gz", gzip.compress(plain))):
+        other = tmp_path / name.replace(".", "_")
+        other.mkdir()
+        (other / name).write_bytes(content)
+        assert key(warc.read_records(spark, str(other))) == want, name
+    whole = warc.SEPARATOR.join([gzip.compress(b"WARC/1.1\r\nContent-Length: 400\r\n\r\n" + b"x" * 400)])
+    for k, cut in enumerate((whole[:-12], gzip.compress(b"WARC/1.1\r\nContent-Length: 400\r\n\r\nshort"))):
+        (tmp_path / f"cut{k}").mkdir()
+        (tmp_path / f"cut{k}" / "x.bin").write_bytes(cut)
+        with pytest.raises(Exception, match="EOFError|cut off"):
+            warc.read_records(spark, str(tmp_path / f"cut{k}")).collect()
+
+
 def brute_quality(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
