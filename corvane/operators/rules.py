@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from .graph import ACTIVE, consumers, risk_rank
 from .scorecard import INACTIVE, PENDING, days_since, family_overload
-from .similarity import jaccard_pairs, near_names
+from .similarity import jaccard_pairs
 
 #: Fixed values of the catalogue.
 STATUSES = ("draft", "submitted", "approved", "restricted", "needs_revision", "deprecated", "retired")
@@ -32,7 +32,6 @@ DOMAINS = {
     "energy-agent": ("energy", "consumption", "optimization", "power", "grid", "load"),
     "bpmn-agent": ("bpmn", "process", "workflow", "diagram", "entity", "intent", "xml"),
 }
-ORCHESTRATION = ("orchestrat", "coordinat", "manag", "sequenc", "pipeline", "step 1", "step 2", "multi-step", "workflow")
 NON_ATOMIC = ("manager", "handler", "coordinator", "orchestrator", "controller", "processor", "dispatcher", "supervisor")
 TRIGGER_RISK = {"资金": "L3", "转账": "L4", "放款": "L4", "扣款": "L4", "开卡": "L4", "销户": "L4", "征信报送": "L5", "反洗钱": "L2", "跨境": "L5", "监管报送": "L5"}
 CLASS_RISK = {
@@ -194,52 +193,6 @@ def audit(skills: DataFrame, tools: DataFrame, as_of: Column) -> DataFrame:
     return union(skill_metadata(skills, as_of), skill_overlap(skills), skill_reviews(skills, as_of), tool_metadata(tools), tool_reviews(tools, as_of), tool_consumers(skills, tools), risk_inheritance(skills, tools))
 
 
-def _check(df: DataFrame, name: str, check: str, result: Column) -> DataFrame:
-    return df.select(F.col(name).alias("name"), F.lit(check).alias("check"), result.alias("result"))
-
-
-def skill_admission(candidates: DataFrame, registry: DataFrame) -> DataFrame:
-    """(name, check, result) of candidates (skill_name, description, workflow, bundle_scope, risk_level) against a registry."""
-    others = registry.filter("skill_name is not null")
-    near = near_names(candidates, others, "skill_name", 2).groupBy("candidate").agg(F.min("distance").alias("dist"))
-    both = candidates.select("skill_name", F.col("description").alias("purpose")).unionByName(others.select("skill_name", "purpose")).dropDuplicates(["skill_name"])
-    pairs = jaccard_pairs(both, "skill_name", "purpose", 0.45)
-    pairs = pairs.select(F.col("a").alias("name"), "jaccard").unionByName(pairs.select(F.col("b").alias("name"), "jaccard")).groupBy("name").agg(F.max("jaccard").alias("sim"))
-    x = candidates.join(near, candidates["skill_name"] == near["candidate"], "left").join(pairs, F.col("skill_name") == F.col("name"), "left").drop("name", "candidate")
-    text = F.concat_ws(" ", "description", "workflow")
-    foreign = reduce(lambda a, b: a + b, ((F.size(X.hits(text, w)) >= 5).cast("int") * (F.col("bundle_scope") != scope).cast("int") for scope, w in DOMAINS.items()))
-    control, write = F.size(X.hits(F.col("workflow"), CONTROL_VERBS)) > 0, F.size(X.hits(text, WRITE_VERBS)) > 0
-    l4 = F.col("risk_level") == "L4"
-    approval = F.lower("workflow").contains("approval")
-    steps = F.size(F.regexp_extract_all(F.coalesce("workflow", F.lit("")), F.lit(r"(?m)^\s*(?:\d+\.|-)\s"), F.lit(0)))
-    calls = F.coalesce(F.lower("workflow").rlike(r"(?:use|call)\s+the\s+\S+-skill|(?:invoke|trigger)\s+\S+-skill"), F.lit(False))
-    vague = F.size(X.hits(F.col("description"), VAGUE_ROUTING)) > 0
-    return union(
-        _check(x, "skill_name", "conflict", F.when(F.col("sim") > 0.65, "REQUIRES_REVIEW").when((F.col("sim") > 0.45) | F.col("dist").isNotNull(), "WARNING").otherwise("PASS")),
-        _check(x, "skill_name", "boundary", F.when(~F.coalesce(F.col("bundle_scope").isin(*SCOPES), F.lit(False)), "REJECT").when(foreign >= 2, "REQUIRES_REVIEW").when(foreign == 1, "WARNING").otherwise("PASS")),
-        _check(x, "skill_name", "risk", F.when(control & ~l4 | l4 & ~F.coalesce(approval, F.lit(False)), "REJECT").when(write & (F.col("risk_level") == "L1"), "REQUIRES_REVIEW").when(l4 & ~control, "WARNING").otherwise("PASS")),
-        _check(x, "skill_name", "routing", F.when((F.length("description") < 40) | vague | ~F.lower("description").contains("when"), "WARNING").otherwise("PASS")),
-        _check(x, "skill_name", "form", F.when(calls, "REJECT").when((steps <= 2) & ~F.coalesce(F.lower("workflow").rlike("error|fail|retry"), F.lit(False)), "WARNING").otherwise("PASS")),
-    )
-
-
-def tool_admission(candidates: DataFrame, registry: DataFrame) -> DataFrame:
-    """(name, check, result) of candidate tools (columns of a tool, and description)."""
-    near = near_names(candidates, registry, "tool_name", 4).groupBy("candidate").agg(F.min("distance").alias("dist"))
-    x = candidates.join(near, candidates["tool_name"] == near["candidate"], "left")
-    wanted = F.try_element_at(F.create_map(*(v for k, s in SIDE_EFFECTS.items() for v in (F.lit(k), F.lit(s)))), F.col("risk_level"))
-    reuse = F.size(F.coalesce("called_by_skills", F.array().cast("array<string>")))
-    many = F.size(X.hits(F.col("description"), ORCHESTRATION)) > 0
-    part = F.element_at(F.split("tool_name", "-"), -1).isin(*NON_ATOMIC)
-    return union(
-        _check(x, "tool_name", "conflict", F.when(F.col("dist") <= 2, "REJECT").when(F.col("dist") <= 4, "WARNING").otherwise("PASS")),
-        _check(x, "tool_name", "service", F.when(F.coalesce("service", F.lit("")) == "", "REJECT").otherwise("PASS")),
-        _check(x, "tool_name", "risk", F.when(wanted.isNull(), "REJECT").when(F.col("side_effects") != wanted, "REJECT").otherwise("PASS")),
-        _check(x, "tool_name", "reuse", F.when(reuse == 0, "REJECT").when(reuse == 1, "WARNING").otherwise("PASS")),
-        _check(x, "tool_name", "form", F.when(part, "REQUIRES_REVIEW").when(many, "WARNING").otherwise("PASS")),
-    )
-
-
 def result_code(score: Column, marks: tuple[int, int, int]) -> Column:
     a, b, c = marks
     return F.when(score >= a, "PASS").when(score >= b, "PASS_WITH_WARNINGS").when(score >= c, "NEEDS_REVISION").otherwise("FAIL")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -28,6 +28,31 @@ def jaccard_pairs(df: DataFrame, key: str, text: str, least: float) -> DataFrame
     return out.withColumn("jaccard", F.col("shared") / F.col("total")).filter(F.col("jaccard") > least).select("a", "b", "shared", "jaccard")
 
 
+def jaccard_between(left: DataFrame, right: DataFrame, keys: tuple[str, str], words: tuple[Column, Column], least: float, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, jaccard) of a left and a right row whose word sets have a Jaccard of at least `least`.
+
+    Rows of one key on a side are all compared; `keep` names columns of the right that pairs keep. Equal
+    sets are compared once. Candidates share a word of both prefixes, as in jaccard_pairs; rarity is
+    counted over the right's sets.
+    """
+    named, sets = [], []
+    for df, key, w, x, more in ((left, keys[0], words[0], "a", ()), (right, keys[1], words[1], "b", keep)):
+        rows = df.select(F.col(key).alias(x), F.array_sort(F.array_distinct(w)).alias("words"), *more).filter(F.size("words") > 0)
+        rows = rows.withColumn(f"set_{x}", F.md5(F.to_json("words"))).distinct()
+        named.append(rows.drop("words"))
+        sets.append(rows.select(f"set_{x}", F.col("words").alias(f"words_{x}")).dropDuplicates([f"set_{x}"]))
+    rarity = sets[1].select(F.explode("words_b").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    prefixes = []
+    for side, x in zip(sets, "ab", strict=True):
+        tokens = side.select(f"set_{x}", F.size(f"words_{x}").alias(f"n_{x}"), F.explode(f"words_{x}").alias("w")).join(rarity, "w", "left")
+        rank = F.row_number().over(W.partitionBy(f"set_{x}").orderBy(F.coalesce("df", F.lit(0)), "w"))
+        prefixes.append(tokens.withColumn("r", rank).filter(F.col("r") <= F.col(f"n_{x}") - F.ceil(F.col(f"n_{x}") * least - 1e-9) + 1).select("w", f"set_{x}", f"n_{x}"))
+    near = prefixes[0].join(prefixes[1], "w").filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9).select("set_a", "set_b").distinct()
+    scored = near.join(sets[0], "set_a").join(sets[1], "set_b").withColumn("jaccard", F.size(F.array_intersect("words_a", "words_b")) / F.size(F.array_union("words_a", "words_b")))
+    alike = scored.filter(F.col("jaccard") >= least).select("set_a", "set_b", "jaccard")
+    return alike.join(named[0], "set_a").join(named[1], "set_b").select("a", "b", *keep, "jaccard")
+
+
 def near_names(candidates: DataFrame, registry: DataFrame, key: str, most: int) -> DataFrame:
     """(candidate, existing, distance) within an edit distance.
 

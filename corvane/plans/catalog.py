@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import governance, knowledge, validation  # noqa: F401  validation adds to governance
+from . import admission, governance, knowledge, validation  # noqa: F401  admission and validation add to governance
 
 
 def queries() -> dict:

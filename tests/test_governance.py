@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.operators import admission as A
 from corvane.operators import changes as H
 from corvane.operators import graph as G
 from corvane.operators import rules as R
@@ -71,21 +72,47 @@ def test_review_ages(spark):
     assert [r.asset_name for r in R.skill_reviews(s, F.lit("2025-03-01").cast("date")).collect()] == ["b"]  # 181 days, not 180
 
 
-def test_admission(spark):
-    reg = readers.registry_table(spark, [{"skill_name": "device-doctor", "purpose": "Finds the cause of device faults from logs"}], readers.SKILL)
+def test_skill_gate(spark):
+    reg = readers.registry_table(spark, [{"skill_name": "device-doctor", "purpose": "Finds the cause of device faults from logs"}, {"skill_name": "power-switch"}], readers.SKILL)
+    good = "# Workflow\n[ ] Step 1 read\n[ ] Step 2 look\n[ ] Step 3 report\non error stop"
     cand = spark.createDataFrame(
         [
-            ("device-docto", "Finds the cause of device faults from logs", "1. read logs\n2. on error retry\n3. report", "diagnosis-agent", "L1"),
-            ("power-switch", "Use when a charger must restart because a remote operator asks for it", "1. restart the charger", "ops-agent", "L2"),
+            ("device-docto", "Finds the cause of device faults from logs", good, "diagnosis-agent", None),
+            ("power-switch", "Use when a charger has to restart, as a remote operator asks for it", "# Workflow\n## A\nrestart it\n# End\nelse", "ops-agent", "l2"),
+            ("reader", "Use when meters of the night have to be read, one by one", good, "platform", "L1"),
+            ("reader", "Use when any and all meters have to be read as well as told", good + "\ninvoke the-skill\n", "nowhere", "L4"),
+            (None, None, None, None, None),
         ],
-        "skill_name string, description string, workflow string, bundle_scope string, risk_level string",
+        "name string, description string, body string, bundle_scope string, risk_level string",
     )
-    got = {(r.name, r.check): r.result for r in R.skill_admission(cand, reg).collect()}
-    assert got[("device-docto", "conflict")] == "REQUIRES_REVIEW" and got[("power-switch", "risk")] == "REJECT"
-    tool = spark.createDataFrame([("pay-manager", "L3", "read", "pay", ["a"], "manages a pipeline")], "tool_name string, risk_level string, side_effects string, service string, called_by_skills array<string>, description string")
-    treg = spark.createDataFrame([("pay-manage",)], "tool_name string")
-    t = {r.check: r.result for r in R.tool_admission(tool, treg).collect()}
-    assert t == {"conflict": "REJECT", "service": "PASS", "risk": "REJECT", "reuse": "WARNING", "form": "REQUIRES_REVIEW"}
+    got = [(r.name, r.decision, r.reasons, r.neighbours) for r in A.skill_gate(cand, reg).collect()]
+    assert sorted(got) == [
+        ("", "REJECT", ["scope_missing", "short_description", "no_trigger", "few_steps"], []),
+        ("device-docto", "REQUIRES_REVIEW", ["near_name", "description_overlap", "no_trigger"], ["device-doctor"]),
+        ("power-switch", "REJECT", ["control_below_l4"], []),
+        ("reader", "PASS", [], []),
+        ("reader", "REJECT", ["scope_unknown", "l4_without_control", "too_broad", "calls_skills"], []),
+    ]
+    rows = {(r.name, r.check): r.result for r in A.check_rows(A.skill_gate(cand.limit(1), reg), "name").collect()}
+    assert rows[("device-docto", "global_conflict")] == "REQUIRES_REVIEW" and len(rows) == 5
+    assert A.skill_gate(cand.limit(0), reg).count() == 0 and A.skill_gate(cand, reg.limit(0)).count() == 5
+
+
+def test_tool_gate(spark):
+    tool = "tool_name string, description string, category string, service string, risk_level string, side_effects string, idempotent boolean, requires_approval boolean, called_by_skills array<string>, input_fields array<string>"
+    cand = spark.createDataFrame(
+        [
+            ("pay-manager", "manages a pipeline", "execution", "pay", "L3", "read", None, None, ["a", " "], ["x"]),
+            ("parse-meter", "Parses the text of one meter reading", "parsing", "ops-tools", "L0", "none", True, None, ["a", "b"], ["text", "unit", "zone"]),
+            ("read-meter-z", None, None, None, None, None, None, None, None, None),
+        ],
+        tool,
+    )
+    reg = spark.createDataFrame([("pay-manage", None, "Pay", "pay", None), ("parse-meter", "Parses the text of one meter reading", None, "bpmn-tools", None), ("cut-meter", "Cuts", None, "ops-tools", ["text", "unit", "zone"])], "tool_name string, description string, display_name string, service string, input_fields array<string>")
+    got = {r.tool_name: (r.decision, r.reasons, r.neighbours) for r in A.tool_gate(cand, reg).collect()}
+    assert got["pay-manager"] == ("REJECT", ["same_name", "service_unknown", "effects_mismatch", "l3_without_approval", "idempotence_undeclared", "one_caller", "role_name", "orchestration"], ["pay-manage"])
+    assert got["parse-meter"] == ("REQUIRES_REVIEW", ["field_overlap", "like_elsewhere"], [])
+    assert got["read-meter-z"] == ("REJECT", ["service_missing", "risk_unknown", "no_callers", "category_unknown"], [])
 
 
 def test_near_names_equal_brute_force(spark):
