@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import admission, governance, knowledge, validation  # noqa: F401  admission and validation add to governance
+from . import admission, governance, knowledge, records, validation  # noqa: F401  the others add to governance and knowledge
 
 
 def queries() -> dict:
