@@ -70,6 +70,38 @@ def front_matter(text):
     return {"fields": fields, "body": body}
 
 
+def tool_fields(text: str | None) -> dict:
+    """Keys of a tool document: YAML, in --- fences or not. Where there is no YAML library, or the text is none that
+    it reads, top keys with a text or a block list only."""
+    body = text or ""
+    if body.startswith("---"):
+        body = body.split("---", 2)[1]
+    try:
+        import yaml
+
+        found = yaml.safe_load(body)
+        return found if isinstance(found, dict) else {}
+    except ImportError:
+        pass
+    except yaml.YAMLError:
+        pass
+    out: dict = {}
+    key = None
+    for m in re.finditer(r"(?m)^(?:([\w-]+):[ \t]*(.*)|[ \t]+-[ \t]+(.*))$", body):
+        if m[1]:
+            key, value = m[1], m[2].strip().strip("\"'")
+            out[key] = value or []
+        elif key is not None and isinstance(out[key], list):
+            out[key].append(m[3].strip().strip("\"'"))
+    return out
+
+
+@F.udf(T.StringType(), useArrow=True)
+def tool_document(text):
+    """The keys of a tool document as a JSON object."""
+    return json.dumps(tool_fields(text), ensure_ascii=False, default=str)
+
+
 def decoded(content: bytes) -> tuple[str, str]:
     """Text and the encoding that read it."""
     for encoding in ("utf-8-sig", "utf-8", "gb18030"):

@@ -115,6 +115,15 @@ def skill_gate(candidates: DataFrame, registry: DataFrame, *, keep: tuple[str, .
     })
 
 
+def tool_candidates(documents: DataFrame) -> DataFrame:
+    """What tool_gate judges, from tool documents with nested keys; a usage block, even without callers, outranks the top key."""
+    callers = F.when(F.col("usage").isNotNull(), F.col("usage.called_by_skills")).otherwise(F.col("called_by_skills"))
+    return documents.select(
+        "tool_name", "description", "category", F.coalesce(F.nullif("service", F.lit("")), "ownership.service").alias("service"), F.col("risk.level").alias("risk_level"), "risk.side_effects", "risk.idempotent",
+        "risk.requires_approval", callers.alias("called_by_skills"), F.map_keys("input_schema.properties").alias("input_fields"),
+    )
+
+
 def tool_gate(candidates: DataFrame, registry: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
     """Decisions on tools against a registry of tool_name, display_name, description, service, input_fields.
 

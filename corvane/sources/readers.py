@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import udf as U
 from ..operators.manifest import latest
@@ -22,11 +23,19 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bo
 
 
 def read_lines(spark: SparkSession, path: str, pattern: str = "*.{log,txt}") -> DataFrame:
-    """source_path, line_no, line in file order; bad bytes are replaced."""
-    df = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path, wholetext=True)
-    lines = F.split(F.regexp_replace("value", r"\r\n?", "\n"), "\n")
-    x = df.select(F.col("_metadata.file_path").alias("source_path"), F.posexplode(lines).alias("line_no", "line"))
-    return x
+    """source_path, line_no, line in file order, from 0; bad bytes are replaced, a last line end begins no line.
+
+    Files are read in splits, so one of any size fills many tasks: lines are numbered within each
+    split, and the splits before it (a row each) say where a file's split begins.
+    """
+    lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path)
+    at = ["source_path", "_block"]
+    x = lines.select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_nth"), F.make_valid_utf8("value").alias("line"))
+    blocks = x.groupBy(*at).agg(F.count("*").alias("_n"), F.min("_nth").alias("_first"))
+    before = F.sum("_n").over(W.partitionBy("source_path").orderBy("_block")) - F.col("_n")
+    starts = blocks.withColumn("_from", before).select(*at, "_first", "_from")
+    # Rows of one split follow one another in one task, so their ids do too.
+    return x.join(starts, at).select("source_path", (F.col("_from") + F.col("_nth") - F.col("_first")).cast("int").alias("line_no"), "line")
 
 
 def read_csv_files(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
@@ -73,6 +82,21 @@ def read_front_matter(spark: SparkSession, path: str, pattern: str = "SKILL.md")
     return x.withColumn("fm", U.front_matter("value")).select("path", "fm.fields", "fm.body")
 
 
+_SCHEMA = "struct<type:string,required:array<string>,properties:map<string,struct<type:string,description:string>>>"
+TOOL_DOCUMENT = (
+    "tool_name string, display_name string, description string, category string, risk struct<level:string,side_effects:string,idempotent:boolean,requires_approval:boolean>, "
+    f"ownership struct<team:string,service:string>, service string, called_by_skills array<string>, input_schema {_SCHEMA}, output_schema {_SCHEMA}, errors array<struct<code:string,message:string,retryable:boolean>>, "
+    "usage struct<when_to_use:array<string>,called_by_skills:array<string>>, implementation struct<type:string,endpoint:string>"
+)
+
+
+def read_tool_documents(spark: SparkSession, path: str, pattern: str = "TOOL.md") -> DataFrame:
+    """path and the keys of tool documents, nested ones as structs; an absent key, or one of another shape, is null. An empty file has no row."""
+    df = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path, wholetext=True)
+    x = df.select(F.col("_metadata.file_path").alias("path"), F.from_json(U.tool_document("value"), TOOL_DOCUMENT).alias("t"))
+    return x.select("path", "t.*")
+
+
 def parse_registry(text: str, key: str) -> list[dict]:
     """Entries under a top-level key of a registry in YAML (scalars and flow or block lists of them)."""
     out: list[dict] = []

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from corvane.operators import seams
+from corvane.operators import admission, seams
 from corvane.sources import readers, sinks
 from corvane.streaming import streams
 
@@ -15,6 +15,71 @@ def test_files_and_lines(spark, tmp_path):
     assert [r.line for r in readers.read_lines(spark, str(tmp_path)).orderBy("line_no").collect()] == ["one", "two"]
 
 
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    want = {}
+    for name, n, end in (("a.log", 3000, "\n"), ("b.log", 2000, "\r\n"), ("c.txt", 1, ""), ("d.log", 0, "")):
+        lines = [f"{name} {k} " + "é" * (k % 90) for k in range(n)]
+        (tmp_path / name).write_bytes(end.join(lines).encode() + (end.encode() if n > 1 else b""))
+        want |= {(name, k): line for k, line in enumerate(lines)}
+    (tmp_path / "bad.log").write_bytes(b"x\n\xff\xfey\n")
+    want |= {("bad.log", 0): "x", ("bad.log", 1): "\ufffd\ufffdy"}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        df = readers.read_lines(spark, str(tmp_path))
+        rows = df.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == len(want) and {(r.source_path.rsplit("/", 1)[1], r.line_no): r.line for r in rows} == want
+
+
+TOOL = """---
+tool_name: parse-meter
+display_name: Parse Meter
+description: >
+  Parses the text
+  of a reading
+category: parsing
+risk:
+  level: L0
+  side_effects: none
+  idempotent: true
+ownership:
+  team: t
+  service: ops-tools
+input_schema:
+  type: object
+  required: [text]
+  properties:
+    text: {type: string, description: what to read}
+errors:
+  - code: INVALID_INPUT
+    message: no text
+    retryable: false
+usage:
+  when_to_use:
+    - often
+  called_by_skills: [a, b]
+implementation: {type: mcp, endpoint: e}
+---
+"""
+
+
+def test_tool_documents(spark, tmp_path):
+    for name, text in (("one", TOOL), ("two", "tool_name: x\nrisk: none\n"), ("three", "a: [1"), ("four", "")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "TOOL.md").write_text(text)
+    docs = readers.read_tool_documents(spark, str(tmp_path))
+    got = {r.path.split("/")[-2]: r for r in docs.collect()}
+    one = got["one"]
+    assert (one.description, one.risk.level, one.risk.idempotent, one.risk.requires_approval) == ("Parses the text of a reading\n", "L0", True, None)
+    assert one.input_schema.properties["text"].type == "string" and one.errors[0].retryable is False and one.usage.called_by_skills == ["a", "b"]
+    assert got["two"].tool_name == "x" and got["two"].risk is None and got["three"].tool_name is None and "four" not in got
+    registry = spark.createDataFrame([("other", None, None, "ops-tools", None)], "tool_name string, description string, display_name string, service string, input_fields array<string>")
+    gate = {r.tool_name: r for r in admission.tool_gate(admission.tool_candidates(docs), registry).collect()}
+    assert gate["parse-meter"].decision == "PASS" and gate["x"].reasons == ["service_missing", "risk_unknown", "no_callers", "category_unknown"]
+
+
 def test_csv_front_matter_json(spark, tmp_path):
     (tmp_path / "t.csv").write_bytes("﻿h1,h2\n1,\"a\nb\"\n".encode())
     (tmp_path / "SKILL.md").write_text("---\nname: x\n---\nbody")
