@@ -22,6 +22,8 @@ SKILL_CALLS = (r"use\s+the\s+\S+-skill", r"call\s+the\s+\S+-skill", r"invoke\s+\
 BROAD = ("all", "any", "everything", "whenever", "always", "any request")
 CONJUNCTIONS = ("and also", "as well as", "additionally", "furthermore", "moreover")
 APPROVAL = "verify-gate-mcp:request_approval"
+SECTION = r"(?s)# {}(.*?)(?=\n#|\z)"
+WORKFLOW = r"(?s)# Workflow(.*?)(?=\n#[^#]|\z)"
 STEP = r"\[\s*\]\s*Step\s*\d+"
 ERROR_PATH = r"(?i)error|fail|not found|exception|if .* → |else"
 ORCHESTRATION = ("orchestrat", "coordinat", "manag", "sequenc", "pipeline", "first.*then.*finally", "step 1", "step 2", "multi-step", "workflow", "call.*tool", "invoke.*skill")
@@ -62,7 +64,7 @@ def _decided(df: DataFrame, names: tuple[str, ...], checks: dict[str, list[Findi
 
 def _section(body: Column, title: str) -> Column:
     """Text of a section up to the next heading of any depth."""
-    return F.lower(F.regexp_extract(body, rf"(?s)# {title}(.*?)(?=\n#|\z)", 1))
+    return F.lower(F.regexp_extract(body, SECTION.format(title), 1))
 
 
 def _who(*columns: str) -> Column:
@@ -93,7 +95,7 @@ def skill_gate(candidates: DataFrame, registry: DataFrame, *, keep: tuple[str, .
     met = near.unionByName(texts).groupBy("who").agg(F.max("near").alias("near"), F.max("alike").alias("alike"), F.collect_set("b").alias("neighbours"))
     x = x.join(met, "who", "left")
 
-    low, flow = F.lower("description"), F.lower(F.regexp_extract("body", r"(?s)# Workflow(.*?)(?=\n#[^#]|\z)", 1))
+    low, flow = F.lower("description"), F.lower(F.regexp_extract("body", WORKFLOW, 1))
     operative = F.concat_ws(" ", low, *(_section(F.col("body"), s) for s in ("Workflow", "Purpose", "Trigger")))
     foreign = reduce(lambda a, b: a + b, ((F.size(X.hits(operative, w)) >= FOREIGN_WORDS).cast("int") * (F.col("scope") != scope).cast("int") for scope, w in DOMAINS.items()))
     known = F.col("scope").isin(*SCOPES)

@@ -179,8 +179,11 @@ def portfolio_links(edges: DataFrame, fresh: Column, membership: str = "member_o
     """Pairs that share a neighbour: 0.5 non-obviousness + 0.3 agreement + 0.2 freshness. Non-obviousness is 1 - shared
     themes' share, agreement the share of equal relations; both are our reading of the scores' names."""
     e = edges.filter(F.col("rel") != membership).select("src", "dst", "rel", fresh.alias("fresh"))
-    a, b = e.select(F.col("src").alias("a"), "dst", F.col("rel").alias("ra"), F.col("fresh").alias("fa")), e.select(F.col("src").alias("b"), "dst", F.col("rel").alias("rb"), F.col("fresh").alias("fb"))
-    g = a.join(b, "dst").filter("a < b").groupBy("a", "b").agg(F.count_distinct("dst").alias("shared"), F.avg((F.col("ra") == F.col("rb")).cast("double")).alias("agreement"), F.avg((F.col("fa") + F.col("fb")) / 2).alias("freshness"))
+    # One edge of each source and neighbour counts them as shared: no distinct count, so pairs add up before the shuffle.
+    e = e.withColumn("one", (F.row_number().over(W.partitionBy("dst", "src").orderBy("rel")) == 1).cast("int"))
+    a, b = (e.select(F.col("src").alias(x), "dst", *(F.col(c).alias(f"{c}_{x}") for c in ("rel", "fresh", "one"))) for x in "ab")
+    equal = F.avg((F.col("rel_a") == F.col("rel_b")).cast("double"))
+    g = a.join(b, "dst").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("one_a") * F.col("one_b")).alias("shared"), equal.alias("agreement"), F.avg((F.col("fresh_a") + F.col("fresh_b")) / 2).alias("freshness"))
     g = g.withColumn("non_obviousness", 1 / F.col("shared"))
     return g.withColumn("score", F.bround(0.5 * F.col("non_obviousness") + 0.3 * F.col("agreement") + 0.2 * F.col("freshness"), 4))
 

@@ -32,6 +32,7 @@ DOMAINS = {
     "energy-agent": ("energy", "consumption", "optimization", "power", "grid", "load"),
     "bpmn-agent": ("bpmn", "process", "workflow", "diagram", "entity", "intent", "xml"),
 }
+INLINE_CALL = r"\b[\w][\w-]+:([\w][\w_]+)\("
 NON_ATOMIC = ("manager", "handler", "coordinator", "orchestrator", "controller", "processor", "dispatcher", "supervisor")
 TRIGGER_RISK = {"资金": "L3", "转账": "L4", "放款": "L4", "扣款": "L4", "开卡": "L4", "销户": "L4", "征信报送": "L5", "反洗钱": "L2", "跨境": "L5", "监管报送": "L5"}
 CLASS_RISK = {
@@ -173,7 +174,7 @@ def tool_consumers(skills: DataFrame, tools: DataFrame) -> DataFrame:
 
 def inline_tool_calls(bodies: DataFrame, tools: DataFrame) -> DataFrame:
     """X1 and X2: calls in skill texts to unknown or inactive tools; meta-skills are exempt from X1."""
-    calls = bodies.select("skill_name", "meta_skill", F.explode(F.regexp_extract_all("body", F.lit(r"\b[\w][\w-]+:([\w][\w_]+)\("), F.lit(1))).alias("call")).distinct()
+    calls = bodies.select("skill_name", "meta_skill", F.explode(F.regexp_extract_all("body", F.lit(INLINE_CALL), F.lit(1))).alias("call")).distinct()
     x = calls.join(tools.select(F.translate("tool_name", "-", "_").alias("call"), F.col("status").alias("tool_status")), "call", "left")
     meta = F.lower(F.coalesce("meta_skill", F.lit(""))).isin("true", "yes", "1")
     return union(
