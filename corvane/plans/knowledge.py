@@ -112,7 +112,14 @@ def win03_record_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("doc_id", "rid").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH t AS (SELECT doc_id, string_split(regexp_replace(text, '\\n([^\\n]{1,40})\\n', chr(10) || '# \\1' || chr(10), 'g'), chr(10)) AS x FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS n FROM t), c AS (SELECT *, bool_or(regexp_matches(line, '^#+\\s*\\d+\\.')) OVER (PARTITION BY doc_id) AS cases FROM l),
+h AS (SELECT *, CASE WHEN cases THEN regexp_matches(line, '^#+\\s*\\d+\\.') ELSE starts_with(line, '#') END AS head FROM c),
+s AS (SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS sid FROM h),
+g AS (SELECT doc_id, sid, cases, max(CASE WHEN head THEN line END) AS heading, trim(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT head), ''), ' ' || chr(10) || chr(9)) AS content FROM s GROUP BY doc_id, sid, cases),
+f AS (SELECT *, max(sid) OVER (PARTITION BY doc_id) = sid AS last FROM g)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sid) - 1 AS INTEGER) AS section_index, coalesce(trim(regexp_replace(heading, '^#+', '')), 'Introduction') AS title,
+  CAST(coalesce(length(regexp_extract(heading, '^(#+)', 1)), 1) AS INTEGER) AS level, CAST(length(content) AS INTEGER) AS n_chars FROM f WHERE content <> '' OR last OR cases""")
 def prj24_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with every line that ends a paragraph turned to a heading, cut to sections."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\n([^\n]{1,40})\n", "\n# $1\n").alias("text"))
