@@ -22,4 +22,11 @@ r(a, b) AS (SELECT node, node FROM u UNION SELECT r.a, l.b FROM r JOIN l ON r.b
 c AS (SELECT a AS node, min(b) AS component_id FROM r GROUP BY 1)
 SELECT doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(copies, 0) AS copies FROM d LEFT JOIN u ON d.s = u.s AND len(d.s) > 0 LEFT JOIN c ON c.node = u.node"""
 
-ORACLES = {"op1_exact_top_k": TOP_K, "op4_warc_transactions": WARC, "op7_ngram_jaccard_join": NGRAM}
+NEGATIVES = """WITH v AS (SELECT DISTINCT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE NOT alike AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 3"""
+
+ORACLES = {"op1_exact_top_k": TOP_K, "op4_warc_transactions": WARC, "op7_ngram_jaccard_join": NGRAM, "op13_hard_negatives": NEGATIVES}

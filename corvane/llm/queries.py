@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, langid, ngram_join, oracles, packing, pii, quality, topk, toxicity, warc
+from . import bpe, html, langid, negatives, ngram_join, oracles, packing, pii, quality, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_in_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), key=pii.session_key(spark), report=True)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine_table(table(spark, sf_dir, "embeddings"))
+
+
 _ALL = (
     op1_exact_top_k,
     op2_html_extraction,
@@ -73,6 +77,7 @@ _ALL = (
     op8_best_fit_packing,
     op9_language_id,
     op10_pii_surrogates,
+    op13_hard_negatives,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
