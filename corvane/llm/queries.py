@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, html, langid, negatives, ngram_join, oracles, packing, pii, quality, topk, toxicity, warc
+from . import bpe, divergence, html, langid, linededup, negatives, ngram_join, oracles, packing, pii, quality, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +63,15 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_in_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), key=pii.session_key(spark), report=True)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_table(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine_table(table(spark, sf_dir, "embeddings"))
 
@@ -77,6 +87,8 @@ _ALL = (
     op8_best_fit_packing,
     op9_language_id,
     op10_pii_surrogates,
+    op11_line_dedup,
+    op12_source_divergence,
     op13_hard_negatives,
 )
 QUERIES = {f.__name__: f for f in _ALL}
