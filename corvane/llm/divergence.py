@@ -32,6 +32,8 @@ from pyspark.sql.window import Window as W
 from . import kernels as K
 from .common import arrow_task, map_arrow, written
 
+#: Bytes of a vocabulary that is sent to all tasks.
+BROADCAST_BYTES = 32 << 20
 #: Terms of an automaton, terms of a shard and sources of a block in the comparison of pairs; counts and bytes that a task holds.
 BLOCK, TERMS, SOURCES, HELD_COUNTS, HELD_BYTES = 50_000, 4096, 128, 300_000, 4 << 20
 
@@ -55,13 +57,16 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
         held: dict[str, Counter] = defaultdict(Counter)
 
         def out():
-            for lang, found in held.items():
+            for lang, terms in held.items():
+                found = Counter()
+                for term, n in terms.items():
+                    found[term.decode("utf-8", "replace")] += n
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "term", "n_docs"])
 
         for batch in batches:
             for part in K.slices(batch):
                 for lang, text in zip(part.column(0).to_pylist(), _plain(part.column(1)), strict=True):
-                    held[lang].update({t.decode("utf-8", "replace") for t in set(text.split())})
+                    held[lang].update(set(text.split()))
                 if sum(map(len, held.values())) >= HELD_COUNTS:
                     yield from out()
                     held.clear()
@@ -124,7 +129,10 @@ def recount(docs: DataFrame, vocabulary: DataFrame, blocks: int) -> DataFrame:
     """lang, source, term, n: occurrences of the kept terms (lang, term)."""
     block = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(blocks)).cast("int")
     terms = vocabulary.groupBy("lang", block.alias("block")).agg(F.array_join(F.array_sort(F.collect_list("term")), " ").alias("terms"))  # about BLOCK of them
-    terms = written(terms, "vocabulary-blocks")  # its size is known to the planner then
+    terms = written(terms, "vocabulary-blocks")
+    size = terms.agg(F.sum(F.octet_length("terms")).alias("n")).first()["n"] or 0  # one number
+    if size <= BROADCAST_BYTES:  # texts stay where they are; a larger vocabulary is shuffled with them
+        terms = F.broadcast(terms)
     met = _streams(docs, blocks).join(terms, ["lang", "block"]).select("lang", "sources", "lengths", "stream", "terms")
 
     def run(batches):

@@ -67,6 +67,8 @@ def test_blocks_of_terms_and_sources_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(divergence, "TERMS", 6)
     monkeypatch.setattr(divergence, "SOURCES", 2)
     assert audited(spark, rows) == want
+    monkeypatch.setattr(divergence, "BROADCAST_BYTES", -1)
+    assert audited(spark, rows) == want
 
 
 def test_shares_are_exact_beyond_64_bits(spark):
