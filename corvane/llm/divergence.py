@@ -34,12 +34,16 @@ from .common import arrow_task, map_arrow, written
 
 #: Bytes of a vocabulary that is sent to all tasks.
 BROADCAST_BYTES = 32 << 20
-#: Terms of an automaton, terms of a shard and sources of a block in the comparison of pairs; counts and bytes that a task holds.
-BLOCK, TERMS, SOURCES, HELD_COUNTS, HELD_BYTES = 50_000, 4096, 128, 300_000, 4 << 20
+#: Terms of an automaton, terms of a shard and sources of a block in the comparison of pairs.
+BLOCK, TERMS, SOURCES = 50_000, 4096, 128
+#: Terms, cells (of a source and a term) and bytes of text that a task holds.
+HELD_COUNTS, HELD_CELLS, HELD_BYTES = 1_000_000, 4_000_000, 4 << 20
 
 #: Delimiters become spaces, A-Z lower case, other bytes stay.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
+PLAIN_BYTES = np.frombuffer(PLAIN, np.uint8)
+
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), F.coalesce("text", F.lit("")).alias("text"))
@@ -50,26 +54,97 @@ def _plain(texts: pa.Array) -> list[bytes]:
     return [t.translate(PLAIN) for t in texts.cast(pa.binary()).to_pylist()]
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of x in order, and how often each occurs."""
+    x = np.sort(x)
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return x[at], np.diff(np.concatenate([at, [len(x)]]))
+
+
+class DocumentCounts:
+    """In how many documents of each language terms occur. Terms are found by 64-bit hashes and compared by their bytes;
+    what differs from the term of its hash is counted apart, so counts are exact."""
+
+    def __init__(self) -> None:
+        self.index = K.HashIndex()
+        self.text, self.used = np.zeros(1 << 16, np.uint8), 0
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.n: dict[str, np.ndarray] = {}
+        self.apart: dict[str, Counter] = defaultdict(Counter)
+
+    def _numbers(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The words' numbers, -1 for a word that isn't the term of its hash."""
+        h = K.span_hash(data, starts, starts + lengths)
+        ids = self.index.find(h)
+        new = np.flatnonzero(ids < 0)
+        if len(new):
+            new = new[np.argsort(h[new], kind="stable")]
+            first = np.concatenate([[True], h[new][1:] != h[new][:-1]])
+            at = new[first]
+            ids[new] = self.index.add(h[at])[np.cumsum(first) - 1]
+            more = data[K.ranges(starts[at], lengths[at])]
+            while self.used + len(more) > len(self.text):
+                self.text = np.concatenate([self.text, np.zeros(len(self.text), np.uint8)])
+            self.text[self.used : self.used + len(more)] = more
+            self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths[at]) - lengths[at]])
+            self.lengths = np.concatenate([self.lengths, lengths[at]])
+            self.used += len(more)
+        same = self.lengths[ids] == lengths
+        long = np.flatnonzero(same & (lengths > 8))  # shorter ones of one length and hash are equal
+        same[long] = K.same_bytes(data, starts[long], self.text, self.starts[ids[long]], lengths[long])
+        return np.where(same, ids, -1)
+
+    def add(self, langs: list[str], data: np.ndarray, off: np.ndarray) -> None:
+        """Texts as bytes whose delimiters are spaces."""
+        starts, ends, counts = K.words(data, off)
+        if not len(starts):
+            return
+        ids = self._numbers(data, starts, ends - starts)
+        doc = np.repeat(np.arange(len(langs)), counts)
+        rows = {lang: i for i, lang in enumerate(dict.fromkeys(langs))}
+        row = np.array([rows[x] for x in langs], np.int64)
+        known = ids >= 0
+        once, _ = _runs((doc[known] << 32) | ids[known])  # a term counts once in a document
+        flat, n = _runs((row[once >> 32] << 32) | (once & 0xFFFFFFFF))
+        for lang, i in rows.items():
+            lo, hi = np.searchsorted(flat, [i << 32, (i + 1) << 32])
+            if lo < hi:
+                held = self.n.get(lang, np.zeros(0, np.int64))
+                if len(held) < self.index.count:
+                    held = np.concatenate([held, np.zeros(2 * self.index.count - len(held), np.int64)])
+                held[flat[lo:hi] & 0xFFFFFFFF] += n[lo:hi]
+                self.n[lang] = held
+        for d, word in {(d, data[a:z].tobytes()) for d, a, z in zip(doc[~known], starts[~known], ends[~known], strict=True)}:
+            self.apart[langs[d]][word] += 1
+
+    def batches(self):
+        for lang, n in self.n.items():
+            ids = np.flatnonzero(n)
+            at = np.concatenate([[0], np.cumsum(self.lengths[ids])])
+            text = self.text[K.ranges(self.starts[ids], self.lengths[ids])]
+            yield lang, pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(text)]), n[ids]
+        for lang, found in self.apart.items():
+            yield lang, pa.array(list(found), pa.binary()), np.array(list(found.values()), np.int64)
+
+
 def document_frequencies(docs: DataFrame) -> DataFrame:
     """lang, term, n_docs: the exact number of the language's documents that hold the term."""
 
     def run(batches):
-        held: dict[str, Counter] = defaultdict(Counter)
+        held = DocumentCounts()
 
         def out():
-            for lang, terms in held.items():
-                found = Counter()
-                for term, n in terms.items():
-                    found[term.decode("utf-8", "replace")] += n
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "term", "n_docs"])
+            for lang, terms, n in held.batches():
+                names = [t.decode("utf-8", "replace") for t in terms.to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(n, pa.int64())], ["lang", "term", "n_docs"])
 
         for batch in batches:
             for part in K.slices(batch):
-                for lang, text in zip(part.column(0).to_pylist(), _plain(part.column(1)), strict=True):
-                    held[lang].update(set(text.split()))
-                if sum(map(len, held.values())) >= HELD_COUNTS:
+                data, off, _ = K.utf8(part.column(1))
+                held.add(part.column(0).to_pylist(), PLAIN_BYTES[data], off)
+                if held.index.count >= HELD_COUNTS:
                     yield from out()
-                    held.clear()
+                    held = DocumentCounts()
         yield from out()
 
     found = _texts(docs).select("lang", "text").mapInArrow(arrow_task(run), "lang string, term string, n_docs bigint")
@@ -120,9 +195,9 @@ def automaton(terms: list[str]) -> ahocorasick.Automaton:
     return found
 
 
-def occurrences(found: ahocorasick.Automaton, text: bytes) -> Counter:
-    """How often each term (by number) stands in text, whose delimiters are spaces."""
-    return Counter(map(itemgetter(1), found.iter(f" {text.decode('utf-8', 'replace')} "))) if len(found) else Counter()
+def occurrences(found: ahocorasick.Automaton, text: bytes, terms: int) -> np.ndarray:
+    """How often each of the terms (by number) stands in text, whose delimiters are spaces."""
+    return np.bincount(np.fromiter(map(itemgetter(1), found.iter(f" {text.decode('utf-8', 'replace')} ")), np.int64), minlength=terms)
 
 
 def recount(docs: DataFrame, vocabulary: DataFrame, blocks: int) -> DataFrame:
@@ -133,28 +208,38 @@ def recount(docs: DataFrame, vocabulary: DataFrame, blocks: int) -> DataFrame:
     size = terms.agg(F.sum(F.octet_length("terms")).alias("n")).first()["n"] or 0  # one number
     if size <= BROADCAST_BYTES:  # texts stay where they are; a larger vocabulary is shuffled with them
         terms = F.broadcast(terms)
-    met = _streams(docs, blocks).join(terms, ["lang", "block"]).select("lang", "sources", "lengths", "stream", "terms")
+    met = _streams(docs, blocks).join(terms, ["lang", "block"]).select("lang", "block", "sources", "lengths", "stream", "terms")
 
     def run(batches):
-        last, names, found, held = None, [], None, {}
+        made: dict[tuple, tuple] = {}  # names and automaton of a block
+        held: dict[tuple, dict[str, np.ndarray]] = defaultdict(dict)  # counts by block and source
+        size = 0
 
         def out():
-            for (lang, source), n in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["lang", "source", "term", "n"])
+            for block, sources in held.items():
+                names = np.array(made[block][0], object)
+                for source, n in sources.items():
+                    at = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array([block[0]] * len(at), pa.string()), pa.array([source] * len(at), pa.string()), pa.array(names[at], pa.string()), pa.array(n[at], pa.int64())], ["lang", "source", "term", "n"])
 
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, sources, lengths, stream, words = (batch.column(j)[i].as_py() for j in range(5))
-                if words != last:
-                    last, names = words, words.split(" ")
-                    found = automaton(names)
-                at = 0
-                for source, size in zip(sources, lengths, strict=True):
-                    held.setdefault((lang, source), Counter()).update({names[t]: n for t, n in occurrences(found, stream[at : at + size]).items()})
-                    at += size
-                if sum(map(len, held.values())) >= HELD_COUNTS:
+                lang, block, sources, lengths, stream, words = (batch.column(j)[i].as_py() for j in range(6))
+                if (lang, block) not in made:
+                    names = words.split(" ")
+                    made[lang, block] = names, automaton(names)
+                names, found = made[lang, block]
+                at, own = 0, held[lang, block]
+                for source, length in zip(sources, lengths, strict=True):
+                    n = occurrences(found, stream[at : at + length], len(names))
+                    size += 0 if source in own else len(names)
+                    own[source] = own[source] + n if source in own else n
+                    at += length
+                if size >= HELD_CELLS or sum(len(x) for x, _ in made.values()) > 4 * BLOCK:
                     yield from out()
+                    made.clear()
                     held.clear()
+                    size = 0
         yield from out()
 
     counted = met.mapInArrow(arrow_task(run), "lang string, source string, term string, n bigint")

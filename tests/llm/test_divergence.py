@@ -79,7 +79,23 @@ def test_shares_are_exact_beyond_64_bits(spark):
 def test_automaton_counts_whole_terms():
     found = divergence.automaton(["a", "ab", "b", "é"])
     assert isinstance(found, ahocorasick.Automaton)
-    assert divergence.occurrences(found, "a  a ab b é éa".encode()) == {0: 2, 1: 1, 2: 1, 3: 1}
+    assert divergence.occurrences(found, "a  a ab b é éa".encode(), 5).tolist() == [2, 1, 1, 1, 0]
+
+
+def test_document_counts_compare_bytes(monkeypatch):
+    """With a hash that tells lengths only, terms of one length are still kept apart."""
+    monkeypatch.setattr(divergence.K, "span_hash", lambda data, starts, ends: (ends - starts).astype(np.uint64) + np.uint64(1))
+    one, two, three = "abcdefghi", "abcdefghj", "jihgfedcba"
+    texts, langs = [f"{one} {two} {one} {three}", f"{two} {two}", f"{three} {one}", ""], ["en", "en", "de", "de"]
+    found = divergence.DocumentCounts()
+    for _ in range(2):
+        data, off, _valid = divergence.K.utf8(divergence.pa.array(texts))
+        found.add(langs, data, off)
+    got = Counter()
+    for lang, terms, n in found.batches():
+        for t, k in zip(terms.to_pylist(), n, strict=True):
+            got[lang, t.decode()] += int(k)
+    assert got == {("en", one): 2, ("en", two): 4, ("en", three): 2, ("de", one): 2, ("de", three): 2}
 
 
 def test_equals_sql(spark, sf, duck):
