@@ -74,13 +74,18 @@ def read_edges(texts: DataFrame) -> DataFrame:
 def match_references(refs: DataFrame, known: DataFrame) -> DataFrame:
     """ref -> doc_name by rank: equal, one contains the other, the same without white space; then longest, then first name.
 
-    known is the list of documents of one collection; candidates come from shared trigrams, so the join is an equi join.
+    known is the list of documents of one collection. Of two texts one of which contains the other, the longer has the first
+    three characters of the shorter somewhere (or all of it, if there are fewer), so candidates come from equi joins on pieces of
+    one to three characters.
     """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(c, i, F.lit(3))))
     bare = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
-    r = refs.select("ref").distinct().withColumn("_r", bare(F.col("ref"))).filter("_r <> ''").withColumn("_g", F.explode(grams(F.col("_r"))))
-    k = known.select("doc_name").distinct().withColumn("_k", bare(F.col("doc_name"))).filter("_k <> ''").withColumn("_g", F.explode(grams(F.col("_k"))))
-    pairs = r.join(k, "_g").select("ref", "doc_name", "_r", "_k").distinct()
+    head = lambda c: F.substr(c, F.lit(1), F.lit(3))
+    pieces = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.array(*(F.substr(c, i, F.lit(n)) for n in (1, 2, 3))))))
+    r = refs.select("ref").distinct().withColumn("_r", bare(F.col("ref"))).filter("_r <> ''")
+    k = known.select("doc_name").distinct().withColumn("_k", bare(F.col("doc_name"))).filter("_k <> ''")
+    inside = r.withColumn("_g", F.explode(pieces(F.col("_r")))).join(k.withColumn("_g", head(F.col("_k"))), "_g")
+    around = r.withColumn("_g", head(F.col("_r"))).join(k.withColumn("_g", F.explode(pieces(F.col("_k")))), "_g")
+    pairs = inside.unionByName(around).select("ref", "doc_name", "_r", "_k").distinct()
     a, b = F.lower("ref"), F.lower("doc_name")
     level = F.when(a == b, 1).when(F.contains(a, b) | F.contains(b, a), 2).when(F.contains(F.col("_r"), F.col("_k")) | F.contains(F.col("_k"), F.col("_r")), 3)
     w = W.partitionBy("ref").orderBy("level", F.length("doc_name").desc(), "doc_name")

@@ -46,18 +46,21 @@ def call_model(df: DataFrame, text: str, out: str, model: Callable[[list[str]],
     return df.mapInPandas(run, f"{ddl}, `{out}` {kind}, failed boolean")
 
 
-def embed(df: DataFrame, text: str, model: Callable[[list[str]], list] | None = None, dimension: int = 1024, most_chars: int = 8192) -> DataFrame:
-    """df with `embedding`: trimmed, cut texts, blank ones as one space; where the model fails a zero vector, flagged."""
+def embed(df: DataFrame, text: str, model: Callable[[list[str]], list] | None = None, dimension: int = 1024, most_chars: int = 8192, attempts: int = 3) -> DataFrame:
+    """df with `embedding`: trimmed, cut texts, blank ones as one space; where all attempts fail a zero vector, flagged."""
     columns = df.columns
     call = model or (lambda texts: stub_vectors(texts, dimension))
 
     def run(batches: Iterable[pd.DataFrame]):
         for pdf in batches:
             texts = [(("" if t is None else t).strip()[:most_chars]) or " " for t in pdf[text]]
-            try:
-                vectors, failed = call(texts), False
-            except Exception:
-                vectors, failed = [[0.0] * dimension] * len(pdf), True
+            vectors, failed = [[0.0] * dimension] * len(pdf), True
+            for k in range(attempts):
+                try:
+                    vectors, failed = call(texts), False
+                    break
+                except Exception:
+                    time.sleep(min(8.0, 0.5 * 2**k))
             yield pdf.assign(embedding=vectors, failed=failed)[[*columns, "embedding", "failed"]]
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

@@ -17,7 +17,10 @@ def shared_folder(spark: SparkSession) -> str:
         return known
     if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="corvane-")
+    sc = spark.sparkContext
+    if not getattr(sc, "_corvane_steps", None):
+        sc._corvane_steps = tempfile.mkdtemp(prefix="corvane-")
+    return sc._corvane_steps
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -78,6 +81,13 @@ def shared_path(spark, name: str) -> str:
     return f"{root.rstrip('/')}/corvane/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str = "step") -> DataFrame:
+    """df written as Parquet to the shared folder and read again: lineage ends here, and the planner knows its size."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stream_result(df: DataFrame) -> DataFrame:
     """What a streaming aggregate has once its present input is read: the last complete table, written by foreachBatch."""
     spark = df.sparkSession
