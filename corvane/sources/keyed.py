@@ -76,8 +76,8 @@ class KeyedTable:
 
     def _merged(self, buckets: dict[int, Bucket]) -> DataFrame:
         """The last version of each key; only files of the log are read."""
-        files = [f"{self.path}/data/v={v}/_bucket={b}" for b, x in buckets.items() for v in x.files()]
-        rows = self.spark.read.option("basePath", f"{self.path}/data").parquet(*(files or [f"{self.path}/data"])).withColumnRenamed("v", "_v")
+        files = [f"{self.path}/data/_v={v}/_bucket={b}" for b, x in buckets.items() for v in x.files()]
+        rows = self.spark.read.option("basePath", f"{self.path}/data").parquet(*(files or [f"{self.path}/data"]))
         w = W.partitionBy("_bucket", self.key).orderBy(F.desc("_v"))
         return (rows if files else rows.filter(F.lit(False))).withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
 
@@ -104,7 +104,7 @@ class KeyedTable:
 
     def _write(self, rows: DataFrame, version: int) -> dict[int, int]:
         """Writes rows as a version's files by bucket; the number of rows in each."""
-        path = f"{self.path}/data/v={version}"
+        path = f"{self.path}/data/_v={version}"
         rows.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
         try:
             counted = self.spark.read.parquet(path).groupBy("_bucket").agg(F.count("*").alias("n"))
@@ -122,7 +122,7 @@ class KeyedTable:
         fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         for s in fs.listStatus(root):
             name = s.getPath().getName()
-            if name.startswith("v=") and int(name[2:]) not in keep:
+            if name.startswith("_v=") and int(name[3:]) not in keep:
                 fs.delete(s.getPath(), True)
 
 

@@ -207,7 +207,9 @@ class Wanted:
         return T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)] + list(PLACE))
 
 
-def _read(wanted: Wanted, schema: T.StructType, r: Range) -> Iterator[pa.RecordBatch]:
+def _read(wanted: Wanted, schema: T.StructType, r: Range | None) -> Iterator[pa.RecordBatch]:
+    if r is None:  # there are no files
+        return
     arrow = to_arrow_schema(schema)
     at = {n: i for i, n in reversed(list(enumerate(wanted.names(r.path, r.part))))}
 
