@@ -72,11 +72,11 @@ def refilled(rows: Column, texts: Column) -> Column:
 
 
 def replace_tables(docs: DataFrame, key: str, text: str, name: str = "doc_name") -> DataFrame:
-    """docs with each table of `text` as a placeholder of its own line that names its file: document, table number, type csv."""
+    """docs with each table of `text` as a placeholder that names its file, in a line of its own."""
     found = document_tables(docs.select(key, text), key, text)
     lines = lines_of(docs, key, text).join(found.select(key, "table_no", "start_line", "end_line").withColumn("line_no", F.explode(F.sequence("start_line", F.col("end_line") - 1))), [key, "line_no"], "left")
     lines = lines.join(docs.select(key, F.col(name).alias("_name")), key)
-    mark = F.format_string('[[TABLE name="%s_table_%d.csv" type="csv"]]', "_name", "table_no")
+    mark = F.format_string('[[TABLE type="file" summary="%s_table_%d.csv" path="%s_table_%d.csv"]]', "_name", "table_no", "_name", "table_no")
     shown = F.when(F.col("table_no").isNull(), F.col("line")).when(F.col("line_no") == F.col("start_line"), mark)
     g = lines.select(key, "line_no", shown.alias("s")).filter("s is not null").groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "s"))), lambda p: p["s"]), "\n").alias("_text"))  # one document's lines
     return docs.join(g, key, "left").withColumn(text, F.coalesce("_text", text)).drop("_text")
@@ -127,7 +127,7 @@ def passages(qa: DataFrame, chunks: DataFrame) -> DataFrame:
     texts the chunk's, then that with the largest meta, stays. Blank texts are left out."""
     q = qa.select(F.concat_ws("\n", F.trim("question"), F.trim("answer")).alias("document"), F.lit("qa").alias("kind"), F.to_json("meta").alias("meta"))
     c = chunks.select(F.concat_ws("\n", F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.col("doc_name")), F.trim("content")).alias("document"), F.lit("semantic").alias("kind"), F.to_json("meta").alias("meta"))
-    every = q.unionByName(c).filter(F.trim("document") != "").withColumn("hash_id", X.passage_id(F.col("document")))
+    every = q.unionByName(c).filter(F.col("document").rlike(r"\S")).withColumn("hash_id", X.passage_id(F.col("document")))
     return latest(every, ["hash_id"], [F.desc("kind"), F.desc("meta")]).select("hash_id", "document", "kind", "meta")
 
 

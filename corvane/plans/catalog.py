@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import admission, fleet, governance, inventory, knowledge, matching, process, records, retrieval, validation  # noqa: F401  the others add to governance and knowledge
+from . import admission, corpus, fleet, governance, inventory, knowledge, matching, process, records, retrieval, validation  # noqa: F401  the others add to governance and knowledge
 
 
 def queries() -> dict:
