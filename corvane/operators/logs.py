@@ -69,12 +69,15 @@ def windows(anchors: DataFrame, key: str, at: str, before: int, after: int, gap:
 
 def fault_windows(anchors: DataFrame, key: str, at: str, message: str, before: int, after: int, gap: int, samples: int = 5) -> DataFrame:
     """A row per merged window: bounds, number of anchors, and the first distinct messages in order of time."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(at, message))), lambda p: F.substring(p[message], 1, 200))
-    return (
-        windows(anchors, key, at, before, after, gap)
-        .groupBy(key, "window_id")
-        .agg(F.min("win_start").alias("win_start"), F.max("win_end").alias("win_end"), F.count("*").alias("n_anchors"), F.slice(F.array_distinct(ordered), 1, samples).alias("samples"))
-    )
+    x = windows(anchors, key, at, before, after, gap)
+    bounds = x.groupBy(key, "window_id").agg(F.min("win_start").alias("win_start"), F.max("win_end").alias("win_end"), F.count("*").alias("n_anchors"))
+    # Each message by its first time, then the first few: a window's messages never come together in one row.
+    text = F.substring(F.col(message), 1, 200).alias("_text")
+    firsts = x.filter(F.col(message).isNotNull()).groupBy(key, "window_id", text).agg(F.min(F.struct(F.col(at).alias("at"), F.col(message).alias("m"))).alias("_first"))
+    nth = F.row_number().over(W.partitionBy(key, "window_id").orderBy("_first"))
+    kept = firsts.withColumn("_nth", nth).filter(F.col("_nth") <= samples).groupBy(key, "window_id").agg(F.array_sort(F.collect_list(F.struct("_nth", "_text"))).alias("_kept"))
+    out = bounds.join(kept, [key, "window_id"], "left")
+    return out.withColumn("samples", F.coalesce(F.transform("_kept", lambda p: p["_text"]), F.array().cast("array<string>"))).drop("_kept")
 
 
 def window_members(records: DataFrame, wins: DataFrame, key: str, at: str, width: int) -> DataFrame:

@@ -62,6 +62,17 @@ def agg18_window_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("user_id", "window_id", F.size("samples").cast("bigint").alias("n_distinct"))
 
 
+@query(f"""WITH {_MERGED}, m AS (SELECT user_id, window_id, CAST(event_id % 7 AS VARCHAR) AS v, min(us) AS first_us FROM w3 GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, window_id ORDER BY first_us, v) AS nth FROM m)
+SELECT user_id, CAST(window_id AS INTEGER) AS window_id, string_agg('message ' || v, ', ' ORDER BY nth) AS samples FROM r WHERE nth <= 5 GROUP BY 1, 2""")
+def agg18_sample_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five distinct messages of each window, in order of time."""
+    message = F.concat(F.lit("message "), (F.col("event_id") % 7).cast("string")).alias("message")
+    a = _events(spark, sf_dir).filter("event_type = 'error'").select("user_id", "us", message)
+    w = L.fault_windows(a, "user_id", "us", "message", BEFORE, AFTER, GAP)
+    return w.select("user_id", "window_id", F.array_join("samples", ", ").alias("samples"))
+
+
 @query("""SELECT event_id, user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id) AS n FROM events) WHERE n = 1""")
 def win01_keep_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
