@@ -19,6 +19,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.window import Window as W
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SEVERAL_STEPS = "spark.sql.streaming.statefulOperator.allowMultiple"
 
 
 def with_state_store(spark: SparkSession) -> None:
@@ -117,6 +118,8 @@ class Dropped(StreamingQueryListener):
 def count_windows(df: DataFrame, path: str, *, key: str, at: str, width: str, late: str = "10 minutes") -> tuple[DataFrame, DataFrame]:
     """(start, end, n) of the rows of each window, and one row (read, late, repeated): how many rows were read, came after
     the watermark had passed them, and repeated a key within the watermark's reach. Late and repeated rows are in no window.
+    A batch's rows are held against the watermark of all batches before it. (A query that may have several stateful steps, Spark's
+    default, drops by the watermark of one batch earlier, for the sake of the second step; this one has a single step.)
 
     The engine counts what it drops in the query's progress; rows are dropped one by one, before anything is added
     up, so the counts are exact. Each batch writes its own counts by window, which are added up on reading; a batch that is run again replaces
@@ -129,11 +132,14 @@ def count_windows(df: DataFrame, path: str, *, key: str, at: str, width: str, la
     seen = df.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
     dropped = Dropped()
     spark.streams.addListener(dropped)
+    several = spark.conf.get(SEVERAL_STEPS)
+    spark.conf.set(SEVERAL_STEPS, "false")
     try:
         query = seen.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
         query.awaitTermination()
         dropped.over.wait(60)  # reports come in order, the end last
     finally:
+        spark.conf.set(SEVERAL_STEPS, several)
         spark.streams.removeListener(dropped)
     run = spark.range(1).select(*(F.lit(n).cast("bigint").alias(c) for c, n in (("read", dropped.read), ("late", dropped.late), ("repeated", dropped.repeated))))
     run.write.mode("overwrite").parquet(f"{path}/figures/run={query.runId}")

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.plans import catalog
 from corvane.sources.keyed import KeyedTable, keyed_writer
 from corvane.streaming import state as ST
 
@@ -117,3 +118,22 @@ def test_late_and_repeated_rows_are_counted(spark, tmp_path):
     w, t = ST.count_windows(stream(), out, key="k", at="ts", width="1 hour")
     assert sorted((int(r.start.timestamp()), r.n) for r in w.collect()) == [(0, 1), (3600, 1), (7200, 3)]
     assert tuple(t.first()) == (9, 3, 1)
+
+
+def test_a_row_is_late_by_the_watermark_of_the_batch_before(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    add(spark, src, [("a", 1, "", 1000)])
+    add(spark, src, [("b", 1, "", 9000)])
+    add(spark, src, [("late", 1, "", 900), ("c", 1, "", 9100)])  # within ten minutes of the first batch's end, long before the second's
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    w, t = ST.count_windows(stream, out, key="k", at="ts", width="1 hour")
+    assert sorted((int(r.start.timestamp()), r.n) for r in w.collect()) == [(0, 1), (7200, 2)]
+    assert tuple(t.first()) == (4, 1, 0)
+
+
+def test_late_rows_of_more_than_a_month(spark, tmp_path):
+    """A sixth period and later ones are read too."""
+    rows = [(i, 1_704_067_200 + i * 40_000) for i in range(1, 100)]  # 46 days
+    spark.createDataFrame(rows, "event_id bigint, sec bigint").select("event_id", F.timestamp_seconds("sec").cast("timestamp_ntz").alias("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.queries()["str07_late_rows"](spark, str(tmp_path)).collect()
+    assert sum(r.n for r in got) == 99 and {(r.late, r.repeated) for r in got} == {(0, 1)}
