@@ -1,7 +1,8 @@
 """Failure patterns of a fleet: mergeable frequency and quantile sketches by time window, and trends between windows.
 
 A window's sketches are a few kilobytes whatever it holds, so they are kept and combined (hours to days, sites to a fleet) without
-going back to the rows. Each result says how wrong it can be.
+going back to the rows. Each result says how wrong it can be. Where items may be more than a sketch tracks and counts must be
+exact, `counted` keeps a row an item instead; these combine in the same way.
 """
 
 from __future__ import annotations
@@ -28,6 +29,29 @@ def combined(parts: DataFrame, window: Column, *, tracked: int = 1000, by: tuple
     return x.groupBy(*by, "window").agg(F.sum("n").alias("n"), F.call_function("approx_top_k_combine", "top", F.lit(tracked)).alias("top"), F.kll_merge_agg_double("spread").alias("spread"))
 
 
+def counted(df: DataFrame, window: Column, item: Column, *, by: tuple[str, ...] = ()) -> DataFrame:
+    """window, item, count: exact counts, however many items there are. Rows without an item are counted under null."""
+    x = df.select(*by, window.alias("window"), item.cast("string").alias("item"))
+    return x.groupBy(*by, "window", "item").agg(F.count("*").alias("count"))
+
+
+def recounted(parts: DataFrame, window: Column, *, by: tuple[str, ...] = ()) -> DataFrame:
+    """Exact counts of wider windows from those of narrower ones."""
+    return parts.withColumn("window", window).groupBy(*by, "window", "item").agg(F.sum("count").alias("count"))
+
+
+def totals(parts: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame:
+    """window, n: the rows of each window, from its exact counts."""
+    return parts.groupBy(*by, "window").agg(F.sum("count").alias("n"))
+
+
+def most_frequent(parts: DataFrame, k: int, *, by: tuple[str, ...] = ()) -> DataFrame:
+    """As `top_items`, from exact counts."""
+    w = W.partitionBy(*by, "window").orderBy(F.desc("count"), "item")
+    x = parts.filter("item is not null").withColumn("rank", F.row_number().over(w))
+    return x.filter(F.col("rank") <= k).select(*by, "window", "rank", "item", "count")
+
+
 def top_items(parts: DataFrame, k: int, *, by: tuple[str, ...] = ()) -> DataFrame:
     """window, rank, item, count: the k most frequent items of each window; ties by item among those that the sketch gives.
 

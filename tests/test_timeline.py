@@ -62,3 +62,15 @@ def test_trends_between_windows(spark):
     s = P.sketches(spark.createDataFrame(rows, "w int, item string"), F.col("w"), F.col("item"), F.lit(1.0))
     t = {(r.window, r.item): (r.share, r.change) for r in P.trends(P.top_items(s, 2), s).collect()}
     assert t == {(1, "a"): (0.75, None), (1, "b"): (0.25, None), (2, "b"): (1.0, 0.75), (3, "c"): (0.5, 0.5)}
+
+
+def test_counts_are_exact_with_more_items_than_a_sketch_tracks(spark):
+    df = spark.range(12_000).select((F.col("id") % 14).alias("day"), F.when(F.col("id") % 50 == 0, "often").otherwise(F.concat(F.lit("m"), F.pmod(F.xxhash64("id"), F.lit(4000)).cast("string"))).alias("item"))
+    df = df.unionByName(spark.createDataFrame([(3, None), (9, "m1")] * 2, "day bigint, item string"))
+    weeks = P.recounted(P.counted(df, F.col("day"), F.col("item")), F.floor(F.col("window") / 7))
+    exact = df.groupBy(F.floor(F.col("day") / 7).alias("w"), "item").count().orderBy("w", F.desc("count"), "item").collect()
+    top = P.most_frequent(weeks, 5)
+    for w in (0, 1):
+        assert [(r.item, r["count"]) for r in top.filter(F.col("window") == w).orderBy("rank").collect()] == [(r.item, r["count"]) for r in exact if r.w == w and r.item is not None][:5]
+    assert {(r.window, r.n) for r in P.totals(weeks).collect()} == {(w, sum(r["count"] for r in exact if r.w == w)) for w in (0, 1)}
+    assert P.trends(top, P.totals(weeks)).count() == 10
