@@ -115,6 +115,19 @@ def test_ivf_exact_and_probed(spark, monkeypatch):
     assert few.groupBy("query_id").count().filter("count <> 3").isEmpty()
 
 
+def test_scored_pairs_stay_in_their_task(spark, monkeypatch):
+    """Where no bound cuts, what leaves a task is k rows of a query and block, not a row for each pair."""
+    monkeypatch.setattr(V, "VECTORS", 100)
+    monkeypatch.setattr(V, "QUERIES", 16)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=16))]) for i in range(800)]
+    index = V.build_ivf(spark.createDataFrame([(*r, 5) for r in rows], VECTORS), "id", "embedding", cells=4)
+    q = V._units(spark.createDataFrame(rows[:50], "query_id bigint, embedding array<float>"))
+    n = V._scored(index, q, 3, 4).count()
+    blocks = 8 + index.table("vectors").rdd.getNumPartitions()
+    assert 150 <= n <= 50 * 3 * blocks < 50 * 800
+
+
 def test_ivf_of_nothing(spark):
     index = V.build_ivf(spark.createDataFrame([], VECTORS), "id", "embedding")
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id bigint, embedding array<float>")
