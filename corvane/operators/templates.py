@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
 from ..sources.sinks import kept
 from .similarity import template_band
 
 UNIT = 1_000_000
+#: Sets of a block of requests and of templates, and how many requests' rows of their matrix there are at once.
+REQUESTS, TEMPLATES, SLICE = 4096, 8192, 512
+#: Places for each core that blocks meet in.
+PLACES = 4
 
 
 def intent_weights(templates: DataFrame) -> DataFrame:
@@ -19,9 +30,42 @@ def intent_weights(templates: DataFrame) -> DataFrame:
     return rarity.select("intent", F.floor(UNIT * (1 + F.log(F.col("n") / F.col("df")))).cast("bigint").alias("w"))
 
 
-def _best(df: DataFrame, k: int) -> DataFrame:
-    w = W.partitionBy("request_id").orderBy(F.desc("score"), "template_id")
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def _sets(pairs: DataFrame, key: str, k: int | None) -> DataFrame:
+    """intents (a sorted set), keys: the first k keys that have just this set, or all of them in rows (`key` instead of `keys`)."""
+    sets = pairs.groupBy(key).agg(F.sort_array(F.collect_set("intent")).alias("intents"))
+    if k is None:
+        return sets
+    nth = F.row_number().over(W.partitionBy("intents").orderBy(key))
+    return sets.withColumn("nth", nth).filter(F.col("nth") <= k).groupBy("intents").agg(F.sort_array(F.collect_list(key)).alias("keys"))
+
+
+def _packed(df: DataFrame, columns: list[str], size: int) -> DataFrame:
+    """Rows of `block`, an array of at most `size` structs of the columns."""
+    schema = T.StructType([T.StructField("block", T.ArrayType(df.select(F.struct(*columns).alias("x")).schema[0].dataType))])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, size):
+                part = pa.StructArray.from_arrays(batch.slice(lo, size).columns, fields=list(arrow.field(0).type.value_type))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(part)], part).cast(arrow.field(0).type)], schema=arrow)
+
+    return df.select(*columns).mapInArrow(run, schema)
+
+
+def _weights_of(sets: pa.ListArray, weights: pa.ListArray) -> tuple[dict, np.ndarray]:
+    """Of each intent the rows whose set has it and its weight; and the rows' sums of weights."""
+    flat, w = sets.flatten(), weights.flatten().to_numpy()
+    row = np.repeat(np.arange(len(sets)), pc.list_value_length(sets).to_numpy())
+    total = np.zeros(len(sets), np.int64)
+    np.add.at(total, row, w)
+    coded = flat.dictionary_encode()
+    code = coded.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    ends = np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))
+    rows = np.split(row[order], ends[:-1]) if len(ends) else []
+    first = order[ends - 1] if len(ends) else []
+    return {x: (r, int(w[i])) for x, r, i in zip(coded.dictionary.to_pylist(), rows, first, strict=True)}, total
 
 
 def match_templates(requests: DataFrame, templates: DataFrame, k: int = 3, lead: float = 0.5) -> DataFrame:
@@ -31,33 +75,65 @@ def match_templates(requests: DataFrame, templates: DataFrame, k: int = 3, lead:
     template has weighs as much as one that a single template has. Templates that share no intent aren't
     candidates; nulls and repeated intents count for nothing. Ties go by template_id.
 
-    The heaviest intents of a request, with the share `lead` of its weight, find its first candidates. Any other template shares at most
-    the rest, so its score is at most the rest's share; only requests whose k-th score doesn't exceed that look at all their intents."""
+    Requests of equal sets of intents are one, and of templates with equal sets only the first k can be among the best; so the work
+    goes by different sets. Blocks of both meet in tasks: the shared weights of two blocks are a matrix, to which each intent
+    adds where it is in both, and what leaves the task is the k best of each request. No pair of a request and a template is a row. `lead`, of an
+    earlier way, has no effect."""
     r = requests.select("request_id", "intent").dropna().distinct()
     t = templates.select("template_id", "intent").dropna().distinct()
     weights = kept(intent_weights(t))
     alone = t.select("template_id").distinct().agg(F.floor(UNIT * (1 + F.log(F.greatest(F.count("*"), F.lit(1))))).cast("bigint").alias("alone"))  # one row
-    asked = r.join(weights, "intent", "left").join(F.broadcast(alone), F.lit(True)).withColumn("known", F.col("w").isNotNull()).withColumn("w", F.coalesce("w", "alone")).drop("alone")
-    order = W.partitionBy("request_id").orderBy(F.desc("w"), "intent").rowsBetween(W.unboundedPreceding, -1)
-    all_of = W.partitionBy("request_id")
-    asked = asked.withColumn("total", F.sum("w").over(all_of))
-    asked = kept(asked.withColumn("first", F.coalesce(F.sum("w").over(order), F.lit(0)) < lead * F.col("total")))
-    own = kept(t.join(weights, "intent"))
-    sizes = own.groupBy("template_id").agg(F.sum("w").alias("size"))
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        """Scores of the pairs (request_id, template_id) by all their intents."""
-        both = pairs.join(asked.select("request_id", "intent", "total"), "request_id").join(own, ["template_id", "intent"])
-        both = both.groupBy("request_id", "template_id").agg(F.sum("w").alias("shared"), F.max("total").alias("total")).join(sizes, "template_id")
-        return both.select("request_id", "template_id", F.floor(UNIT * F.col("shared") / (F.col("total") + F.col("size") - F.col("shared"))).cast("bigint").alias("score"))
-
-    meet = lambda some: some.select("request_id", "intent").join(own, "intent").select("request_id", "template_id").distinct()
-    found = kept(scored(meet(asked.filter("first and known"))))
-    kth = _best(found, k).filter(F.col("rank") == k).select("request_id", F.col("score").alias("kth"))
-    rest = asked.groupBy("request_id").agg(F.coalesce(F.sum(F.when(~F.col("first") & F.col("known"), F.col("w"))), F.lit(0)).alias("rest"), F.max("total").alias("total"))
-    open_ = kept(rest.join(kth, "request_id", "left").filter((F.col("rest") > 0) & F.coalesce(F.floor(UNIT * F.col("rest") / F.col("total")) >= F.col("kth"), F.lit(True))).select("request_id"))
-    more = scored(meet(asked.filter("known").join(open_, "request_id", "left_semi")))
-    return _best(found.join(open_, "request_id", "left_anti").unionByName(more), k).select("request_id", "rank", "template_id", "score")
+    asked = kept(_sets(r, "request_id", None), "requests")
+
+    def weighed(sets: DataFrame, *more: str) -> DataFrame:
+        """With `w`, the weights of the intents in their order."""
+        x = sets.select("intents", *more, F.posexplode("intents").alias("nth", "intent")).join(weights, "intent", "left").join(F.broadcast(alone), F.lit(True))
+        x = x.groupBy("intents", *more).agg(F.array_sort(F.collect_list(F.struct("nth", F.coalesce("w", "alone").alias("w")))).alias("w"))
+        return x.withColumn("w", F.transform("w", lambda p: p["w"]))
+
+    places = max(8, PLACES * requests.sparkSession.sparkContext.defaultParallelism)
+    kind = r.schema["intent"].dataType
+    request_blocks = _packed(weighed(asked.select("intents").distinct()), ["intents", "w"], REQUESTS).withColumnRenamed("block", "ask")
+    request_blocks = kept(request_blocks.withColumn("place", F.pmod(F.xxhash64("ask"), F.lit(places)).cast("int")), "request-blocks")
+    template_blocks = kept(_packed(weighed(_sets(t, "template_id", k), "keys"), ["intents", "w", "keys"], TEMPLATES), "template-blocks")
+    template_blocks = template_blocks.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
+    out = T.StructType([T.StructField("intents", T.ArrayType(kind)), T.StructField("template_id", t.schema["template_id"].dataType), T.StructField("score", T.LongType())])
+    arrow = to_arrow_schema(out)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ask, block = batch.column(0)[i].values, batch.column(1)[i].values
+                a, total = _weights_of(ask.field("intents"), ask.field("w"))
+                b, size = _weights_of(block.field("intents"), block.field("w"))
+                keys = block.field("keys")
+                first, many = keys.offsets.to_numpy(), pc.list_value_length(keys).to_numpy()
+                for lo in range(0, len(total), SLICE):
+                    hi = min(lo + SLICE, len(total))
+                    shared = np.zeros((hi - lo, len(size)), np.int64)
+                    for x, (rows, w) in a.items():
+                        if x in b:
+                            rows = rows[(rows >= lo) & (rows < hi)] - lo
+                            shared[rows[:, None], b[x][0][None, :]] += w
+                    score = np.floor(UNIT * shared / (total[lo:hi, None] + size[None, :] - shared)).astype(np.int64)
+                    best = np.ones(hi - lo, np.int64)
+                    if len(size) > k:
+                        best = np.maximum(best, np.partition(score, len(size) - k, axis=1)[:, len(size) - k])
+                    # a share below a millionth is a candidate still
+                    who, col = np.nonzero((score >= best[:, None]) | ((shared > 0) & (score == 0) & (best == 1)[:, None]))
+                    n = many[col]
+                    who, at = np.repeat(who, n), np.repeat(first[col] + n - np.cumsum(n), n) + np.arange(n.sum())
+                    ids, points = keys.values.take(pa.array(at)), score[who, np.repeat(col, n)]
+                    place = np.empty(len(at), np.int64)
+                    place[pc.sort_indices(ids).to_numpy()] = np.arange(len(at))
+                    order = np.lexsort((place, -points, who))
+                    order = order[np.arange(len(who)) - np.searchsorted(who, who) < k]
+                    yield pa.RecordBatch.from_arrays([ask.field("intents").take(pa.array(lo + who[order])), ids.take(pa.array(order)), pa.array(points[order])], schema=arrow)
+
+    pairs = request_blocks.repartition(places, "place").join(template_blocks.repartition(places, "place"), "place").select("ask", "block")
+    best = W.partitionBy("intents").orderBy(F.desc("score"), "template_id")
+    found = pairs.mapInArrow(met, out).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return asked.join(found, "intents").select("request_id", "rank", "template_id", "score")
 
 
 def best_match(requests: DataFrame, matches: DataFrame, least: float = 0.5) -> DataFrame:

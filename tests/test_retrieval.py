@@ -166,6 +166,16 @@ def test_template_match(spark, lead):
     assert best == {q: (top[q][0], "shortcut" if top[q][1] >= 800_000 else "hint") if q in top and top[q][1] >= 500_000 else (None, "none") for q in {q for q, x in requests if q is not None and x is not None}}
 
 
+def test_template_match_by_blocks_and_equal_sets(spark, monkeypatch):
+    for name, n in (("REQUESTS", 5), ("TEMPLATES", 4), ("SLICE", 3)):
+        monkeypatch.setattr(TM, name, n)
+    templates = [(i, x) for i in range(40) for x in (("a", "b"), ("b",), ("c", "d", "e"), ("a", "e"))[i % 4]]
+    requests = [(i, x) for i in range(90) for x in (("a",), ("b", "c"), ("e", "z"), ("a", "b", "c", "d", "e"), ("z",))[i % 5]]
+    r, t = spark.createDataFrame(requests, "request_id int, intent string"), spark.createDataFrame(templates, "template_id int, intent string")
+    assert sorted(tuple(x) for x in TM.match_templates(r, t, 3).collect()) == plain_templates(requests, templates, 3)
+    assert TM.match_templates(r.limit(0), t).isEmpty() and TM.match_templates(r, t.limit(0)).isEmpty()
+
+
 def test_references_match_short_names(spark):
     refs = spark.createDataFrame([("see 手册 now",), ("xxabxx",), ("a",), ("zz",), (" ",), ("a b c",)], "ref string")
     known = spark.createDataFrame([("手册",), ("ab",), ("A",), ("",), ("abc",)], "doc_name string")
