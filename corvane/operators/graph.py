@@ -85,6 +85,53 @@ def reachable(edges: DataFrame, starts: DataFrame, most_steps: int) -> DataFrame
     return seen
 
 
+def _followed(single: DataFrame) -> DataFrame:
+    """(node, up): the first node before each of `single` (node, up: its one predecessor) that isn't one of them, by doubling; rows
+    of a cycle of such nodes, and behind one, are left out."""
+    from ..sources.sinks import kept
+
+    up = kept(single)
+    for _ in range(up.count().bit_length() + 1):
+        further = up.select(F.col("node").alias("up"), F.col("up").alias("further"))
+        up = kept(up.join(further, "up", "left").select("node", F.coalesce("further", "up").alias("up"), F.col("further").isNotNull().alias("moved")))
+        if up.filter("moved").isEmpty():
+            break
+        up = up.drop("moved")
+    return up.select("node", "up").join(single.select(F.col("node").alias("up")), "up", "left_anti")
+
+
+def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node) of all nodes that ways from the starts lead to, themselves included.
+
+    A node with a single predecessor that is no start is reached just when that one is: such chains are contracted, in as many rounds as
+    their length has binary digits, until there are none; only what is left goes step by step, and the chains are unfolded."""
+    from ..sources.sinks import kept
+
+    start = kept(starts.select("node").distinct())
+    e = kept(edges.select("src", "dst").dropna().filter("src <> dst").distinct())
+    chains = []
+    while True:
+        before = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("up"))
+        single = kept(before.filter("n = 1").select("node", "up").join(start, "node", "left_anti"))
+        if single.isEmpty():
+            break
+        follow = kept(_followed(single))
+        rest = e.join(single.select(F.col("node").alias("dst")), "dst", "left_anti").join(single.select(F.col("node").alias("src"), F.lit(True).alias("own")), "src", "left")
+        rest = rest.join(follow.select(F.col("node").alias("src"), "up"), "src", "left").filter("own is null or up is not null")
+        e = kept(rest.select(F.coalesce("up", "src").alias("src"), "dst").filter("src <> dst").distinct())
+        chains.append(follow)
+    seen = frontier = start
+    while True:
+        step = frontier.select(F.col("node").alias("src")).join(e, "src").select(F.col("dst").alias("node")).distinct()
+        frontier = kept(step.join(seen, "node", "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = kept(seen.unionByName(frontier))
+    for follow in reversed(chains):
+        seen = kept(seen.unionByName(follow.join(seen.select(F.col("node").alias("up")), "up", "left_semi").select("node")))
+    return seen
+
+
 def high_risk_chains(skills: DataFrame, tools: DataFrame, default: str = "L1") -> DataFrame:
     """Skills that call tools of higher risk: the tools, the highest rank, HIGH from L3 on."""
     x = consumers(skills, tools).filter("skill_status is not null")
@@ -160,9 +207,8 @@ def structure_findings(nodes: DataFrame, flows: DataFrame, strict: bool = False)
     dangling = flows.select(F.col("id").alias("flow"), F.explode(F.array("source_ref", "target_ref")).alias("id")).join(ids, "id", "left_anti").select(F.col("flow").alias("id")).distinct()
     twice = nodes.groupBy("id").count().filter("count > 1").select("id")
     edges = flows.select(F.col("source_ref").alias("src"), F.col("target_ref").alias("dst"))
-    n = nodes.count()
-    forward = reachable(edges, has("startEvent").select(F.col("id").alias("node")), n)
-    backward = reachable(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), has("endEvent").select(F.col("id").alias("node")), n)
+    forward = reached(edges, has("startEvent").select(F.col("id").alias("node")))
+    backward = reached(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), has("endEvent").select(F.col("id").alias("node")))
     orphan = ids.join(forward.select(F.col("node").alias("id")), "id", "left_anti")
     dead = ids.join(backward.select(F.col("node").alias("id")), "id", "left_anti")
     exits = flows.groupBy(F.col("source_ref").alias("id")).agg(F.count("*").alias("n"))

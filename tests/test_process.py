@@ -5,6 +5,7 @@ import random
 import pytest
 
 from corvane.operators import cycles as C
+from corvane.operators import graph as G
 
 
 def edges_of(spark, pairs):
@@ -120,3 +121,20 @@ def test_empty_graph(spark):
     nodes, edges = nodes_of(spark, []), edges_of(spark, [])
     assert C.gateway_findings(nodes, edges).isEmpty()
     assert C.ordered_levels(nodes_of(spark, ["a"]), C.typed_edges(nodes, edges)).collect() == [("a", 0)]
+
+
+def test_reached_of_long_chains_in_few_rounds(spark, monkeypatch):
+    """Chains, a cycle that nothing leads to, one behind a start, joins of chains, a start within a chain."""
+    from corvane.sources import sinks
+
+    written = []
+    keep = sinks.kept
+    monkeypatch.setattr(sinks, "kept", lambda df, *more: written.append(1) or keep(df, *more))
+    pairs = [(i, i + 3) for i in range(300)] + [(900, 901), (901, 902), (902, 900), (902, 903), (0, 500), (500, 501), (501, 502), (502, 500), (502, 502), (297, 600), (501, 600), (600, 601), (120, 7)]
+    ids = {x for p in pairs for x in p} | {1000}
+    for starts in ([0], [100, 1000], []):
+        r = reach(ids, pairs)
+        written.clear()
+        got = G.reached(edges_of(spark, pairs), spark.createDataFrame([(str(i),) for i in starts], "node string"))
+        assert {x.node for x in got.collect()} == {str(x) for i in starts for x in r[i]}
+        assert len(written) < 60
