@@ -3,18 +3,29 @@
 All of it works on tables of nodes and edges by rounds of joins in which only what changed moves on; lineage is cut by
 written tables. Ids are of any one type that has an order; graphs of many processes are one table when ids are unique over
 them. Edges from or to unknown nodes are left out; repeated edges count once.
+
+Where nodes and edges name their process, each process of at most SMALL rows is one row that a task solves by itself, after one
+shuffle; larger ones go by the rounds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.sinks import kept
 
 
+#: Nodes and edges of a process that one task solves as a row.
+SMALL = 500
+
+
 def known_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct (src, dst) between nodes."""
     ids = nodes.select("id").distinct()
@@ -128,12 +139,134 @@ def gatherings(starts: DataFrame, edges: DataFrame, levels: DataFrame, forward:
             return reduce(DataFrame.unionByName, met)
 
 
-def gateway_findings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _in_processes(nodes: DataFrame, edges: DataFrame, process: str, kind: str | None, solve: Callable, schema: str, rounds: Callable) -> DataFrame:
+    """solve(place, kinds, edges) of each small process, which gives rows of the schema, and rounds(nodes, edges) of all others."""
+    x = nodes.select(process, "id", "place", F.col(kind).alias("kind") if kind else F.lit(None).cast("string").alias("kind"), F.lit(None).cast(nodes.schema["id"].dataType).alias("dst"))
+    e = edges.select(process, F.col("src").alias("id"), F.lit(None).cast(nodes.schema["place"].dataType).alias("place"), F.lit(None).cast("string").alias("kind"), "dst")
+    rows = kept(x.unionByName(e))
+    large = kept(rows.groupBy(process).agg(F.count("*").alias("n")).filter(F.col("n") > SMALL).select(process))
+    some = not large.isEmpty()
+    small = rows.join(large, process, "left_anti") if some else rows
+    packed = small.groupBy(process).agg(F.collect_list(F.struct("id", "place", "kind", "dst")).alias("rows")).select("rows")  # at most SMALL a row
+    struct = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(struct)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            flat = lists.flatten()
+            ids, places, kinds, ends = (flat.field(k).to_pylist() for k in range(4))
+            at = lists.offsets.to_pylist()
+            found = []
+            for lo, hi in zip(at, at[1:], strict=False):
+                lo, hi = lo - at[0], hi - at[0]
+                place = {ids[k]: places[k] for k in range(lo, hi) if ends[k] is None and places[k] is not None}
+                ways = {(ids[k], ends[k]) for k in range(lo, hi) if ends[k] is not None and ids[k] in place and ends[k] in place}
+                found += solve(place, [(ids[k], kinds[k]) for k in range(lo, hi) if ends[k] is None], ways)
+            columns = zip(*found, strict=True) if found else [[] for _ in arrow]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    out = packed.mapInArrow(run, struct)
+    if not some:
+        return out
+    return out.unionByName(rounds(nodes.join(large, process, "left_semi"), edges.join(large, process, "left_semi").select("src", "dst")))
+
+
+def _next(pairs) -> dict:
+    out: dict = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+    return out
+
+
+def _loops_of(place: dict, ways: set) -> set:
+    """The edges that lead back, to where their own source is reached from."""
+    out, loops = _next(ways), set()
+    for a, b in ways:
+        if (place[b], b) > (place[a], a):
+            continue
+        seen, todo = {b}, [b]
+        while todo and a not in seen:
+            new = [y for y in out.get(todo.pop(), ()) if y not in seen]
+            seen.update(new)
+            todo += new
+        if a in seen:
+            loops.add((a, b))
+    return loops
+
+
+def _levels_of(place: dict, ahead: set) -> dict:
+    out, open_ = _next(ahead), dict.fromkeys(place, 0)
+    for _, b in ahead:
+        open_[b] += 1
+    level = dict.fromkeys(place, 0)
+    todo = [i for i, n in open_.items() if not n]
+    while todo:
+        a = todo.pop()
+        for b in out.get(a, ()):
+            level[b] = max(level[b], level[a] + 1)
+            open_[b] -= 1
+            if not open_[b]:
+                todo.append(b)
+    return level
+
+
+def _levels_and_loops(place: dict, kinds: list, ways: set) -> list:
+    loops = _loops_of(place, ways)
+    level, n = _levels_of(place, ways - loops), dict.fromkeys(place, 0)
+    for a, _ in loops:
+        n[a] += 1
+    return [(i, level[i], n[i]) for i in place]
+
+
+def _meeting(start, step: dict, height: dict):
+    """As `gatherings`, for one start."""
+    tokens = set(step.get(start, (None,)))
+    while True:
+        if len(tokens) == 1:
+            return next(iter(tokens))
+        low = min(height[x] for x in tokens if x is not None)
+        move = {x for x in tokens if x is not None and height[x] == low}
+        tokens -= move
+        for x in move:
+            tokens.update(step.get(x, (None,)))
+
+
+def _findings_of(place: dict, kinds: list, ways: set) -> list:
+    ahead = ways - _loops_of(place, ways)
+    level = _levels_of(place, ahead)
+    on, back = _next(ahead), _next((b, a) for a, b in ahead)
+    of = lambda kind, some: {i for i, t in kinds if t == kind and len(some.get(i, ())) > 1}
+    forks, choices, joins = of("parallelGateway", on), of("exclusiveGateway", on), of("parallelGateway", back)
+    meets = {i: _meeting(i, on, level) for i in forks | choices}
+    parts = {i: _meeting(i, back, {k: -v for k, v in level.items()}) for i in joins}
+    open_ = {i for i in forks if meets[i] is None or parts.get(meets[i]) != i}
+    shut = {i for i, m in parts.items() if m in choices} | {meets[i] for i in choices if meets[i] in joins}
+    return [("LOGIC_004", "error", i) for i in open_] + [("LOGIC_005", "error", i) for i in shut]
+
+
+def levels_and_loops(nodes: DataFrame, edges: DataFrame, process: str | None = None) -> DataFrame:
+    """id, level, n_loops of every node: as `ordered_levels`, and how many loop_back edges leave it. process: a column of both tables;
+    edges stay within a process."""
+    if process is not None:
+        kind = nodes.schema["id"].dataType.simpleString()
+        return _in_processes(nodes, edges, process, None, _levels_and_loops, f"id {kind}, level bigint, n_loops bigint", levels_and_loops)
+    typed = kept(typed_edges(nodes, edges))
+    loops = typed.filter("type = 'loop_back'").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n_loops"))
+    return ordered_levels(nodes, typed).join(loops, "id", "left").select("id", "level", F.coalesce("n_loops", F.lit(0)).cast("bigint").alias("n_loops"))
+
+
+def gateway_findings(nodes: DataFrame, edges: DataFrame, process: str | None = None) -> DataFrame:
     """code, severity, id of process graphs (nodes: id, type, place; edges: src, dst), loop_back edges left out.
 
     LOGIC_004: a parallel gateway with several ways on has a matching join if all its ways first meet at a parallel gateway, and all ways
     to that one come from it. LOGIC_005: a parallel gateway waits for several ways of which an exclusive gateway takes one only:
-    the ways that meet in it part at an exclusive gateway, or all ways of an exclusive gateway first meet in it."""
+    the ways that meet in it part at an exclusive gateway, or all ways of an exclusive gateway first meet in it.
+
+    process: a column of both tables; edges stay within a process."""
+    if process is not None:
+        kind = nodes.schema["id"].dataType.simpleString()
+        return _in_processes(nodes, edges, process, "type", _findings_of, f"code string, severity string, id {kind}", gateway_findings)
     typed = typed_edges(nodes, edges)
     levels = ordered_levels(nodes, typed)
     ahead = kept(typed.filter("type <> 'loop_back'").select("src", "dst"))

@@ -138,3 +138,21 @@ def test_reached_of_long_chains_in_few_rounds(spark, monkeypatch):
         got = G.reached(edges_of(spark, pairs), spark.createDataFrame([(str(i),) for i in starts], "node string"))
         assert {x.node for x in got.collect()} == {str(x) for i in starts for x in r[i]}
         assert len(written) < 60
+
+
+@pytest.mark.parametrize("small", [500, 15])
+def test_processes_are_solved_alike_in_a_row_and_by_rounds(spark, monkeypatch, small):
+    monkeypatch.setattr(C, "SMALL", small)
+    nodes, ways, want = [], [], set()
+    for n, (kinds, pairs, found) in enumerate(CASES):
+        order = list(dict.fromkeys(x for p in pairs for x in p))
+        nodes += [(f"{n}/{x}", kinds.get(x, "task"), k, n) for k, x in enumerate(order)]
+        ways += [(f"{n}/{a}", f"{n}/{b}", n) for a, b in pairs + pairs[:1] + [(pairs[0][0], "unknown")]]
+        want |= {(code, f"{n}/{x}") for code, x in found}
+    nodes = spark.createDataFrame(nodes, "id string, type string, place int, p int")
+    ways = spark.createDataFrame(ways, "src string, dst string, p int")
+    assert {(r.code, r.id) for r in C.gateway_findings(nodes, ways, "p").collect()} == want
+    got = {tuple(r) for r in C.levels_and_loops(nodes, ways, "p").collect()}
+    typed = C.typed_edges(nodes, ways)
+    loops = [r.src for r in typed.filter("type = 'loop_back'").collect()]
+    assert got == {(r.id, r.level, loops.count(r.id)) for r in C.ordered_levels(nodes, typed).collect()}
