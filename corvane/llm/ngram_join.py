@@ -342,6 +342,11 @@ def _bit_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """df for joins by shuffle: some ten joins of one call, each with a table just small enough to be broadcast, are too much for a driver."""
+    return df.hint("merge")
+
+
 #: Sets that are verified against one set in one place.
 TOGETHER = 128
 
@@ -349,11 +354,11 @@ TOGETHER = 128
 def _verified(docs: DataFrame, digests: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs of nodes (a, b) that link, by their sets. A node may be a in very many pairs, which are dealt out."""
     n = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / TOGETHER).cast("int"))
-    dealt = pairs.join(n, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node"))
+    dealt = pairs.join(_shuffled(n), "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node"))
     heads = n.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"))
     wanted = written(dealt.unionByName(heads), "wanted")
     nodes = wanted.select("node").distinct()
-    reps = written(digests.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "representatives")
+    reps = written(digests.join(_shuffled(nodes), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "representatives")
     bits = _bit_filter(reps.select("doc_id"))
     hashed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
 
@@ -371,7 +376,7 @@ def _verified(docs: DataFrame, digests: DataFrame, pairs: DataFrame, width: int,
             yield {"node": node_names(set_digest(key, at)), "doc_id": part.column(0), "shingles": [raw[cut[k] : cut[k + 1]] for k in range(part.num_rows)]}
 
     found = map_arrow(hashed, sets, "node binary, doc_id bigint, shingles binary")
-    placed = found.join(wanted.join(reps, "node"), ["node", "doc_id"]).select("a", "part", "node", "shingles")
+    placed = found.join(_shuffled(wanted.join(_shuffled(reps), "node")), ["node", "doc_id"]).select("a", "part", "node", "shingles")
 
     def linked(table: pa.Table) -> pa.Table:
         a = table.column("a")[0].as_py()
@@ -402,16 +407,27 @@ def _smallest(pairs: DataFrame) -> DataFrame:
     parts (at most DEALT a node) meet for the least one only."""
     dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(DEALT)))
     parts = dealt.groupBy("a", "part").agg(F.min("b").alias("b"))
-    low = parts.join(parts.groupBy("a").agg(F.min("b").alias("low")), "a").select("a", "part", "low")
-    return dealt.join(low, ["a", "part"]).select("a", "b", "low")
+    low = parts.join(_shuffled(parts.groupBy("a").agg(F.min("b").alias("low"))), "a").select("a", "part", "low")
+    return dealt.join(_shuffled(low), ["a", "part"]).select("a", "b", "low")
+
+
+def _settled(now: DataFrame) -> bool:
+    """Whether edges a-b (a > b) are stars: each a has one b, and no b is an a. Two counts a node, so no key is hot."""
+    ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("n"), F.lit(0).alias("m")), F.struct(F.col("b").alias("node"), F.lit(0).alias("n"), F.lit(1).alias("m")))).alias("e")).select("e.*")
+    return ends.groupBy("node").agg(F.sum("n").alias("n"), F.max("m").alias("m")).filter("n + m > 1 and n > 0").isEmpty()
 
 
 def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
-    """node and label (the smallest node that edges a-b reach), for nodes with an edge: alternating large and small stars."""
+    """node and label (the smallest node that edges a-b reach), for nodes with an edge: alternating large and small stars.
+
+    Rounds end when the edges are stars; that takes one shuffle to see, where another round would take a dozen."""
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
-    state = lambda df: df.agg(F.count("*"), F.sum(F.hash("a", "b").cast("bigint"))).first()
-    before = state(now)
-    for _ in range(most_rounds):
+    for left in range(most_rounds, -1, -1):
+        if _settled(now):
+            labels = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+            return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
+        if not left:
+            break
         # Large star: larger neighbours point to the smallest neighbour (or the node).
         every = _smallest(now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         large = every.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("low", "a").alias("b")).filter("a != b").distinct()
@@ -420,10 +436,6 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
         small = down.select(F.explode(F.array("a", "b")).alias("x"), "low").select(F.col("x").alias("a"), F.col("low").alias("b")).filter("a != b").distinct()
         last, now = now, written(small, "edges")
         dropped(last)
-        if (after := state(now)) == before:
-            labels = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
-            return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
-        before = after
     raise RuntimeError(f"components aren't settled after {most_rounds} rounds")
 
 
@@ -469,8 +481,8 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 75) -> tup
 
     # Round one: each such set against the leaders that it meets most often.
     stars = found.filter(F.col("kind") == STAR).groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.sum("n").alias("n"))
-    stars = stars.join(own.withColumnRenamed("node", "b"), "b").filter(F.col("n") > F.col("slack") / 2)
-    stars = stars.join(of("a"), "a").join(of("b"), "b").filter(_may_link(percent)).select("a", "b", "n")
+    stars = stars.join(_shuffled(own.withColumnRenamed("node", "b")), "b").filter(F.col("n") > F.col("slack") / 2)
+    stars = stars.join(_shuffled(of("a")), "a").join(_shuffled(of("b")), "b").filter(_may_link(percent)).select("a", "b", "n")
     best = F.row_number().over(W.partitionBy("b").orderBy(F.desc("n"), "a"))
     pairs = stars.withColumn("nth", best).filter(F.col("nth") <= STARS).select("a", "b")
     if total["short"]:
@@ -481,11 +493,11 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 75) -> tup
     labels = components(links)
 
     # Round two: buckets whose members are in different components.
-    open_ = live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = live.join(_shuffled(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
     for k in range(PRUNINGS):
         mixed = open_.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.min("lower").alias("probes"))
         mixed = mixed.filter("lo != hi and not probes").select("bucket", "n")
-        last, open_ = open_, open_.select("bucket", "node", "size", "lower", "e", "most", "label").join(mixed, "bucket").withColumn("multi", F.count("*").over(counted))
+        last, open_ = open_, open_.select("bucket", "node", "size", "lower", "e", "most", "label").join(_shuffled(mixed), "bucket").withColumn("multi", F.count("*").over(counted))
         open_ = written(open_.filter(may), "open")
         if k:
             dropped(last)
@@ -496,18 +508,18 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 75) -> tup
     open_ = open_.withColumn("private", private).withColumn("short_of", F.when(F.col("e") == 0, -1_000_000).otherwise(F.col("nth") - 1 + F.col("e") - F.col("multi")))
     # In a band either set of a pair may index the other: the one with more signatures of its own does, as it needs fewer
     # buckets. Across bands the smaller set is the index.
-    index = open_.filter("not lower and short_of <= most").select("bucket", "short_of", "private", F.col("past").alias("past_b"), F.col("node").alias("b"), F.col("label").alias("label_b")).join(of("b"), "b")
-    probe = open_.select("bucket", F.col("private").alias("private_a"), F.col("past").alias("past_a"), F.col("node").alias("a"), F.col("label").alias("label_a")).join(of("a"), "a")
+    index = open_.filter("not lower and short_of <= most").select("bucket", "short_of", "private", F.col("past").alias("past_b"), F.col("node").alias("b"), F.col("label").alias("label_b")).join(_shuffled(of("b")), "b")
+    probe = open_.select("bucket", F.col("private").alias("private_a"), F.col("past").alias("past_a"), F.col("node").alias("a"), F.col("label").alias("label_a")).join(_shuffled(of("a")), "a")
     alike = level(F.col("size_a")) == level(F.col("size_b"))
     more_own = (F.col("private") > F.col("private_a")) | ((F.col("private") == F.col("private_a")) & (F.col("b") < F.col("a")))
     leads = F.when(F.col("private").isNull() | ~alike, F.col("size_a") >= F.col("size_b")).otherwise(F.coalesce(more_own, F.lit(False)))
     fits = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
     enough = F.col("short_of") <= F.floor((F.col("size_a") + F.col("size_b")) * (100 - percent) / (100 + percent))
-    i, p = index.alias("i"), probe.alias("p")
+    i, p = index.alias("i"), _shuffled(probe.alias("p"))
     more = i.join(p, (F.col("i.bucket") == F.col("p.bucket")) & (F.col("label_a") != F.col("label_b")) & leads & fits & enough & _may_link(percent) & ~F.arrays_overlap("past_a", "past_b"))
     # Of two sets of one size each may have indexed the other.
     more = more.select(F.when(F.col("size_a") == F.col("size_b"), F.greatest("a", "b")).otherwise(F.col("a")).alias("a"), F.when(F.col("size_a") == F.col("size_b"), F.least("a", "b")).otherwise(F.col("b")).alias("b")).distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = written(more.join(_shuffled(pairs), ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         again = _verified(docs, with_set, more, width, percent)
         if not again.isEmpty():
@@ -533,12 +545,12 @@ def component_table(docs: DataFrame, *, width: int = 5, percent: int = 75) -> Da
     of a document are not counted."""
     digests, _, labels = link_documents(docs, width=width, percent=percent)
     labelled = digests.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
-    labelled = labelled.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = labelled.join(_shuffled(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
-    of_node = labelled.join(lowest, "label").select("node", "component_id", "copies")
+    of_node = labelled.join(_shuffled(lowest), "label").select("node", "component_id", "copies")
     # A node may have a third of all documents: its row is there for each salt.
     salted = of_node.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-    own = digests.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int")).join(salted, ["node", "salt"], "left")
+    own = digests.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int")).join(_shuffled(salted), ["node", "salt"], "left")
     known = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     return own.select("doc_id", "n_shingles", F.when(known, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(known, F.col("copies")).otherwise(F.lit(0)).alias("copies"))
 
@@ -552,14 +564,14 @@ def keep_first(docs: DataFrame, *, width: int = 5, percent: int = 75) -> DataFra
     """
     digests, _, labels = link_documents(docs, width=width, percent=percent)
     labelled = digests.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("node").agg(F.min("doc_id").alias("low"))
-    labelled = labelled.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = labelled.join(_shuffled(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = labelled.groupBy("label").agg(F.min(F.struct("low", "node")).alias("first"))
     ids = digests.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"))
     if ids.filter("n > 1").isEmpty():
         stays = first.select(F.col("first.low").alias("doc_id"))
-        gone = digests.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).select("doc_id").join(stays, "doc_id", "left_anti")
+        gone = digests.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).select("doc_id").join(_shuffled(stays), "doc_id", "left_anti")
         gone = gone.select(F.col("doc_id").alias("corvane_gone"))
-        return docs.join(gone, docs["doc_id"] == F.col("corvane_gone"), "left_anti")
+        return docs.join(_shuffled(gone), docs["doc_id"] == F.col("corvane_gone"), "left_anti")
     at = docs.columns.index("text")
 
     def own_set(batch):
