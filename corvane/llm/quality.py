@@ -1,9 +1,10 @@
 """Quality rules: counts of whole texts, and an isolation forest over their shares.
 
 Each document's rule statistics become shares that don't depend on its length. Trees of random
-splits are grown on a bounded sample of labelled rows; junk is isolated by short paths. The
-threshold on the path score is calibrated on those labelled rows. The forest is a few thousand
-numbers and travels with the task.
+splits are grown on 256 rows each, as the method has it, drawn from all labelled rows; junk is
+isolated by short paths. The threshold on the path score is calibrated on all labelled rows, by
+exact counts of their scores in BINS steps. The forest is a few thousand numbers and travels with
+the task.
 
 Null and empty texts have no words and fail the base rule. Texts of any length count as a whole.
 Without labels of both kinds there is nothing to calibrate and the forest rejects nobody. Repeated
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import labelled_sample, map_arrow
+from .common import bernoulli, map_arrow, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -26,6 +27,9 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Share that a rule allows; features are the square roots of what exceeds it, so that ordinary texts lie together.
 ALLOWED = {"symbols": 0.01, "dup_lines": 0.35, "repeated": 0.3, "stutter": 0.05, "upper": 0.15, "exclaimed": 0.01}
 FEATURES = tuple(ALLOWED)
+#: Steps of the score in which labelled rows are counted, and trees of the forest with the rows of each.
+BINS = 1 << 16
+TREES, TREE_ROWS = 100, 256
 
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[[ord(c) for c in SYMBOLS]] = True
@@ -201,24 +205,28 @@ def _mean_path(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray, good_weight: float) -> float:
-    """The threshold with the least sum of the missed share of junk and good_weight times the lost share of good rows."""
+def calibrate(scores: np.ndarray, good: np.ndarray, good_weight: float, counts: np.ndarray | None = None, width: float = 0.0) -> float:
+    """The threshold with the least sum of the missed share of junk and good_weight times the lost share of good rows.
+
+    counts: of rows at each score (by default one); width: how far above it they may lie."""
+    counts = np.ones(len(scores), np.int64) if counts is None else counts
     if not good.any() or good.all() or not len(scores):
         return float("inf")
     order = np.argsort(-scores, kind="stable")
-    s, g = scores[order], good[order]
-    lost, caught = np.cumsum(g) / g.sum(), np.cumsum(~g) / (~g).sum()
+    s, g, n = scores[order], good[order], counts[order]
+    lost, caught = np.cumsum(n * g) / (n * g).sum(), np.cumsum(n * ~g) / (n * ~g).sum()
     cost = np.concatenate([[1.0], 1 - caught + good_weight * lost])
     ends = np.concatenate([[True], np.append(s[1:] < s[:-1], True)])
     best = int(np.flatnonzero(ends)[np.argmin(cost[ends])])
     if best == 0:
         return float("inf")
-    return float((s[best - 1] + s[best]) / 2) if best < len(s) else float(s[-1] - 1e-9)
+    return float((s[best - 1] + s[best] + width) / 2) if best < len(s) else float(s[-1] - 1e-9)
 
 
 class Model:
-    def __init__(self, forest: IsolationForest | None, threshold: float):
-        self.forest, self.threshold = forest, threshold
+    def __init__(self, forest: IsolationForest | None, threshold: float, counted: int = 0):
+        """counted: the labelled rows that the threshold rests on."""
+        self.forest, self.threshold, self.counted = forest, threshold, counted
 
     def judge(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Counts, base_failed, anomaly score, kept."""
@@ -228,27 +236,44 @@ class Model:
         return counts, failed, score, ~failed & (score < self.threshold)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 12_000, junk_share: float = 0.05, good_weight: float = 8.0, seed: int = 7) -> Model:
-    """Forest and threshold from about `sample` labelled rows; the trees see junk_share of junk."""
-    rows, _ = labelled_sample(docs, labels, "quality", sample, "quality")
+def fit(docs: DataFrame, labels: DataFrame, *, junk_share: float = 0.05, good_weight: float = 8.0, seed: int = 7) -> Model:
+    """Forest and threshold from all labelled rows that pass the base rule; the trees see junk_share of junk.
+
+    Texts are read once and don't move: their features meet the labels. The driver gets the rows that trees are grown on, about
+    TREES * TREE_ROWS at any size, and the counts of scores, at most two for each of BINS steps."""
     names = [f"f{k}" for k in range(len(FEATURES))]
 
-    def run(batch):
+    def measure(batch):
         for part in K.slices(batch):
-            counts, features = statistics(*K.utf8(part.column(0))[:2])
-            yield {"label": part.column(1), "failed": base_failed(counts)} | {c: features[:, k] for k, c in enumerate(names)}
-
-    table = map_arrow(rows.select("text", "label"), run, "label int, failed boolean, " + ", ".join(f"{c} double" for c in names)).toPandas()
-    table = table[~table["failed"]].sort_values(["label", *names])  # any order of arrival gives one model
-    good = table["label"].to_numpy() > 0
-    x = table[names].to_numpy(float)
-    if good.sum() < 2 or good.all():
+            counts, features = statistics(*K.utf8(part.column(1))[:2])
+            yield {"doc_id": part.column(0), "failed": base_failed(counts)} | {c: features[:, k] for k, c in enumerate(names)}
+
+    texts = docs.select("doc_id", "text").filter("text is not null and doc_id is not null")
+    measured = map_arrow(texts, measure, "doc_id bigint, failed boolean, " + ", ".join(f"{c} double" for c in names)).filter("not failed")
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
+    rows = written(measured.join(known.groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id").drop("failed"), "labelled")
+    totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n_good, n_bad = totals.get(1, 0), totals.get(0, 0)
+    if n_good < 2 or not n_bad:
         return Model(None, float("inf"))
+    most = TREES * TREE_ROWS
+    junk = max(1, int(junk_share * min(n_good, most)))
+    share = {1: min(1.0, most / n_good), 0: min(1.0, (2 * junk + 1000) / n_bad)}
+    drawn = rows.filter(F.when(F.col("label") == 1, bernoulli(F.col("doc_id"), share[1], "quality")).otherwise(bernoulli(F.col("doc_id"), share[0], "quality")))
+    table = drawn.select("label", *names).toPandas().sort_values(["label", *names])  # any order of arrival gives one model
+    good, x = table["label"].to_numpy() > 0, table[names].to_numpy(float)
     rng = np.random.default_rng(seed)
     bad = np.flatnonzero(~good)
-    bad = rng.choice(bad, min(len(bad), max(1, int(junk_share * good.sum()))), replace=False)
-    forest = IsolationForest(x[np.concatenate([np.flatnonzero(good), bad])], seed=seed)
-    return Model(forest, calibrate(forest.score(x), good, good_weight))
+    bad = rng.choice(bad, min(len(bad), junk), replace=False)
+    forest = IsolationForest(x[np.concatenate([np.flatnonzero(good), bad])], TREES, TREE_ROWS, seed)
+
+    def score(batch):
+        step = np.floor(forest.score(np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)) * BINS)
+        yield {"label": batch.column(0), "step": step.astype(np.int32)}
+
+    counts = map_arrow(rows.select("label", *names), score, "label int, step int").groupBy("label", "step").agg(F.count("*").alias("n")).toPandas()
+    n = counts["n"].to_numpy()
+    return Model(forest, calibrate(counts["step"].to_numpy() / BINS, counts["label"].to_numpy() > 0, good_weight, n, 1 / BINS), int(n.sum()))
 
 
 def judge_documents(docs: DataFrame, model: Model) -> DataFrame:
