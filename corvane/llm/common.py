@@ -32,11 +32,25 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/corvane/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends here, no executor is needed for it."""
+#: Bytes of an Arrow batch that a task sends to Python while a table is written; 10,000 rows, Spark's bound, may be any size.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def written(df: DataFrame, name: str, batch: str = "16m") -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back: lineage ends here, no executor is needed for it.
+
+    batch: about how large the batches become that go to Python meanwhile."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_BYTES, None)
+    spark.conf.set(BATCH_BYTES, batch)
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_BYTES)
+        else:
+            spark.conf.set(BATCH_BYTES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

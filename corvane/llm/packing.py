@@ -51,6 +51,8 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+#: Text that is encoded at once, and about how much a task sends to Python at once: with the tokenizer a worker is large enough.
+SLICE_BYTES, BATCH = 1 << 19, "4m"
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, nth bigint"
 
 
@@ -65,7 +67,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, room: int, end_id: int) -> D
         task, seen = TaskContext.get().partitionId(), np.zeros(room + 1, np.int64)
         enc = encoder(vocabulary)
         for batch in batches:
-            for part in K.slices(batch):
+            for part in K.slices(batch, most=SLICE_BYTES):
                 data, off, _ = K.utf8(part.column(1))
                 ids, at = enc.encode(data, off)
                 n = part.num_rows
@@ -205,7 +207,7 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]
 
 def pack_documents(docs: DataFrame, vocabulary: str, *, room: int = 1024, end_id: int = 2) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = written(cut_documents(docs, vocabulary, room, end_id), "pieces")
+    pieces = written(cut_documents(docs, vocabulary, room, end_id), "pieces", BATCH)
     per_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     count = np.zeros(room + 1, np.int64)
     for row in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `room` rows
