@@ -1,8 +1,13 @@
 """Search by text: an inverted index with BM25 weights, exact top-k with pruning, and fusion of ranked evidence.
 
-An index is four tables in a folder: `postings` (term, part, id, w), `terms` (term, df, parts, top), `documents` (id, n) and
-`figures` (one row). Weights are whole millionths, so that sums don't depend on the order in which Spark adds them. A term's
-postings are dealt over parts of about PART rows by their document, so a word that half of all documents hold is no hot key.
+An index is four tables in a folder: `postings` (id, n, term, tf; a document without words has one row with a null term), `terms`
+(term, df, parts, rarity, top), `documents` (id, n) and `figures` (one row). Weights are whole millionths, made as a search reads
+postings, so that sums don't depend on the order in which Spark adds them. A term's postings are dealt over parts of about PART rows
+by their document, so a word that half of all documents hold is no hot key.
+
+Texts are dealt once by document, and so are the postings that a search reads, to so many places that none holds much: a
+document's words are counted and its weights added up where it is, so pairs of a query and a document aren't shuffled, and what a task
+holds doesn't grow with the documents.
 
 A search reads the lists of each query's strongest terms first. Their sums bound the k-th best score from below; where that
 is more than all the other terms together could give, no document outside the candidates can qualify, and
@@ -12,6 +17,7 @@ their lists. So results are exact at any size.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -23,6 +29,8 @@ from ..sources.sinks import kept, shared_path
 
 #: Postings of a part of a term's list.
 PART = 100_000
+#: Characters of text, and rows of queries met with postings, that one place gets.
+CHARACTERS, MEETINGS = 8_000_000, 2_000_000
 UNIT = 1_000_000
 WORD = r"[\p{L}\p{N}_]{3,}"
 
@@ -52,39 +60,55 @@ def build_index(docs: DataFrame, key: str, text: str, path: str | None = None, *
     but found by nothing."""
     spark = docs.sparkSession
     path = path or shared_path(spark, "index")
-    rows = docs.select(F.col(key).alias("id"), words(F.col(text)).alias("words")).filter("id is not null")
-    lengths = rows.groupBy("id").agg(F.sum(F.size("words")).cast("bigint").alias("n"))
-    lengths.write.mode("overwrite").parquet(f"{path}/documents")
-    lengths = spark.read.parquet(f"{path}/documents")
+    characters = docs.agg(F.sum(F.length(text).cast("bigint"))).first()[0] or 0
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id is not null").repartition(_places(spark, characters, CHARACTERS), "id")
+    whole = rows.select("id", words(F.col("text")).alias("words")).groupBy("id").agg(F.flatten(F.collect_list("words")).alias("words"))  # one document's rows
+    tf = whole.select("id", F.size("words").cast("bigint").alias("n"), F.explode_outer("words").alias("term")).groupBy("id", "n", "term").agg(F.count("*").alias("tf"))
+    tf.write.mode("overwrite").parquet(f"{path}/postings")
+    tf = spark.read.parquet(f"{path}/postings")
+    tf.groupBy("id").agg(F.max("n").alias("n")).write.mode("overwrite").parquet(f"{path}/documents")
     # an empty table has a mean length of 1: nothing is weighed by it
-    lengths.agg(F.count("*").alias("docs"), F.coalesce(F.avg("n"), F.lit(1.0)).alias("mean")).write.mode("overwrite").parquet(f"{path}/figures")
-    figures = spark.read.parquet(f"{path}/figures")
-    tf = rows.select("id", F.explode("words").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
-    tf.write.mode("overwrite").parquet(f"{path}/frequencies")
-    tf = spark.read.parquet(f"{path}/frequencies")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    parts = F.ceil(F.col("df") / PART).cast("int")
+    figures = spark.read.parquet(f"{path}/documents").agg(F.count("*").alias("docs"), F.coalesce(F.avg("n"), F.lit(1.0)).alias("mean"), F.lit(k1).alias("k1"), F.lit(b).alias("b"))
+    figures.write.mode("overwrite").parquet(f"{path}/figures")
+    one = F.broadcast(spark.read.parquet(f"{path}/figures"))  # one row
     rarity = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean"))
-    one = F.broadcast(figures)  # one row
-    weighed = tf.join(df, "term").join(lengths, "id").join(one).withColumn("parts", parts)
-    weighed = weighed.select("term", _part(F.col("id"), F.col("parts")).alias("part"), "id", F.floor(UNIT * rarity * F.col("tf") * (k1 + 1) / norm).cast("bigint").alias("w"))
-    weighed.write.mode("overwrite").parquet(f"{path}/postings")
-    best = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"), F.max("w").alias("top"))
-    best.withColumn("parts", parts).write.mode("overwrite").parquet(f"{path}/terms")
+    most = tf.filter("term is not null").join(one).groupBy("term").agg(F.count("*").alias("df"), F.max(F.col("tf") * (F.col("k1") + 1) / _norm()).alias("most"))
+    # one more than the weight at `most`, which is rounded otherwise than weights are
+    top = F.floor(UNIT * F.col("rarity") * F.col("most") + 1).cast("bigint")
+    terms = most.join(one).withColumn("rarity", rarity).select("term", "df", F.ceil(F.col("df") / PART).cast("int").alias("parts"), "rarity", top.alias("top"))
+    terms.write.mode("overwrite").parquet(f"{path}/terms")
     return InvertedIndex(spark, path)
 
 
+def _places(spark: SparkSession, amount: int, each: int) -> int:
+    return max(math.ceil(amount / each), spark.sparkContext.defaultParallelism)
+
+
+def _norm() -> Column:
+    return F.col("tf") + F.col("k1") * (1 - F.col("b") + F.col("b") * F.col("n") / F.col("mean"))
+
+
 def _first(df: DataFrame, k: int, by: str = "score") -> DataFrame:
     """The k best rows of each query; ties by id. Spark keeps k rows a query and task before it shuffles."""
     w = W.partitionBy("query_id").orderBy(F.desc(by), "id")
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _weights(index: InvertedIndex, asked: DataFrame) -> DataFrame:
+    """term, part, id, w of the asked terms' postings."""
+    terms = asked.select("term", "parts", "rarity").distinct()
+    one = F.broadcast(index.table("figures"))  # one row
+    p = index.table("postings").join(terms, "term").join(one)
+    w = F.floor(UNIT * F.col("rarity") * F.col("tf") * (F.col("k1") + 1) / _norm()).cast("bigint")
+    return p.select("term", _part(F.col("id"), F.col("parts")).alias("part"), "id", w.alias("w"))
+
+
 def _sums(asked: DataFrame, index: InvertedIndex) -> DataFrame:
-    """query_id, id, score of all documents in the lists of the asked terms (query_id, term, parts)."""
+    """query_id, id, score of all documents in the lists of the asked terms (query_id, term, df, parts, rarity)."""
+    meetings = asked.agg(F.sum("df")).first()[0] or 0
     lists = asked.select("query_id", "term", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return lists.join(index.table("postings"), ["term", "part"]).groupBy("query_id", "id").agg(F.sum("w").alias("score"))
+    weights = _weights(index, asked).repartition(_places(index.spark, meetings, MEETINGS), "id")
+    return weights.join(lists, ["term", "part"]).groupBy("query_id", "id").agg(F.sum("w").alias("score"))
 
 
 def search(index: InvertedIndex, queries: DataFrame, k: int = 10, lead: float = 0.6) -> DataFrame:
@@ -92,7 +116,7 @@ def search(index: InvertedIndex, queries: DataFrame, k: int = 10, lead: float =
     (query_id, text). Documents that share no word with a query aren't found; a query without known words finds none.
     Rows of one query_id are one query. lead: the share of a query's possible score that the terms read first stand for."""
     asked = queries.filter("query_id is not null").select("query_id", F.explode(words(F.col("text"))).alias("term")).distinct()
-    asked = asked.join(index.table("terms").select("term", "parts", "top"), "term")
+    asked = asked.join(index.table("terms"), "term")
     order = W.partitionBy("query_id").orderBy(F.desc("top"), "term")
     before = F.coalesce(F.sum("top").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     asked = kept(asked.withColumn("first", before < lead * F.sum("top").over(W.partitionBy("query_id"))))
@@ -104,8 +128,9 @@ def search(index: InvertedIndex, queries: DataFrame, k: int = 10, lead: float =
     settled = state.filter("settled").select("query_id", "rest", F.coalesce("bound", F.lit(0)).alias("bound"))
 
     able = partial.join(settled, "query_id").filter(F.col("score") + F.col("rest") >= F.col("bound")).select("query_id", "id", "score")
-    looked = able.join(asked.filter(~F.col("first")).select("query_id", "term", "parts"), "query_id").withColumn("part", _part(F.col("id"), F.col("parts")))
-    more = looked.join(index.table("postings"), ["term", "part", "id"]).select("query_id", "id", F.col("w").alias("score"))
+    later = asked.filter(~F.col("first"))
+    looked = able.join(later.select("query_id", "term", "parts"), "query_id").withColumn("part", _part(F.col("id"), F.col("parts")))
+    more = looked.join(_weights(index, later), ["term", "part", "id"]).select("query_id", "id", F.col("w").alias("score"))
     known = able.unionByName(more).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
     other = _sums(asked.join(state.filter(~F.col("settled")).select("query_id"), "query_id", "left_semi"), index)
     return _first(known.unionByName(other), k).select("query_id", "rank", "id", "score")

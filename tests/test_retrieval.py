@@ -64,6 +64,23 @@ def test_search_of_empty_tables(spark):
     assert S.search(index, spark.createDataFrame([], "query_id bigint, text string")).isEmpty()
 
 
+def test_sums_are_made_where_a_document_is(spark, monkeypatch):
+    """Pairs of a query and a document aren't shuffled: no task holds those of all documents. Places grow with the postings read."""
+    monkeypatch.setattr(S, "MEETINGS", 50)
+    index = S.build_index(spark.createDataFrame([(*d, "x", 1) for d in corpus(120)], DOCS), "id", "text")
+    asked = spark.createDataFrame([(q, t) for q in range(5) for t in ("the", "of", "word1")], "query_id bigint, term string").join(index.table("terms"), "term")
+    sums = S._sums(S.kept(asked), index)
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan
+    read = asked.agg({"df": "sum"}).first()[0]
+    assert "hashpartitioning(id" in plan and f", {-(-read // 50)})" in plan
+
+
+def test_an_index_keeps_its_postings_once(spark, tmp_path):
+    S.build_index(spark.createDataFrame([(*d, "x", 1) for d in corpus(30)], DOCS), "id", "text", str(tmp_path / "index"))
+    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == ["documents", "figures", "postings", "terms"]
+
+
 def test_fusion_keeps_its_evidence(spark):
     schema = "query_id int, rank int, id int"
     a = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (2, 1, 10), (1, 5, 10)], schema)
