@@ -30,25 +30,37 @@ def _is_rule(line: Column) -> Column:
     return F.trim(line).rlike(r"^\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?$") & F.contains(line, F.lit("|"))
 
 
+def _spans(lines: Column) -> Column:
+    """Where tables are in lines: an array of (start_line, end_line), in order.
+
+    A letter stands for each line (fence, rule, other bar, any other), and a text of them is cut to code blocks, tables, other runs of bars,
+    and the rest."""
+    bare = lambda x: F.trim(x)
+    kind = lambda x: F.when(bare(x).startswith("```"), "f").when(~bare(x).startswith("|"), ".").when(_is_rule(x), "r").otherwise("b")
+    runs = F.regexp_extract_all(F.array_join(F.transform(lines, kind), ""), F.lit(r"f[^f]*f?|[br]r[br]*|[br]+|\.+"), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start_line:int,end_line:int>>").alias("found"))
+
+    def step(acc, run):
+        end = acc["at"] + F.length(run)
+        span = F.struct(acc["at"].alias("start_line"), end.alias("end_line"))
+        return F.struct(end.alias("at"), F.when(run.rlike("^[br]r"), F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"))
+
+    return F.aggregate(runs, start, step)["found"]
+
+
 def document_tables(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, table_no, start_line, end_line, rows, markdown of the pipe tables in documents, numbered from 1 in order of their lines.
 
     A table is a run of lines that begin with a bar, with a rule (dashes) as the second, outside code fences; the rule is no row, and rows are
-    padded to the widest. end_line is the line after the last."""
-    x = lines_of(docs, key, text)
-    line = W.partitionBy(key).orderBy("line_no")
-    x = x.withColumn("_fence", F.sum(F.trim("line").startswith("```").cast("int")).over(line) % 2 == 1)
-    x = x.withColumn("_bar", F.trim("line").startswith("|") & ~F.col("_fence"))
-    x = x.withColumn("_run", F.col("line_no") - F.row_number().over(W.partitionBy(key, "_bar").orderBy("line_no"))).filter("_bar")
-    own = W.partitionBy(key, "_run").orderBy("line_no")
-    x = x.withColumn("_nth", F.row_number().over(own)).withColumn("_rule", _is_rule(F.col("line")))
-    x = x.withColumn("_table", F.max(((F.col("_nth") == 2) & F.col("_rule")).cast("int")).over(W.partitionBy(key, "_run")) == 1).filter("_table")
-    one = F.struct("line_no", table_cells(F.col("line")).alias("cells"), "line", ((F.col("_nth") > 1) & F.col("_rule")).alias("rule"))
-    g = x.groupBy(key, "_run").agg(F.array_sort(F.collect_list(one)).alias("l"))  # a table of one document
-    rows = F.transform(F.filter("l", lambda r: ~r["rule"]), lambda r: r["cells"])
-    g = g.select(key, F.col("l")[0]["line_no"].alias("start_line"), (F.element_at("l", -1)["line_no"] + 1).alias("end_line"), rows.alias("rows"), F.array_join(F.transform("l", lambda r: r["line"]), "\n").alias("markdown"))
-    g = g.withColumn("rows", padded(F.col("rows")))
-    return g.withColumn("table_no", F.row_number().over(W.partitionBy(key).orderBy("start_line"))).select(key, "table_no", "start_line", "end_line", "rows", "markdown")
+    padded to the widest. end_line is the line after the last. A document's tables are found in its row: nothing is shuffled. Rows of one key are
+    documents of their own."""
+    own = lambda lines, s: F.slice(lines, s["start_line"] + 1, s["end_line"] - s["start_line"])
+    # the lines are bound by a transform of one element, so that they are cut once
+    found = F.transform(F.array(F.split(text, "\n")), lambda lines: F.transform(_spans(lines), lambda s: F.struct(s["start_line"], s["end_line"], own(lines, s).alias("l"))))
+    x = docs.filter(F.contains(text, F.lit("|"))).select(key, F.posexplode(F.get(found, F.lit(0))).alias("_n", "_t"))
+    x = x.select(key, (F.col("_n") + 1).alias("table_no"), "_t.start_line", "_t.end_line", "_t.l")
+    rows = F.transform(F.filter("l", lambda line, i: ~((i > 0) & _is_rule(line))), table_cells)
+    return x.select(key, "table_no", "start_line", "end_line", rows.alias("rows"), F.array_join("l", "\n").alias("markdown")).withColumn("rows", padded(F.col("rows")))
 
 
 def html_rows(html: Column) -> Column:

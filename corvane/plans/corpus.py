@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import corpus as K
+from ..sources.sinks import dealt
 from .knowledge import query
 from .tables import table
 
@@ -19,7 +20,7 @@ def _in_order(rows, line) -> object:
 SELECT doc, 1 AS table_no, 1 AS start_line, CAST(3 + n AS INTEGER) AS end_line, 'line,quantity;' || cells AS cells FROM c UNION ALL SELECT doc, 2, CAST(4 + n AS INTEGER), CAST(7 + n AS INTEGER), 'all,;' || n || ',x|y' FROM c WHERE doc % 3 = 0""")
 def prj20_document_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as documents with a table of their lines and, for every third, a second one with an escaped bar."""
-    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("n")).agg(F.max("l_quantity").cast("int").alias("q"))
+    li = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("n")).agg(F.max("l_quantity").cast("int").alias("q"))
     g = li.groupBy("doc").agg(F.count("*").alias("k"), _in_order("n", F.format_string("| %d | %d |", "n", "q")).alias("rows"))  # an order's lines
     second = F.when(F.col("doc") % 3 == 0, F.concat(F.lit("\n| all |\n|-----|---|\n| "), F.col("k").cast("string"), F.lit(" | x\\|y |"))).otherwise("")
     text = F.concat(F.lit("Lines\n| line | quantity |\n|:---|---:|\n"), F.col("rows"), F.lit("\n"), second, F.lit("\nend | of | it"))

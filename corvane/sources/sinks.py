@@ -88,6 +88,12 @@ def kept(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str, rows: int = 1_000_000) -> DataFrame:
+    """df dealt by keys to so many places that each gets about `rows` rows: what a task holds doesn't grow with the table."""
+    places = max(-(-df.count() // rows), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(places, *keys)
+
+
 def stream_result(df: DataFrame) -> DataFrame:
     """What a streaming aggregate has once its present input is read: the last complete table, written by foreachBatch."""
     spark = df.sparkSession

@@ -41,6 +41,16 @@ def test_tables_of_a_document(spark):
     assert [r.path for r in one(spark, X.table_refs(F.lit(out[1])))] == ["Doc_table_1.csv", "Doc_table_2.csv"]
 
 
+def test_tables_are_found_without_a_shuffle(spark):
+    texts = ["|a\n|-|\n|1\r\n |---|\nx\n|---|\n|---|\n```\n|a\n|-|", "```\n```\n|a|\n|:-:|\n|a|\n|b|\n", "|-|\n|a|\n|-|", " | q |  \n|-|-|\r\n```\n|x\n|-|\n```\n|y\n|-|", "a|b\n-|-"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    found = K.document_tables(docs, "k", "t")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = [(r.k, r.table_no, r.start_line, r.end_line, [list(x) for x in r.rows]) for r in found.orderBy("k", "table_no").collect()]
+    want = [(0, 1, 0, 4, [[], []]), (0, 2, 5, 7, [["---"]]), (1, 1, 2, 6, [["a"], ["a"], ["b"]]), (3, 1, 0, 2, [["q"]]), (3, 2, 6, 8, [[]])]
+    assert got == want
+
+
 def test_html_rows_and_refill(spark):
     html = "<table><tr class='h'><th>a&amp;b<th>c</tr><TR><td>1<br>2</td></tr><tr><td> &lt;x&gt; </td><td>&nbsp;</td><td>z</td></table>"
     rows = K.html_rows(F.lit(html))
