@@ -184,7 +184,8 @@ def paragraph_blocks(text):
 
 
 def adaptive_chunks(text: str) -> list[str]:
-    """Chunks for question extraction: larger documents are cut at second-level headings, then at lines."""
+    """Chunks for question extraction: larger documents are cut at second-level headings, then at lines. For one text; operators.docs has
+    the same for a table."""
     n = len(text)
     size = n if n < 15000 else n // 2 if n < 30000 else 20000 if n < 80000 else 15000
 
@@ -205,8 +206,3 @@ def adaptive_chunks(text: str) -> list[str]:
     if len(chunks) < 2 or max(map(len, chunks)) > 1.5 * size:
         chunks = packed(text.splitlines(keepends=True))
     return chunks
-
-
-@F.udf(T.ArrayType(T.StringType()), useArrow=True)
-def qa_chunks(text):
-    return [] if not text else adaptive_chunks(text)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -46,8 +48,45 @@ def section_chunks(secs: DataFrame, key: str, most: int = 6000) -> DataFrame:
     return x.select(key, F.concat_ws("__chunk_", F.col(key).cast("string"), nth.cast("string")).alias("chunk_id"), "title", "section_index", "sub_index", "level", F.length("content").alias("char_count"), X.doc_refs(F.col("content")).alias("refs_in_chunk"), "content")
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _packed(parts: Column, size: Column) -> Column:
+    """Spans (begin, n) of runs of parts, each as long as size allows; a part that is longer stays whole."""
+    start = F.struct(F.lit(0).alias("begin"), F.lit(0).alias("n"), F.array().cast("array<struct<begin:int,n:int>>").alias("out"))
+    held = lambda acc: F.array_append(acc["out"], F.struct(acc["begin"], acc["n"]))
+
+    def step(acc, n):
+        full = (acc["n"] > 0) & (acc["n"] + n > size)
+        begin, length, out = (F.when(full, x).otherwise(y) for x, y in ((acc["begin"] + acc["n"], acc["begin"]), (n, acc["n"] + n), (held(acc), acc["out"])))
+        return F.struct(begin.alias("begin"), length.alias("n"), out.alias("out"))
+
+    return F.aggregate(F.transform(parts, F.length), start, step, lambda acc: F.when(acc["n"] > 0, held(acc)).otherwise(acc["out"]))
+
+
+#: Ends of lines, as Python's splitlines has them.
+LINE_END = r"(?<=\n|\r(?!\n)|[\x0B\x0C\x1C-\x1E\x85\u2028\u2029])"
+
+
+def _chunks(d: Column) -> Column:
+    """Chunks of d.text, of about d.size characters: as functions.udf.adaptive_chunks, where its spans are."""
+    parts = lambda pattern: F.filter(F.split(d["text"], pattern), lambda p: p != "")
+    headed = _bound(parts(r"(?<=\n)(?=## )"), lambda p: F.when(F.size(p) > 1, p).otherwise(parts(r"(?<=\n)(?=# )")))
+    uneven = lambda c: (F.size(c) < 2) | (2 * F.array_max(F.transform(c, lambda x: x["n"])) > 3 * d["size"])
+    spans = _bound(_packed(headed, d["size"]), lambda c: F.when(uneven(c), _packed(parts(LINE_END), d["size"])).otherwise(c))
+    return F.transform(spans, lambda s: F.substr(d["text"], s["begin"] + 1, s["n"]))
+
+
 def adaptive_chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(key, F.posexplode(U.qa_chunks(text)).alias("chunk_no", "chunk"))
+    """key, chunk_no, chunk: larger documents are cut at second-level headings, then at first-level ones, then at lines; shorter ones than
+    15,000 characters are one chunk. A row's text is cut where it is, so no batch of texts is held."""
+    x = docs.filter(F.col(text) != "").select(key, F.col(text).alias("_text"), F.length(text).alias("_n"))
+    n = F.col("_n")
+    size = F.when(n < 30000, F.floor(n / 2)).when(n < 80000, 20000).otherwise(15000).cast("int")
+    cut = _bound(F.struct(F.col("_text").alias("text"), size.alias("size")), _chunks)
+    return x.select(key, F.posexplode(F.when(n < 15000, F.array("_text")).otherwise(cut)).alias("chunk_no", "chunk"))
 
 
 def reference_edges(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -1,5 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
+from corvane.functions import udf as U
 from corvane.operators import docs as D
 from corvane.operators import manifest as M
 
@@ -83,3 +86,24 @@ def test_inherited_metadata(spark):
     first, second = spark.createDataFrame([("a", "x"), ("b", "")], "k string, v string"), spark.createDataFrame([("b", "y")], "k string, v string")
     got = {r.k: r.v for r in M.inherited_metadata(rows, [(first, "k"), (second, "k")], ["v"], {"v": "z"}).collect()}
     assert got == {"a": "x", "b": "y", "c": "z"}
+
+
+def test_chunks_are_cut_without_python(spark):
+    """As the plain version cuts a text, for all sizes and line ends, and no batch of texts goes to Python."""
+    r = random.Random(5)
+    ends = ["\n", "\r\n", "\r", "\x0b", "\x85", "\u2028", "\n## ", "\n# ", "\n### ", "## ", " "]
+    texts = [None, "", "x"]
+    for n in (0, 1, 14_999, 15_000, 15_001, 29_999, 30_000, 31_001, 79_999, 80_000, 100_001):
+        for kinds in (ends, ends[:1], ends[1:6], ends[6:7], ends[7:9], [" "]):
+            body = ""
+            while len(body) < n:
+                body += "é𝄞w" * r.choice((1, 30, 900, 9000)) + r.choice(kinds)
+            texts.append(body[:n])
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = D.adaptive_chunks(docs, "k", "t")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "InArrow" not in plan
+    found = {k: [] for k, _ in enumerate(texts)}
+    for row in got.orderBy("k", "chunk_no").collect():
+        found[row.k].append(row.chunk)
+    assert found == {k: U.adaptive_chunks(t) if t else [] for k, t in enumerate(texts)}
