@@ -11,9 +11,11 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window as W
@@ -65,13 +67,38 @@ class KeepLatest(StatefulProcessor):
 
 
 def latest_by_state(df: DataFrame, keys: list[str], order: list[str], values: list[str], *, idle_ms: int | None = None) -> DataFrame:
-    """A stream of updates (keys, order, values): whenever a key's largest row by `order` changes. With idle_ms df needs a watermark."""
+    """A stream of updates (keys, order, values): whenever a key's largest row by `order` changes; of equal rows the first stays. Null and
+    NaN come before all others. With idle_ms df needs a watermark.
+
+    Without idle_ms no key needs a timer, and the state is that of an aggregate; a call of Python for each key and batch is left to KeepLatest."""
     with_state_store(df.sparkSession)
     fields = [*order, *values]
+    if idle_ms is None:
+        return _latest_by_aggregate(df, keys, order, fields)
     processor = KeepLatest(order, fields, T.StructType([df.schema[c] for c in fields]), idle_ms)
     processor.keys = keys
     out = T.StructType([df.schema[c] for c in [*keys, *fields]])
-    return df.groupBy(*keys).transformWithStateInPandas(processor, out, "Update", "None" if idle_ms is None else "EventTime")
+    return df.groupBy(*keys).transformWithStateInPandas(processor, out, "Update", "EventTime")
+
+
+def _latest_by_aggregate(df: DataFrame, keys: list[str], order: list[str], fields: list[str]) -> DataFrame:
+    """Each row carries the time of its batch, the same for all of a batch: a key whose largest row is of the present one has changed."""
+    now = F.unix_micros(F.current_timestamp())
+    known = lambda c: F.when(~F.isnan(c), F.col(c)) if isinstance(df.schema[c].dataType, T.FloatType | T.DoubleType) else F.col(c)
+    first = F.struct((-now).alias("since"), (-F.col("_place")).alias("place"))  # of equal rows the first is largest
+    schema = T.StructType([*df.schema.fields, T.StructField("_place", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(range(n, n + b.num_rows), pa.int64())], schema=arrow)
+            n += b.num_rows
+
+    x = df.mapInArrow(numbered, schema)  # streams know no monotonically_increasing_id
+    x = x.select(*keys, F.struct(*fields).alias("_row"), F.struct(*(known(c).alias(f"o{i}") for i, c in enumerate(order)), first.alias("first")).alias("_order"))
+    best = x.groupBy(*keys).agg(F.max_by("_row", "_order").alias("_row"), F.max("_order").alias("_order"))
+    return best.filter(F.col("_order.first.since") == -now).select(*keys, "_row.*")
 
 
 def write_updates(df: DataFrame, path: str) -> StreamingQuery:

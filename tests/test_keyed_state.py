@@ -93,6 +93,20 @@ def test_latest_by_state_goes_on_from_its_checkpoint(spark, tmp_path):
     assert spark.read.parquet(f"{out}/updates").count() == n + 2  # older rows make no update
 
 
+def test_latest_by_state_calls_no_python(spark, tmp_path):
+    """Null and NaN come first, of equal rows in one batch or two the first stays, and a key that doesn't change makes no update."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "k string, at double, m int, v double"
+    for batch in ([("a", float("nan"), 1, 1.0), ("a", None, 2, None), ("b", 1.0, 5, 3.0), ("b", 1.0, 5, 4.0), (None, 1.0, 1, 1.0)], [("a", float("nan"), 0, 5.0), ("b", 1.0, 5, 6.0), ("b", 1.0, None, 7.0)], [("b", 1.0, 6, 8.0), ("a", -1.0, None, 9.0)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    updates = ST.latest_by_state(stream, ["k"], ["at", "m"], ["v"])
+    assert "InPandas" not in updates._jdf.queryExecution().logical().toString()
+    ST.write_updates(updates, out)
+    got = {(r.batch, r.k): (r.m, r.v) for r in spark.read.parquet(f"{out}/updates").collect()}
+    assert got == {(0, "a"): (2, None), (0, "b"): (5, 3.0), (0, None): (1, 1.0), (2, "b"): (6, 8.0), (2, "a"): (None, 9.0)}
+
+
 def test_idle_keys_are_forgotten(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     stream = lambda: spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src).withWatermark("ts", "1 second")
