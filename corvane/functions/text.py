@@ -115,9 +115,10 @@ def embedded_images(content: Column, least: int = 1000) -> Column:
 
 def replace_embedded(content: Column, names: Column) -> Column:
     """The i-th embedded image becomes a reference to the i-th name; without a name it goes."""
-    between = F.split(content, DATA_IMAGE, -1)
-    filled = F.transform(between, lambda s, i: F.concat(s, F.when(i < F.size(between) - 1, F.coalesce(F.concat(F.lit("![]("), F.get(names, i), F.lit(")")), F.lit(""))).otherwise("")))
-    return F.array_join(filled, "")
+    follows = lambda i: F.coalesce(F.concat(F.lit("![]("), F.get(names, i), F.lit(")")), F.lit(""))
+    filled = lambda between: F.transform(between, lambda s, i: F.concat(s, F.when(i < F.size(between) - 1, follows(i)).otherwise("")))
+    # the pieces are bound by a transform of one element: a text is cut once, not once a piece
+    return F.array_join(F.get(F.transform(F.array(F.split(content, DATA_IMAGE, -1)), filled), F.lit(0)), "")
 
 
 def table_file(name: Column) -> tuple[Column, Column]:

@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import docs as D
 from ..operators import manifest as M
 from ..operators import rules as R
+from ..sources.sinks import dealt
 from .knowledge import query
 from .tables import REGISTRY_SQL, skills, table, tools
 
@@ -78,10 +79,11 @@ def prj14_table_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_partkey, CAST(n AS INTEGER) AS n_images, 'start' || array_to_string(list_transform(generate_series(1, n), lambda i: ' ' || CASE WHEN i <= named THEN '![](f' || i || '.png)' ELSE '' END || '.'), '') AS text FROM a""")
 def prj16_embedded_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with none to three images of 1200 bytes, for at most two of which there is a name; smaller ones aren't images."""
-    blob = F.base64(F.repeat(F.col("p_name"), 1200).cast("binary"))
+    blob = F.base64(F.substring(F.repeat(F.col("p_name"), 1200).cast("binary"), 1, 1200))  # as many bytes as 1600 characters of it stand for
     image = lambda _: F.concat(F.lit(" ![p](data:image/png;base64,"), F.substring(blob, 1, 1600), F.lit(")."))
     upto = lambda n: F.filter(F.sequence(F.lit(0), n.cast("int")), lambda i: i > 0)
-    x = _part(spark, sf_dir).withColumn("t", F.concat(F.lit("start"), F.array_join(F.transform(upto(F.col("k") % 4), image), "")))
+    x = dealt(_part(spark, sf_dir), "p_partkey", rows=50_000)  # a small file of much work
+    x = x.withColumn("t", F.concat(F.lit("start"), F.array_join(F.transform(upto(F.col("k") % 4), image), "")))
     names = F.transform(upto(F.col("k") % 3), lambda i: F.concat(F.lit("f"), i.cast("string"), F.lit(".png")))
     return x.select("p_partkey", F.size(X.embedded_images(F.col("t"))).alias("n_images"), X.replace_embedded(F.col("t"), names).alias("text"))
 

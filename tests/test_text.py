@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
+from corvane.plans import records
 from corvane.functions import udf as U
 from corvane.session import resolve_config, set_by_path
 
@@ -105,3 +106,13 @@ def test_config():
     assert got["a"] == {"x_dir": "/r/in", "y": ""}
     assert set_by_path({"a": {"b": 1}}, "a.c", "1") == {"a": {"b": 1, "c": True}}
     assert set_by_path({}, "n", "12") == {"n": 12}
+
+
+def test_images_are_replaced_in_one_cut(spark):
+    """However many images a text has, and the parts of a small file are worked on by several tasks."""
+    n = 300
+    text = "".join(f"{i}![p](data:image/png;base64,QUJD)" for i in range(n)) + "end"
+    out = spark.range(1).select(X.replace_embedded(F.lit(text), F.array(F.lit("a"), F.lit("b"))).alias("x")).first().x
+    assert out == "0![](a)1![](b)" + "".join(map(str, range(2, n))) + "end"
+    parts = records.prj16_embedded_images(spark, "/root/testdata/sf0.001")
+    assert parts.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
