@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -223,19 +224,27 @@ def structure_findings(nodes: DataFrame, flows: DataFrame, strict: bool = False)
 
 #: Edges of a neighbour that one part holds.
 HUB = 500
+#: Pairs of edges that one place makes.
+PAIRS = 2_000_000
 
 
 def portfolio_links(edges: DataFrame, fresh: Column, membership: str = "member_of") -> DataFrame:
     """Pairs that share a neighbour: 0.5 non-obviousness + 0.3 agreement + 0.2 freshness. Non-obviousness is 1 - shared
     themes' share, agreement the share of equal relations; both are our reading of the scores' names."""
+    from ..sources.sinks import kept
+
     e = edges.filter(F.col("rel") != membership).select("src", "dst", "rel", fresh.alias("fresh"))
     # One edge of each source and neighbour counts them as shared: no distinct count, so pairs add up before the shuffle.
-    e = e.withColumn("one", (F.row_number().over(W.partitionBy("dst", "src").orderBy("rel")) == 1).cast("int"))
+    e = kept(e.withColumn("one", (F.row_number().over(W.partitionBy("dst", "src").orderBy("rel")) == 1).cast("int")))
     # A neighbour of many sources is dealt to cells of two parts of them, so that no task holds all its pairs.
-    e = e.join(e.groupBy("dst").agg(F.ceil(F.count("*") / HUB).alias("_parts")), "dst").withColumn("_part", F.pmod(F.xxhash64("src"), F.col("_parts")))
+    loads = e.groupBy("dst").agg(F.count("*").alias("_n"))
+    # Cells are dealt by the pairs they make, of which there are many more than edges.
+    pairs = loads.agg(F.sum(F.col("_n") * F.col("_n") / 2)).first()[0] or 0
+    places = max(math.ceil(pairs / PAIRS), e.sparkSession.sparkContext.defaultParallelism)
+    e = e.join(loads.select("dst", F.ceil(F.col("_n") / HUB).alias("_parts")), "dst").withColumn("_part", F.pmod(F.xxhash64("src"), F.col("_parts")))
     ends = F.col("_part"), F.sequence(F.col("_part"), F.col("_parts") - 1), F.sequence(F.lit(0).cast("bigint"), F.col("_part"))
     one, two = e.withColumn("_i", ends[0]).withColumn("_j", F.explode(ends[1])), e.withColumn("_j", ends[0]).withColumn("_i", F.explode(ends[2]))
-    a, b = (df.select(F.col("src").alias(x), "dst", "_i", "_j", *(F.col(c).alias(f"{c}_{x}") for c in ("rel", "fresh", "one"))) for df, x in ((one, "a"), (two, "b")))
+    a, b = (df.select(F.col("src").alias(x), "dst", "_i", "_j", *(F.col(c).alias(f"{c}_{x}") for c in ("rel", "fresh", "one"))).repartition(places, "dst", "_i", "_j") for df, x in ((one, "a"), (two, "b")))
     equal = F.avg((F.col("rel_a") == F.col("rel_b")).cast("double"))
     pairs = a.join(b, ["dst", "_i", "_j"]).filter("_i < _j and a <> b or a < b").withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})
     g = pairs.groupBy("a", "b").agg(F.sum(F.col("one_a") * F.col("one_b")).alias("shared"), equal.alias("agreement"), F.avg((F.col("fresh_a") + F.col("fresh_b")) / 2).alias("freshness"))

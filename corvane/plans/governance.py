@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import graph as G
 from ..operators import rules as R
 from ..operators import scorecard as C
+from ..sources.sinks import dealt
 from .tables import AS_OF, REGISTRY_SQL, skills, table, tools
 
 QUERIES: dict = {}
@@ -217,7 +218,8 @@ def gr09_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 g AS (SELECT a.s AS a, b.s AS b, count(DISTINCT a.d) AS shared, avg(CASE WHEN a.rel = b.rel THEN 1.0 ELSE 0.0 END) AS agreement FROM e a JOIN e b ON a.d = b.d AND a.s < b.s WHERE a.rel <> 'N' AND b.rel <> 'N' GROUP BY 1, 2)
 SELECT a, b, shared, round_even(0.5 / shared + 0.3 * agreement + 0.2, 4) AS score FROM g""")
 def gr10_portfolio_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("rel")).distinct()
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("rel"))
+    e = dealt(e, "dst", "src").distinct()
     return G.portfolio_links(e, F.lit(1.0), membership="N").select("a", "b", "shared", "score")
 
 

@@ -169,3 +169,13 @@ def test_impact_report_and_spoken_segments(spark):
     assert max(map(len, parts)) <= 100 and "".join(parts).replace(" ", "") == text.replace(" ", "")
     actors = spark.createDataFrame([("human",), ("system",), ("automated",), (None,)], "a string")
     assert [r.t for r in actors.select(H.task_type(F.col("a")).alias("t")).collect()] == ["userTask", "serviceTask", "scriptTask", "manualTask"]
+
+
+def test_pairs_of_a_graph_are_dealt_by_their_number(spark, monkeypatch):
+    """Edges are few where pairs are many: places follow the pairs."""
+    monkeypatch.setattr(G, "PAIRS", 10, raising=False)
+    edges = spark.range(60).selectExpr("id as src", "id % 3 as dst", "'r' as rel")
+    links = G.portfolio_links(edges, F.lit(1.0))
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "60), REPARTITION_BY_NUM" in plan  # 3 neighbours of 20 * 20 / 2 pairs
+    assert links.count() == 3 * 20 * 19 // 2
