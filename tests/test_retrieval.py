@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corvane.operators import docs as D
@@ -193,6 +194,50 @@ def test_template_match_by_blocks_and_equal_sets(spark, monkeypatch):
     assert TM.match_templates(r.limit(0), t).isEmpty() and TM.match_templates(r, t.limit(0)).isEmpty()
 
 
+def tree_block(sets, weights):
+    """What a task gets of templates: (ids, set of codes) each."""
+    kind = pa.struct([("codes", pa.binary()), ("ws", pa.binary()), ("total", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    as_bytes = lambda xs, n: b"".join(x.to_bytes(n, "big") for x in xs)
+    return pa.array([{"codes": as_bytes(sorted(s), 4), "ws": as_bytes([weights[c] for c in sorted(s)], 8), "total": sum(weights[c] for c in s), "keys": ids} for ids, s in sets], kind)
+
+
+@pytest.mark.parametrize(("nodes", "found", "cells"), [(131_072, 1_000_000, 2_000_000), (7, 5, 60)])
+def test_template_tree_looks_at_few_nodes(monkeypatch, nodes, found, cells):
+    for name, n in (("NODES", nodes), ("FOUND", found), ("CELLS", cells)):
+        monkeypatch.setattr(TM, name, n)
+    rng = random.Random(5)
+    weights = {c: 1_000_000 + 70_000 * (30 - c) for c in range(1, 26)}
+    many, asks = (6000, 200) if cells > 60 else (150, 40)
+    sets = list({frozenset(rng.sample(range(1, 26), rng.randint(1, 8))) for _ in range(many)})
+    templates = [(sorted(rng.sample(range(10 * i, 10 * i + 10), rng.randint(1, 3))), s) for i, s in enumerate(sets)]
+    requests = [sorted(rng.sample(range(1, 29), rng.randint(1, 10))) for _ in range(asks)]  # 26 to 28 are in no template
+    total = np.array([sum(weights.get(c, 3_000_000) for c in q) for q in requests], np.float64)
+    trees = [TM._Tree(tree_block(part, weights)) for part in ((templates,) if cells > 60 else (templates[:50], templates[50:]))]
+    got, floor = defaultdict(list), np.full(asks, -1.0)
+    for tree in trees:
+        for who, place, score in tree.best(np.concatenate(requests), np.array([len(q) for q in requests]), total, floor, 3, 2048):
+            for q, i, x in zip(who.tolist(), tree.ids.take(pa.array(tree.by_place[place])).to_pylist(), score.tolist(), strict=True):
+                got[q].append((-x, i))
+    for n, q in enumerate(requests):
+        shared = [(ids, sum(weights[c] for c in s & set(q)), sum(weights[c] for c in s)) for ids, s in templates]
+        want = sorted((-math.floor(1_000_000 * x / (int(total[n]) + size - x)), i) for ids, x, size in shared if x for i in ids)[:3]
+        assert sorted(got[n])[:3] == want
+    if cells > 60:
+        assert trees[0].looked < 0.4 * len(sets) * asks
+
+
+def test_template_match_unknown_and_text_ids(spark, monkeypatch):
+    for name, n in (("REQUESTS", 7), ("TEMPLATES", 6), ("CODES", 11)):
+        monkeypatch.setattr(TM, name, n)
+    rng = random.Random(9)
+    pick = lambda n, m: {f"i{rng.randint(0, m)}" for _ in range(n)}
+    templates = [(f"t{i % 50:02}", x) for i in range(60) for x in pick(rng.randint(1, 7), 12)]
+    requests = [(f"r{i}", x) for i in range(120) for x in [*pick(rng.randint(1, 9), 16), *pick(2, 16)]] + [("lost", None), (None, "i1"), ("far", "z1"), ("far", "z2"), ("far", "z1")]
+    rng.shuffle(requests)
+    r, t = spark.createDataFrame(requests, "request_id string, intent string"), spark.createDataFrame(templates, "template_id string, intent string")
+    assert sorted(tuple(x) for x in TM.match_templates(r, t, 3).collect()) == plain_templates(requests, templates, 3)
+
+
 def test_references_match_short_names(spark):
     refs = spark.createDataFrame([("see 手册 now",), ("xxabxx",), ("a",), ("zz",), (" ",), ("a b c",)], "ref string")
     known = spark.createDataFrame([("手册",), ("ab",), ("A",), ("",), ("abc",)], "doc_name string")
