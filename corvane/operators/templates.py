@@ -312,6 +312,14 @@ def match_templates(requests: DataFrame, templates: DataFrame, k: int = 3, lead:
     return asked.filter(F.col("request_id").isNotNull()).join(found, ["codes", "total"]).select("request_id", "rank", "template_id", "score")
 
 
+def band_requests(requests: DataFrame, templates: DataFrame, least: float = 0.5) -> DataFrame:
+    """What best_match says of match_templates, from one pass over the requests and with one template for each."""
+    asked, found = _match(requests, templates, 1)
+    found = found.withColumn("score", F.col("score") / UNIT).filter(F.col("score") >= least).select("codes", "total", "template_id", "score")
+    x = asked.join(found, ["codes", "total"], "left").select("request_id", "template_id", "score")
+    return x.withColumn("band", template_band(F.coalesce("score", F.lit(0.0))))
+
+
 def best_match(requests: DataFrame, matches: DataFrame, least: float = 0.5) -> DataFrame:
     """request_id, template_id, score, band of every request: the best template, null below `least`; from 0.8 on a shortcut, else a
     hint for the decomposition."""

@@ -34,8 +34,7 @@ def lim02_template_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_INTENTS} SELECT o.request_id, b.template_id, b.score / 1000000 AS score, CASE WHEN b.score >= 800000 THEN 'shortcut' WHEN b.score >= 500000 THEN 'hint' ELSE 'none' END AS band
 FROM o LEFT JOIN (SELECT * FROM m WHERE rank = 1 AND score >= 500000) b USING (request_id)""")
 def chk04_template_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests, templates = _intents(spark, sf_dir)
-    return TM.best_match(requests, TM.match_templates(requests, templates))
+    return TM.band_requests(*_intents(spark, sf_dir))
 
 
 #: Names of one to nine characters: prefixes of part names and their initials.

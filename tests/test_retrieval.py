@@ -238,6 +238,23 @@ def test_template_match_unknown_and_text_ids(spark, monkeypatch):
     assert sorted(tuple(x) for x in TM.match_templates(r, t, 3).collect()) == plain_templates(requests, templates, 3)
 
 
+def test_band_requests_reads_requests_once(spark):
+    rng = random.Random(11)
+    templates = [(i, f"i{rng.randint(0, 9)}") for i in range(30) for _ in range(3)]
+    requests = [(i, f"i{rng.randint(0, 11)}") for i in range(80) for _ in range(rng.randint(1, 4))] + [(90, None), (91, "z"), (None, "i1"), (5, None)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    r, t = spark.createDataFrame(requests, "request_id int, intent string"), spark.createDataFrame(templates, "template_id int, intent string")
+    got = TM.band_requests(r.mapInArrow(count, r.schema), t).collect()
+    assert seen.value == len(requests)
+    assert sorted(map(str, got)) == sorted(map(str, TM.best_match(r, TM.match_templates(r, t)).collect()))
+
+
 def test_references_match_short_names(spark):
     refs = spark.createDataFrame([("see 手册 now",), ("xxabxx",), ("a",), ("zz",), (" ",), ("a b c",)], "ref string")
     known = spark.createDataFrame([("手册",), ("ab",), ("A",), ("",), ("abc",)], "doc_name string")
