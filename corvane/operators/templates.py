@@ -269,7 +269,7 @@ def _match(requests: DataFrame, templates: DataFrame, k: int) -> tuple[DataFrame
     numbers = sorted(x["no"] for x in held.select("no").collect())  # one a block
     different = asked.filter(F.length("codes") > 0).select("codes", "total").distinct()
     asks = _packed(different, ["codes", "total"], REQUESTS, CODES).withColumn("ask", F.monotonically_increasing_id())
-    asks = asks.withColumn("place", F.pmod(F.xxhash64("ask"), F.lit(places)).cast("int")).withColumn("no", F.explode(F.array(*map(F.lit, numbers)) if numbers else F.array().cast("array<bigint>")))
+    asks = asks.withColumn("place", F.expr(f"cast(pmod(shiftright(ask, 33) * 7919 + (ask & {2**33 - 1}), {places}) as int)")).withColumn("no", F.explode(F.array(*map(F.lit, numbers)) if numbers else F.array().cast("array<bigint>")))
     asks = asks.select("place", "no", "ask", F.col("block").alias("asks"), F.lit(None).cast(held.schema["block"].dataType).alias("block"))
     held = held.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(places - 1)))).select("place", "no", F.lit(-1).cast("bigint").alias("ask"), F.lit(None).cast(asks.schema["asks"].dataType).alias("asks"), "block")
     out = T.StructType([*different.schema.fields, T.StructField("template_id", t.schema["template_id"].dataType), T.StructField("score", T.LongType())])
@@ -291,7 +291,7 @@ def _match(requests: DataFrame, templates: DataFrame, k: int) -> tuple[DataFrame
                         who = pa.array(who)
                         yield pa.RecordBatch.from_arrays([block.field("codes").take(who), block.field("total").take(who), tree.ids.take(pa.array(tree.by_place[place])), pa.array(score.astype(np.int64))], schema=arrow)
 
-    pairs = asks.unionByName(held).repartition(places, "place").sortWithinPartitions("place", "no", "ask")
+    pairs = asks.unionByName(held).repartitionById(places, F.col("place")).sortWithinPartitions("no", "ask")
     best = W.partitionBy("codes", "total").orderBy(F.desc("score"), "template_id")
     found = pairs.mapInArrow(met, out).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return asked, kept(found, "found")
